@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WIDTH = 5
 SIMILARITY = 0.8
 #: Differing bits at most. Windows of similarity 0.8 differ in about 10 of 64 bits; 20 is over three deviations away.
@@ -102,7 +104,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for width in widths:
         # Windows and items of one shingle length only meet each other.
         these = items.where(F.least("n", F.lit(WIDTH)) == width)
-        sized = _hits(own, these, width).withColumn("a", F.expr(_shingles("window", width))).withColumn("fp", F.expr(_simhash("a")))
+        # Cut here: conditions on what follows would otherwise move into the scan's stage and take its loops apart.
+        sized = cut(_hits(own, these, width)).withColumn("a", F.expr(_shingles("window", width))).withColumn("fp", F.expr(_simhash("a")))
         known = these.withColumn("b", F.expr(_shingles("words", width))).withColumn("fp", F.expr(_simhash("b")))
         known = _block_rows(known.select("item_id", "n", "b", "fp")).withColumnRenamed("fp", "item_fp")
         near = _block_rows(sized.select("id", "n", "start", "a", "fp")).join(known, ["n", "block", "bits"])
