@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_
             at = 0
             for group in text_groups(batch.column(1).to_pylist()):
                 split = [text.split() if by_space else [] for text in group]
-                extra = own.fill(set().union(*split).difference(own.by_piece))
+                extra = own.fill(split)
                 rows: list[tuple] = []
                 known = own.by_piece.__getitem__
                 for k, (text, parts) in enumerate(zip(group, split, strict=True)):

@@ -10,7 +10,7 @@ shuffled: the plan is scan -> map.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -58,11 +58,14 @@ class PieceCache:
         """A whole text by the library."""
         return self.value(encode_pieces(self.tok, [text])[0])
 
-    def fill(self, missing: Iterable[str]) -> dict:
-        """Encode pieces; short ones are kept for later texts, long ones are only returned."""
+    def fill(self, texts: list[list[str]], *known: dict) -> dict:
+        """Encode the pieces of split texts that neither this cache nor known has; short ones are kept, long ones returned.
+
+        A full cache starts anew before, so that all pieces of these texts are there afterwards.
+        """
         if len(self.by_piece) > CACHE_ENTRIES:
             self.by_piece.clear()
-        missing, extra = list(missing), {}
+        missing, extra = list(set().union(*texts).difference(self.by_piece, *known)), {}
         for start in range(0, len(missing), 4096):
             part = missing[start : start + 4096]
             for piece, ids in zip(part, encode_pieces(self.tok, part), strict=True):
@@ -120,8 +123,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                     counts += [own.whole(text) for text in group]
                     continue
                 pieces = [text.split() for text in group]
-                missing = set().union(*pieces).difference(near, own.by_piece)
-                extra = own.fill(missing)
+                extra = own.fill(pieces, near)
                 lengths = own.by_piece
                 get = lengths.get
                 for text, parts in zip(group, pieces, strict=True):
