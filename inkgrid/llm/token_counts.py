@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's cache before it starts anew, and the longest piece (in characters) that it keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 64
 #: Rows of a batch are worked off in groups of about so many characters, so that split texts stay small.
 GROUP_CHARS = 1_000_000
@@ -29,14 +29,17 @@ _PYTHON_ONLY_SPACE = "\x1c\x1d\x1e\x1f"
 
 @cache
 def tokenizer(path: str):
-    """The tokenizer, loaded once for each process."""
+    """The tokenizer, loaded once for each process; Spark's tasks are its threads."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
 def encode_pieces(tok, pieces: list[str]) -> list[bytes]:
-    """Ids of each piece as little-endian unsigned 32-bit numbers."""
+    """Ids of each piece, by the library, as little-endian unsigned 32-bit numbers."""
     return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(pieces, add_special_tokens=False)]
 
 
@@ -47,31 +50,59 @@ def splits_at_space(tok) -> bool:
 
 
 class PieceCache:
-    """Worker-side cache from a piece to its ids (or only their number), with bounded memory."""
+    """Worker-side caches with bounded memory: from a white-space separated piece to its ids (or only their number), and,
+    for pieces at first sight, from the tokenizer's own pre-tokens to theirs."""
 
-    def __init__(self, path: str, lengths_only: bool):
+    def __init__(self, path: str, lengths_only: bool, seed: dict | None = None):
         self.tok = tokenizer(path)
         self.value = (lambda b: len(b) // 4) if lengths_only else bytes
-        self.by_piece: dict = {}
+        self.seed = seed or {}
+        self.by_piece: dict = dict(self.seed)
+        self.by_pretoken: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def whole(self, text: str):
         """A whole text by the library."""
         return self.value(encode_pieces(self.tok, [text])[0])
 
-    def fill(self, texts: list[list[str]], *known: dict) -> dict:
-        """Encode the pieces of split texts that neither this cache nor known has; short ones are kept, long ones returned.
+    def fill(self, texts: list[list[str]]) -> dict:
+        """Encode the pieces of split texts that the cache lacks; short ones are kept, long ones returned.
 
         A full cache starts anew before, so that all pieces of these texts are there afterwards.
         """
-        if len(self.by_piece) > CACHE_ENTRIES:
-            self.by_piece.clear()
-        missing, extra = list(set().union(*texts).difference(self.by_piece, *known)), {}
+        if len(self.by_piece) > CACHE_ENTRIES + len(self.seed):
+            self.by_piece = dict(self.seed)
+        missing, extra = list(set().union(*texts).difference(self.by_piece)), {}
         for start in range(0, len(missing), 4096):
             part = missing[start : start + 4096]
-            for piece, ids in zip(part, encode_pieces(self.tok, part), strict=True):
+            for piece, ids in zip(part, self._encode(part), strict=True):
                 (self.by_piece if len(piece) <= CACHE_CHARS else extra)[piece] = self.value(ids)
         return extra
 
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space, through the tokenizer's own normaliser, pre-tokeniser and model in turn.
+
+        Pieces that hold a special string, and those that normalising breaks up, go to the library whole.
+        """
+        joined = " ".join(pieces)
+        normal = self.tok.normalizer.normalize_str(joined) if self.tok.normalizer else joined
+        ends = np.cumsum([len(n) + 1 for n in normal.split(" ")])
+        if self.tok.pre_tokenizer is None or len(ends) != len(pieces) or any(a in joined for a in self.added):
+            return encode_pieces(self.tok, pieces)
+        if len(self.by_pretoken) > CACHE_ENTRIES:
+            self.by_pretoken.clear()
+        known, tokenize = self.by_pretoken, self.tok.model.tokenize
+        parts: list[list[bytes]] = [[] for _ in pieces]
+        found = self.tok.pre_tokenizer.pre_tokenize_str(normal)
+        for (pretoken, _), at in zip(found, np.searchsorted(ends, [s for _, (s, _) in found], side="right").tolist(), strict=True):
+            ids = known.get(pretoken)
+            if ids is None:
+                ids = np.asarray([t.id for t in tokenize(pretoken)], dtype="<u4").tobytes()
+                if len(pretoken) <= CACHE_CHARS:
+                    known[pretoken] = ids
+            parts[at].append(ids)
+        return [b"".join(p) for p in parts]
+
 
 def text_groups(texts: list[str | None]) -> Iterator[list[str]]:
     """The texts in order, in groups of bounded size; null is the empty text."""
@@ -87,10 +118,14 @@ def text_groups(texts: list[str | None]) -> Iterator[list[str]]:
         yield group
 
 
-@cache
-def worker_cache(path: str, lengths_only: bool) -> PieceCache:
+_caches: dict[tuple[str, bool], PieceCache] = {}
+
+
+def worker_cache(path: str, lengths_only: bool, seed: dict | None = None) -> PieceCache:
     """One cache for each worker process; Spark reuses workers, so it stays warm over tasks."""
-    return PieceCache(path, lengths_only)
+    if (path, lengths_only) not in _caches:
+        _caches[path, lengths_only] = PieceCache(path, lengths_only, seed)
+    return _caches[path, lengths_only]
 
 
 def frequent_lengths(path: str) -> dict[str, int]:
@@ -114,31 +149,21 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     table = spark.sparkContext.broadcast(frequent_lengths(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, own = table.value, worker_cache(path, True)
+        own = worker_cache(path, True, table.value)  # tier one is the seed of tier two: one lookup a piece
         by_space = splits_at_space(own.tok)
         for batch in batches:
             counts: list[int] = []
             for group in text_groups(batch.column(1).to_pylist()):
-                if not by_space:
-                    counts += [own.whole(text) for text in group]
-                    continue
-                pieces = [text.split() for text in group]
-                extra = own.fill(pieces, near)
-                lengths = own.by_piece
-                get = lengths.get
+                pieces = [text.split() if by_space else [] for text in group]
+                extra = own.fill(pieces)
+                known = own.by_piece.__getitem__
                 for text, parts in zip(group, pieces, strict=True):
-                    if any(c in text for c in _PYTHON_ONLY_SPACE):
+                    if not by_space or any(c in text for c in _PYTHON_ONLY_SPACE):
                         counts.append(own.whole(text))
-                        continue
-                    total = 0
-                    for part in parts:
-                        n = near.get(part)
-                        if n is None:
-                            n = get(part)
-                            if n is None:
-                                n = extra[part] if part in extra else own.whole(part)
-                        total += n
-                    counts.append(total)
+                    elif extra and not extra.keys().isdisjoint(parts):
+                        counts.append(sum(extra[p] if p in extra else known(p) for p in parts))
+                    else:
+                        counts.append(sum(map(known, parts)))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
