@@ -59,4 +59,33 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash_dedup, op4_decontamination, op5_quotation_linking, op6_url_filter, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_pii)}
 
-ORACLE: dict[str, str] = {}
+_RULES = [(r.name, r.action) for r in url_filter.HOST_RULES]
+_BLOCKED = "|".join(r.tokens[0] for r in url_filter.WORD_RULES)
+_HOST_FITS = {name: (name.split("/")[0], name[len(name.split("/")[0]) :]) for name, _ in _RULES}
+_FITS = ", ".join(f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{name}' END" for name, (h, p) in sorted(_HOST_FITS.items(), key=lambda x: (-len(x[0]), x[0])))
+
+_SPACES = r"[\x20\x09-\x0D]+"
+_WORDS = f"list_filter(regexp_split_to_array({{}}, '{_SPACES}'), lambda w: w <> '')"
+_NOTICE = "|".join(quality.BOILERPLATE)
+_ENDED = r"[.!?:;…。！？][\"\'\)\]}»”’]*[\x20\x09-\x0D]*$"
+_SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)
+
+#: DuckDB SQL. Token counts, compression, fingerprints, packing, the language model and pseudonyms have none.
+ORACLE: dict[str, str] = {
+    "op6_url_filter": f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        r AS (SELECT *, coalesce({_FITS}) AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{name}' THEN '{action}'" for name, action in _RULES)}
+            WHEN regexp_matches(host || path, '(^|[^\\p{{L}}\\p{{N}}])({_BLOCKED})($|[^\\p{{L}}\\p{{N}}])') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op7_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT k, doc_id, t, {_WORDS.format("t")} AS w FROM d),
+        l AS (SELECT k, i, line, len({_WORDS.format("line")}) AS n, {_WORDS.format("line")} AS lw FROM (SELECT k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+        f AS (SELECT k, n, row_number() OVER (PARTITION BY k, line ORDER BY i) > 1 AS dup, NOT regexp_matches(line, '{_ENDED.replace("'", "''")}') OR 2 * len(regexp_extract_all(line, '[#*$%&|<>!?]')) > n
+            OR (len(list_filter(lw, lambda x: x IN ({_SEPARATORS}))) >= 2 AND 5 * len(list_filter(lw, lambda x: x IN ({_SEPARATORS}))) >= n) OR regexp_matches(lower(line), '{_NOTICE}') AS fails FROM l WHERE n > 0),
+        s AS (SELECT k, count(*) FILTER (dup) AS dups, count(*) FILTER (fails) AS removed, coalesce(sum(n) FILTER (fails), 0) AS lost FROM f GROUP BY k),
+        g AS (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) > 1 AS often FROM (SELECT k, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2))),
+        r AS (SELECT k, count(DISTINCT i + o) AS n FROM g, (SELECT unnest([0, 1, 2]) AS o) WHERE often GROUP BY k),
+        b AS (SELECT w.doc_id, cast(len(w.w) AS BIGINT) AS n_words, cast(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            coalesce(dups, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(removed, 0) AS n_lines_removed, cast(coalesce(lost, 0) AS BIGINT) AS n_words_lost FROM w LEFT JOIN s ON s.k = w.k LEFT JOIN r ON r.k = w.k)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_lost <= 50 * n_words AS kept, n_lines_removed, n_words_lost FROM b""",
+}
