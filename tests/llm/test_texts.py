@@ -1,0 +1,230 @@
+"""Operators on single texts, against libraries and brute force, with odd rows."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from inkgrid.llm import language_id, maxent_lm, packing, pii, quality, queries, token_counts
+from tests.compare import rows_of_duck, rows_of_spark
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = [None, "", "   \n\t", "a", "<|endoftext|> x<|startoftext|>y", "\x1cfoo\x1dbar", "It's WE'LL go. 12 34!! ###", "İi ß ﬁ é é 中文 😀", "x" * 5000, "word " * 9000, "same", "same"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeats, a null id, and columns whose names clash with those made inside."""
+    rows = [(i if i else None, t, 7, "n", 1.5) for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, id string, score double")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def encoded(text):
+    return token_counts.tokenizer(PATH).encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_counts_equal_the_library(spark, odd, data):
+    found = by_id(token_counts.count_tokens(odd, PATH))
+    assert len(found) == len(ODD)
+    for i, t in enumerate(ODD):
+        r = found[i or None]
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((t or "").encode()), len(encoded(t)), len(encoded(t)) > 2048)
+    whole = by_id(queries.op1_token_counts(spark, data))
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        assert whole[r["doc_id"]]["n_tokens"] == len(encoded(r["text"]))
+    assert token_counts.count_tokens(odd.limit(0), PATH).count() == 0
+
+
+def test_pieces_of_random_texts_equal_the_library():
+    own, r = token_counts.PieceCache(PATH, False), random.Random(5)
+    for _ in range(500):
+        text = "".join(r.choice("aB'stl \n1é́<|>İ中😀 ") for _ in range(60))
+        extra = own.fill([text.split()])
+        assert b"".join(extra[p] if p in extra else own.by_piece[p] for p in text.split()) == np.asarray(encoded(text), "<u4").tobytes()
+
+
+def test_a_full_cache_keeps_what_it_needs(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 3)
+    own = token_counts.PieceCache(PATH, True)
+    for texts in ([["a", "b", "c", "d", "e"]], [["a", "f"]], [["a", "b", "g", "h"]]):
+        own.fill(texts)
+        assert all(p in own.by_piece for p in texts[0])
+
+
+def test_language_on_held_out_documents(spark, data):
+    found = queries.op2_language_id(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = found.where("held_out AND lang_pred <> 'und'").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.9 * len(held) > 20  # on few training texts
+    assert all(0 <= r["score"] <= 1 for r in held)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
+
+
+def test_language_of_odd_rows(spark, odd):
+    found = by_id(language_id.identify(odd, {"x": b"the same words again", "y": b"die selben worte noch"}))
+    assert [found[i]["lang_pred"] for i in (None, 1, 2)] == ["und"] * 3
+    assert len(found) == len(ODD) and not found[3]["accepted"]
+    assert language_id.fit_dictionaries(odd.withColumn("lang", F.lit(None).cast("string"))) == {}
+    assert by_id(language_id.identify(odd, {}))[3]["lang_pred"] == "und"
+
+
+def brute_quality(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [line for line in (text or "").split("\n") if line.strip(" \t\n\v\f\r")]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_equals_brute_force_and_sql(spark, odd, data, duck):
+    found = by_id(quality.judge_documents(odd))
+    for i, t in enumerate(ODD):
+        r = found[i or None]
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_quality(t)
+    assert rows_of_spark(queries.op7_quality_rules(spark, data)) == rows_of_duck(duck.sql(queries.ORACLE["op7_quality_rules"]))
+
+
+def test_quality_removes_lines_and_keeps_clean_texts(spark):
+    good = "\n".join(f"The {w}1 line says that {w}2 and {w}3 met {w}4 near {w}5." for w in "abcdefgh")
+    menu = "Home | News | About | Contact | Help | Jobs | Press\n" * 12
+    rows = [(1, good), (2, good + "\nAll rights reserved."), (3, good[:200] + "\n" + menu), (4, "buy now!! " * 60), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = by_id(quality.clean(docs, chars_col="n_chars"))
+    assert set(kept) == {1, 2} and kept[1]["text"] == good == kept[2]["text"] and kept[2]["n_chars"] == len(good)
+    assert quality.clean(docs).columns == docs.columns
+
+
+def check_packing(rows, texts, capacity=2048):
+    """Every document whole, every sequence gapless from 0 and within capacity."""
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for i, t in texts.items():
+        ids = np.asarray([*encoded(t), 0], "<u4")
+        parts = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [p["piece"] for p in parts] == list(range(len(parts))) == list(range(-(-len(ids) // capacity)))
+        for p in parts:
+            own = ids[p["start"] : p["start"] + p["length"]]
+            assert p["start"] == p["piece"] * capacity and len(own) == p["length"] and zlib.crc32(own.tobytes()) == p["ids_crc32"]
+    for parts in by_sequence.values():
+        at = 0
+        for p in sorted(parts, key=lambda r: r["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= capacity
+    return len(by_sequence)
+
+
+def test_packing_is_whole_and_tight(spark, odd, data):
+    check_packing(packing.pack(odd, PATH).collect(), {i or None: t for i, t in enumerate(ODD)})
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = queries.op8_best_fit_packing(spark, data).collect()
+    made = check_packing(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
+    assert made <= 1.06 * sum(r["length"] for r in rows) / 2048 + 1
+    assert packing.pack(odd.limit(0), PATH).count() == 0
+    assert packing.pieces(odd, PATH, with_ids=True).where("doc_id = 3").first()["ids"] == [*encoded("a"), 0]
+
+
+def test_each_piece_goes_where_squares_grow_least():
+    r, own = random.Random(2), packing.SumOfSquares(12)
+    open_gaps: Counter = Counter()
+    for _ in range(300):
+        n = r.randint(1, 12)
+        total = lambda c: sum(v * v for g, v in c.items() if g)
+        options = []
+        for g in [g for g, v in open_gaps.items() if v and g >= n] + [12]:
+            after = Counter(open_gaps)
+            after[g] -= g < 12
+            after[g - n] += 1
+            options.append(total(after))
+        _, offset = own.place(n)
+        gap = 12 - offset
+        open_gaps[gap] -= gap < 12
+        open_gaps[gap - n] += 1
+        assert total(open_gaps) == min(options)
+
+
+def test_language_model_base_and_mass(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    found = by_id(queries.op9_lm_scoring(spark, data))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = {r["doc_id"]: maxent_lm.tokens(r["text"]) for r in docs.collect()}
+    counts = Counter(t for i, ts in texts.items() if not held(i) for t in ts)
+    n, v = sum(counts.values()), len(counts)
+    better = 0
+    for i, ts in texts.items():
+        r = found[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(ts), sum(counts[t] > 0 for t in ts), n)
+        assert r["base_score"] == pytest.approx(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in ts), rel=1e-9)
+        assert r["score"] < 0
+        better += r["held_out"] and r["score"] > r["base_score"]
+    assert better > 0.8 * sum(map(held, texts))
+
+
+def test_language_model_probabilities_sum_to_one(spark):
+    texts = ["a b a b c", "b c d", "é b a", None, "a a a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = maxent_lm.count_words(docs)
+    vocabulary = maxent_lm.read_vocabulary(counts)
+    weights = maxent_lm.train(maxent_lm.count_contexts(docs, vocabulary))
+    p = np.exp(maxent_lm._log_softmax(weights, np.arange(maxent_lm.CONTEXTS)))
+    assert np.allclose(p.sum(axis=1), 1)
+    mass = Counter()
+    for w, c in vocabulary.counts.items():
+        mass[maxent_lm._Codes(vocabulary)[w] // maxent_lm.BUCKETS] += c + 1
+    for k, m in mass.items():
+        assert vocabulary.class_mass[k] == m + (k >= maxent_lm.OWN_CLASSES)
+
+
+def test_language_model_of_odd_rows(spark, odd):
+    found = by_id(maxent_lm.score(odd, F.col("doc_id").isNotNull()))
+    assert len(found) == len(ODD) and found[None]["held_out"] and found[None]["n_tokens"] == 1
+    untrained = maxent_lm.score(odd, F.lit(False)).collect()
+    assert {r["train_tokens"] for r in untrained} == {0} and len(untrained) == len(ODD)
+
+
+PRIVATE = "Mail ann.lee@mail7.example.com or +1 (217) 555-0133, card 4539578763621486, at 10.20.30.40 on 2024-02-29 or 29.02.2024; token = \"01da50918c8c15ac50d7f1a99d7687d5c0e364cd\". SSN 123-45-6789, GB82 WEST 1234 5698 7654 32."
+
+
+def test_pseudonyms(spark, odd):
+    other = "Again 4539578763621486!! and 10.20.30.40%%% Version 2.0. CC BY-NC 4.0. 2024-13-45 300.1.1.1 12345"
+    docs = spark.createDataFrame([(1, PRIVATE), (2, other), (3, None), (4, "")], "doc_id long, text string")
+    found = by_id(pii.pseudonymise(docs, "key"))
+    kinds = [(v["kind"], v["value"]) for v in found[1]["_pii"]]
+    assert [k for k, _ in kinds] == ["email", "phone", "card", "ip", "date", "date", "secret", "ssn", "iban"]
+    for value in ("ann.lee@mail7", "555-0133", "4539578763621486", "10.20.30.40", "2024-02-29", "29.02.2024", "01da5091", "123-45-6789", "WEST"):
+        assert value not in found[1]["text"]
+    new = dict(kinds)
+    assert re.sub(r"\d", "9", found[1]["text"]).count("9") == re.sub(r"\d", "9", PRIVATE).count("9") or len(new["ip"]) != len("10.20.30.40")
+    digits = [int(c) for c in reversed(new["card"])]
+    assert sum(d if i % 2 == 0 else (2 * d - 9 * (d > 4)) for i, d in enumerate(digits)) % 10 == 0
+    assert new["card"] in found[2]["text"] and new["ip"] in found[2]["text"]
+    iban = new["iban"].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    iso, german = [v for k, v in kinds if k == "date"]
+    assert iso == "-".join(reversed(german.split(".")))
+    for same in ("Version 2.0.", "CC BY-NC 4.0.", "2024-13-45", "300.1.1.1", "12345"):
+        assert same in found[2]["text"]
+    assert found[3]["text"] is None and found[4]["text"] == "" and found[3]["_pii"] == []
+    assert by_id(pii.pseudonymise(docs, "other key"))[1]["text"] != found[1]["text"]
+    assert pii.pseudonymise(odd, "key").columns == [*odd.columns, "_pii"] and pii.pseudonymise(odd.limit(0), "key").count() == 0
+
+
+def test_pseudonyms_are_permutations(spark):
+    ids = spark.range(3000)
+    ssn = ids.select(F.format_string("%03d-%02d-%04d", F.col("id") % 1000, F.col("id") % 100, F.col("id")).alias("text"))
+    assert pii.pseudonymise(ssn.distinct(), "k").select("text").distinct().count() == ssn.distinct().count()
+    days = ids.select(F.expr("cast(date_add(date'2001-01-01', cast(id AS int)) AS string)").alias("text"))
+    made = pii.pseudonymise(days, "k").select("text").distinct()
+    assert made.count() == 3000 and made.where(F.expr("try_to_timestamp(text) IS NULL")).count() == 0
+    hosts = ids.selectExpr("concat_ws('.', id % 256, id div 256, 7, 9) AS text")
+    assert pii.pseudonymise(hosts, "k").select("text").distinct().count() == 3000
