@@ -1,0 +1,122 @@
+"""Detection as one plan: candidates of several detectors, overlap handling, order, limits, types and scores.
+
+Every step is a DataFrame function by page; a page's stages are never collected. Steps that walk over an image read the
+raster once each; `edges` and the like are worked out once and passed on.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from inkgrid.operators import aggregates, panels, regions, scoring, sequences, stencils
+from inkgrid.sources.fixtures import pixels
+
+
+@dataclass(frozen=True)
+class Options:
+    """What detection is told; the defaults suit pages of some thousand pixels a side."""
+
+    least_w: int = 80
+    least_h: int = 100
+    most_panels: int = 50
+    fast: bool = False
+    vertical: bool = False
+    block: int = 50
+    sensitivity: float = 65.0
+    low_variance: float = 200.0
+
+
+def gutter_grid(rasters: DataFrame, o: Options) -> DataFrame:
+    """Cells between the gutters, the runs of rows and columns whose blocks vary little."""
+    px = pixels(rasters)
+    still = aggregates.block_variance(px, 8).select("page_id", "bx", "by", (F.col("variance") < o.low_variance).alias("still"))
+    size = rasters.select("page_id", "width", "height")
+    spans = []
+    for axis, extent in (("by", "height"), ("bx", "width")):
+        blocks = still.groupBy("page_id", axis).agg(F.avg(F.when(F.col("still"), 1.0).otherwise(0.0)).alias("value")).join(size.select("page_id", extent), "page_id")
+        profile = blocks.select("page_id", extent, "value", F.explode(F.sequence(F.col(axis) * 8, F.col(axis) * 8 + 7)).alias("pos")).where(F.col("pos") < F.col(extent))
+        cuts = sequences.gutters(profile.select("page_id", "pos", "value"), o.sensitivity, 2, 1 << 20, high=True)
+        with_edges = size.select("page_id", extent).join(cuts, "page_id", "left").select("page_id", extent, F.coalesce("at", F.lit(0)).alias("at"))
+        spans.append(sequences.bands(with_edges, extent))
+    return sequences.band_grid(*spans, o.least_w, o.least_h).withColumn("conf", F.lit(70.0))
+
+
+def borderless(rasters: DataFrame, edges: DataFrame, o: Options, dark: float = 20.0, bright: float = 240.0, calm: float = 30.0) -> DataFrame:
+    """Blocks with more than 30 % content and weak edges; touching blocks of a page become one panel."""
+    cell = [F.floor(F.col(c) / o.block).alias(f"b{c}") for c in "xy"]
+    content = pixels(rasters).groupBy("page_id", *cell).agg(F.avg(F.when((F.col("g") > dark) & (F.col("g") < bright), 1.0).otherwise(0.0)).alias("content"))
+    weak = edges.groupBy("page_id", *cell).agg(F.avg("magnitude").alias("edge"))
+    good = content.join(weak, ["page_id", "bx", "by"]).where((F.col("content") > 0.3) & (F.col("edge") < calm))
+    run = F.col("bx") - F.row_number().over(W.partitionBy("page_id", "by").orderBy("bx"))
+    strips = good.withColumn("run", run).groupBy("page_id", "by", "run").agg((F.min("bx") * o.block).alias("x"), (F.count("*") * o.block).alias("w"))
+    return strips.select("page_id", "x", (F.col("by") * o.block).alias("y"), "w", F.lit(o.block).cast("long").alias("h"), F.lit(60.0).alias("conf"))
+
+
+def diagonal(lines: DataFrame, pages: DataFrame, parallel: float = 0.2, least_tilt: float = 15.0) -> DataFrame:
+    """Bounds between each two lines of a page that are near parallel and neither level nor upright. lines: (page_id, angle, rho)."""
+    tilt = F.abs(F.degrees("angle")) % 180
+    slanted = lines.where((tilt > least_tilt) & (tilt < 180 - least_tilt) & (F.abs(tilt - 90) > least_tilt)).withColumn("i", F.row_number().over(W.partitionBy("page_id").orderBy("angle", "rho")))
+    a, b = (slanted.select("page_id", *[F.col(c).alias(f"{c}_{n}") for c in ("i", "angle", "rho")]) for n in "ab")
+    met = a.join(b, "page_id").where((F.col("i_a") < F.col("i_b")) & (F.abs(F.col("angle_a") - F.col("angle_b")) < parallel)).join(pages, "page_id")
+    # Where a line leaves the page at the top and at the bottom.
+    at = lambda n, y: (F.col(f"rho_{n}") - y * F.sin(F.col(f"angle_{n}"))) / F.nullif(F.cos(F.col(f"angle_{n}")), F.lit(0.0))
+    ends = [at(n, y) for n in "ab" for y in (F.lit(0.0), F.col("height"))]
+    left, right = F.greatest(F.lit(0.0), F.least(*ends)), F.least(F.col("width").cast("double"), F.greatest(*ends))
+    whole = lambda c: F.floor(c + 0.5).cast("long")
+    return met.where(right > left).select("page_id", whole(left).alias("x"), F.lit(0).cast("long").alias("y"), whole(right - left).alias("w"), F.col("height").cast("long").alias("h"), F.lit(65.0).alias("conf"))
+
+
+def hierarchical(found: DataFrame, inner: DataFrame) -> DataFrame:
+    """Panels with more than one smaller panel of inner inside give way to those, as insets."""
+    pair = panels.pairs(found, inner).where("b.x >= a.x AND b.y >= a.y AND b.x + b.w <= a.x + a.w AND b.y + b.h <= a.y + a.h AND b.w * b.h < a.w * a.h")
+    crowded = pair.groupBy("page_id", F.col("a.seq").alias("seq")).agg(F.count("*").alias("n")).where("n > 1")
+    kept = found.join(crowded, ["page_id", "seq"], "left_anti").withColumn("inset", F.lit(False))
+    insets = pair.select("page_id", F.col("a.seq").alias("parent"), "b.*").join(crowded.withColumnRenamed("seq", "parent"), ["page_id", "parent"]).select(*found.columns).distinct().withColumn("inset", F.lit(True))
+    return kept.unionByName(insets)
+
+
+def protection(rasters: DataFrame, edges: DataFrame, strength: float = 0.8) -> DataFrame:
+    """Masks (page_id, width, height, g) of what cuts should spare: strong text edges and bright bubbles, widened."""
+    text = stencils.text_edges(rasters.select("page_id", "width", "height").join(edges.groupBy("page_id").agg(F.expr("transform(sort_array(collect_list(named_struct('y', y, 'x', x, 'm', magnitude))), e -> e.m)").alias("g")), "page_id"))
+    bubbles = stencils.bubble_border(rasters)
+    both = text.join(bubbles.select("page_id", F.col("g").alias("b")), "page_id").select("page_id", "width", "height", F.zip_with("g", "b", lambda a, b: F.greatest(a, b) * 255.0).alias("g"))
+    return stencils.dilate(both, max(1, round(5 * strength)))
+
+
+def signature(rasters: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of metrics for each page, and the path that its complexity calls for."""
+    px = pixels(rasters)
+    row = aggregates.page_statistics(px)
+    for part in (
+        aggregates.share(edges, F.col("magnitude") > 50, "edge_density"), aggregates.share(edges, F.col("magnitude") > 100, "clarity"), aggregates.action_density(edges), aggregates.text_density(edges),
+        stencils.noise(rasters), aggregates.share(px, F.col("g") > 200, "whitespace"),
+        aggregates.block_variance(px).groupBy("page_id").agg(F.avg("variance").alias("compression")),
+    ):
+        row = row.join(part, "page_id")
+    complex_ = F.when((F.col("edge_density") > 0.4) | (F.col("action") > 0.5), "high").when((F.col("edge_density") < 0.1) & (F.col("action") < 0.2), "low").otherwise("medium")
+    row = row.withColumn("complexity", complex_)
+    steps = {"gutters": F.lit(True), "watershed": F.col("complexity") != "low", "diagonal": F.col("action") > 0.3, "borderless": F.col("edge_density") < 0.15, "superpixels": F.col("complexity") == "high"}
+    return row.withColumn("algorithms", F.array_compact(F.array(*[F.when(c, k) for k, c in steps.items()])))
+
+
+def detect(rasters: DataFrame, o: Options = Options()) -> DataFrame:
+    """Panels (page_id, panel_id, position, x, y, w, h, conf, kind) of every page; pages without any give no row."""
+    found = {"grid": gutter_grid(rasters, o)}
+    if not o.fast:
+        edges = pixels(stencils.sobel(rasters)).select("page_id", "x", "y", "g.magnitude", "g.direction")
+        found["watershed"] = regions.region_boxes(regions.watershed(rasters), o.least_w, o.least_h).select("page_id", "x", "y", "w", "h", (F.col("confidence") * 100).alias("conf"))
+        found["borderless"] = borderless(rasters, edges, o).where((F.col("w") >= o.least_w) & (F.col("h") >= o.least_h))
+    numbered = panels.union_candidates({k: df.select("page_id", *[F.col(c).cast("long").alias(c) for c in "xywh"], "conf") for k, df in found.items()})
+    numbered = numbered.withColumn("seq", F.row_number().over(W.partitionBy("page_id").orderBy("detector", "y", "x", "w", "h")))
+    merged = panels.merge_overlapping(numbered.select("page_id", "seq", "x", "y", "w", "h", "conf"))
+    ordered = merged.join(panels.reading_order(merged, o.vertical), ["page_id", "seq"])
+    kept = ordered.where(F.col("position") <= o.most_panels).join(rasters.select("page_id", "width", "height"), "page_id")
+    return panels.reindex(kept, "position").select("page_id", "panel_id", "position", "x", "y", "w", "h", "conf", _kind().alias("kind"))
+
+
+def _kind() -> Column:
+    return F.when(F.col("overlapping"), "overlapping").otherwise(scoring.panel_type(F.col("width"), F.col("height")))
