@@ -156,10 +156,10 @@ def _fold(order: str, first: str, step: str, out: str) -> str:
 _BOX = "'seq': p.seq, 'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h, 'conf': p.conf"
 _IOU = iou_sql("k", "p")
 _PAIR = "FROM panels_cv a JOIN panels_cv b ON a.page_id = b.page_id AND a.seq < b.seq"
-_CONTAINS = f"{intersection_sql('k', 'p')} > 0.7 * (p.w * p.h)"
+_CONTAINS = f"{intersection_sql('k', 'p')} > 0.7::DOUBLE * (p.w * p.h)"
 _CLAIM = f"list_extract(list_transform(list_filter(f.kept, lambda k: k.parent IS NULL AND {_CONTAINS}), lambda k: k.seq), 1)"
-_DUP = f"({_IOU} > 0.5 AND least(k.w * k.h, p.w * p.h) > 0.7 * greatest(k.w * k.h, p.w * p.h))"
-_INSIDE = f"{intersection_sql('k', 'p')} > 0.7 * least(k.w * k.h, p.w * p.h)"
+_DUP = f"({_IOU} > 0.5 AND least(k.w * k.h, p.w * p.h) > 0.7::DOUBLE * greatest(k.w * k.h, p.w * p.h))"
+_INSIDE = f"{intersection_sql('k', 'p')} > 0.7::DOUBLE * least(k.w * k.h, p.w * p.h)"
 _FIRST_DUP = f"list_extract(list_transform(list_filter(f.kept, lambda k: {_DUP}), lambda k: k.seq), 1)"
 _MERGED = "{'seq': k.seq, 'x': least(k.x, p.x), 'y': least(k.y, p.y), 'w': greatest(k.x + k.w, p.x + p.w) - least(k.x, p.x), 'h': greatest(k.y + k.h, p.y + p.h) - least(k.y, p.y), 'conf': greatest(k.conf, p.conf::DOUBLE), 'overlapping': k.overlapping}"
 _HELD = f"len(list_filter(f.kept, lambda k: {_INSIDE})) > 0"
