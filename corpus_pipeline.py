@@ -12,15 +12,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import decontaminate, packing, pii, quality, simhash_dedup
+from inkgrid.llm import decontaminate, packing, pii, quality, similar_dedup
 from inkgrid.llm.common import ensure_checkpoints, table
 
 #: Parameters of the stages.
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 PII_KEY = "inkgrid-corpus-key"
-#: Words of a shingle for the near-duplicate stage.
+#: Words of a shingle and similarity of two documents' shingles for the near-duplicate stage.
 DEDUP_WIDTH = 5
+DEDUP_SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash_dedup.near_duplicates(docs, width=DEDUP_WIDTH)
+    groups = similar_dedup.near_duplicates(docs, DEDUP_WIDTH, DEDUP_SIMILARITY)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 

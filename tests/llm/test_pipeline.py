@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 from inkgrid.llm import quality
-from tests.llm.test_pairs import brute_components, brute_fingerprint, brute_leaks
+from tests.llm.test_pairs import brute_leaks
+from tests.llm.test_similar import brute_groups
 from tests.llm.test_texts import check_packing
 
 
@@ -20,7 +21,7 @@ def test_stages_equal_brute_force(spark, data, tmp_path):
             assert {r["doc_id"]: r["text"] for r in rows} == {i: j.clean_text for i, j in judged.items() if j.kept}
             assert all(r["n_chars"] == len(r["text"]) for r in rows)
         elif name == "SimHash near-dedup":
-            groups = brute_components({i: brute_fingerprint(t, 5) for i, t in before.items()})
+            groups = brute_groups(before)
             assert {r["doc_id"] for r in rows} == {i for i, c in groups.items() if i == c}
         elif name == "benchmark decontamination":
             items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
