@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid.llm import decontaminate, packing, pii, quality, similar_dedup
-from inkgrid.llm.common import ensure_checkpoints, table
+from inkgrid.llm.common import cut, ensure_checkpoints, table
 
 #: Parameters of the stages.
 TOKENIZER = "word_bpe_49k.json"
@@ -30,10 +30,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = similar_dedup.near_duplicates(docs, DEDUP_WIDTH, DEDUP_SIMILARITY)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near-duplicates one row stays, with the smallest id; a null id comes after all others."""
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = keyed.select(F.col("_row").alias("id"), "text")
+    placed = similar_dedup.groups(rows, DEDUP_WIDTH, DEDUP_SIMILARITY).select(F.col("id").alias("_row"), "root").join(keyed.select("_row", "doc_id"), "_row")
+    first = placed.groupBy("root").agg(F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("_row"))
+    return keyed.join(first.select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

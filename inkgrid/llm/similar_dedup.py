@@ -105,9 +105,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _edges(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (u, v) between similar rows of docs (id, text) with distinct ids; as many as connect what is similar."""
-    prints = cut(_sketches(docs, width))
+def _edges(docs: DataFrame, reps: DataFrame, known: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) between similar rows of docs (id, text) with distinct ids, among those of reps (id); with the known
+    links (u, v), as many as connect what is similar."""
+    prints = cut(_sketches(docs.join(reps, "id", "left_semi"), width))
     keys = [F.xxhash64(F.lit(k), F.expr(f"shiftrightunsigned(s{k // 2}, {32 * (k % 2)}) & {0xFFFFFFFF}L")) for k in range(POSITIONS // BAND)]
     posted = prints.select("id", F.explode(F.array(*keys)).alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
@@ -116,7 +117,7 @@ def _edges(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     to_first = entries.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
     near = to_first.join(a, "u").join(b, "v").where(_shared("pu", "pv") >= MIN_BYTES).select("u", "v")
     edges = cut(_verify(near, docs, width, similarity))
-    root = components(edges)
+    root = components(edges.union(known))
     placed = entries.join(root.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = placed.join(root.select(F.col("vertex").alias("first"), F.col("root").alias("of_first")), "first", "left").withColumn("of_first", F.coalesce("of_first", "first"))
     placed = placed.join(prints.select("id", F.struct(*_PARTS).alias("p")), "id").select("key", "id", "p", "root", (F.col("root") == F.col("of_first")).alias("linked"), "first")
@@ -129,19 +130,32 @@ def _edges(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return edges.union(more)
 
 
+def groups(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Return (id, fingerprint, root) for every row of rows (id long, text), whose ids are distinct and not null, and
+    which give the same rows each time they are read.
+
+    Equal texts are one entry, by the smallest id; entries with equal or close SimHashes are linked, and so are all
+    entries with similar shingle sets. root is an id of the group, the same for all its rows.
+    """
+    hashed = rows.select("id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("h"))
+    texts = cut(hashed.groupBy("h").agg(F.min("id").alias("id")))
+    distinct = rows.select("id", "text").join(texts.select("id"), "id", "left_semi")
+    close = cut(simhash_dedup.near_duplicates(distinct, width, "id"))
+    known = close.where("id <> component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    root = components(_edges(rows, close.select("id"), known, width, similarity).union(known))
+    named = close.join(root, F.col("id") == F.col("vertex"), "left").select("id", "fingerprint", F.coalesce("root", "id").alias("root"))
+    return hashed.join(texts.join(named, "id").drop("id"), "h", "left").select("id", "fingerprint", "root")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return id_col, fingerprint and component_id for every row of docs, as simhash_dedup does, linked by similarity too.
 
-    Texts with equal SimHashes are one entry, the smallest id. Links are SimHashes within 3 bits, and shingle sets of a Jaccard
-    similarity of at least the given one. Null, empty and blank texts are linked with one another only. A null id has a
-    null component_id; rows that share an id are one vertex. Other columns are not read; an empty table gives none.
+    Links are SimHashes within 3 bits, and shingle sets of a Jaccard similarity of at least the given one. Null, empty and
+    blank texts are linked with one another only. Every row is a vertex with its own text, so rows that share an id
+    follow their texts; component_id is the smallest id of the row's group, and null for a row with a null id. Other columns are not
+    read; an empty table gives none.
     """
-    groups = cut(simhash_dedup.near_duplicates(docs, width, id_col, text_col).select(F.col(id_col).alias("id"), "fingerprint", "component_id"))
-    entries = cut(groups.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("rep"), F.min("component_id").alias("of")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(entries.select(F.col("rep").cast("long").alias("id")), "id", "left_semi")
-    texts = cut(texts.dropDuplicates(["id"]))
-    known = entries.where("rep <> of").select(F.col("rep").cast("long").alias("u"), F.col("of").cast("long").alias("v"))
-    root = components(_edges(texts, width, similarity).union(known))
-    named = entries.join(root, F.col("rep") == F.col("vertex"), "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
-    joined = groups.drop("component_id").join(named, "fingerprint", "left")
-    return joined.select(F.col("id").alias(id_col), "fingerprint", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    rows = cut(docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text")).withColumn("id", F.monotonically_increasing_id()))
+    found = cut(rows.select("id", "of").join(groups(rows, width, similarity), "id"))
+    least = found.groupBy("root").agg(F.min("of").alias("component_id"))
+    return found.join(least, "root").select(F.col("of").alias(id_col), "fingerprint", F.when(F.col("of").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from inkgrid.llm import similar_dedup
 from tests.llm.test_pairs import brute_components, brute_fingerprint
 
@@ -50,3 +51,38 @@ def test_sketches_share_bytes_as_texts_share_shingles(spark):
     parts = [f"named_struct({', '.join(f'''{chr(39)}s{k}{chr(39)}, {c}[{k}]''' for k in range(8))}) AS {c}" for c in "ab"]
     shared = rows.selectExpr(*parts).select(similar_dedup._shared("a", "b")).first()[0]
     assert shared == int((a.view("uint8") == b.view("uint8")).sum()) and shared > similar_dedup.MIN_BYTES
+
+
+def _texts_of_one_fingerprint():
+    """Two texts with equal fingerprints, and a third that is similar to the second only."""
+    base, tail = " ".join(f"w{k}" for k in range(41)), " ".join(f"t{k}" for k in range(12))
+    repeated = " ".join([base] * 20)
+    return repeated, f"{repeated} {tail}", f"{base} {tail}"
+
+
+def test_every_text_of_a_fingerprint_is_compared(spark):
+    one, other, like_other = _texts_of_one_fingerprint()
+    assert brute_fingerprint(one, 5) == brute_fingerprint(other, 5)
+    texts = {1: one, 2: other, 3: like_other}
+    found = similar_dedup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute_groups(texts) == {1: 1, 2: 1, 3: 1}
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    draw = random.Random(8)
+    text = lambda: " ".join(f"{draw.choice('abc')}{draw.randrange(10_000)}" for _ in range(100))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [
+        (None, a, 1), (None, near(a), 1),  # a group of null ids: one stays
+        (None, b, 1), (7, near(b), 1),  # a null id gives way to another
+        (5, c, 1), (5, c, 1), (5, c, 2),  # repeated rows: one stays
+        (4, d, 1), (4, e, 1), (6, near(e), 1), (2, near(d), 1),  # one id with two texts: each in its own group
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(found) == 5 and {x for x in found if x[0] is not None} == {(7, near(b)), (5, c), (4, e), (2, near(d))}
+    assert [t for i, t in found if i is None][0] in (a, near(a))
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
