@@ -15,6 +15,8 @@ ROUNDS = 8
 #: Days from 1900-01-01 that dates are permuted among, as two factors: the two sides of their Feistel network.
 DAYS = (292, 250)
 FIRST_DAY = "1900-01-01"
+#: Steps at most of a walk among days over 12: so many in a row that all miss have a probability below 1e-25.
+WALK = 64
 
 _WORD = r"[\p{L}\p{N}._%+-]"
 #: Kinds in order of precedence. Each pattern is anchored at both ends so that it takes whole values only.
@@ -22,10 +24,10 @@ PATTERNS = {
     "email": rf"(?<!{_WORD}){_WORD}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)*\.\p{{L}}{{2,}}+",
     "secret": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])",
+    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -105,12 +107,26 @@ def _ip(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    """Days from 1900 to 2099 are permuted; what is no such day stays. A slash is read as month/day/year."""
-    styles = {"-": "yyyy-MM-dd", ".": "dd.MM.yyyy", "/": "MM/dd/yyyy"}
-    style = f"CASE WHEN v LIKE '%-%' THEN '{styles['-']}' WHEN v LIKE '%.%' THEN '{styles['.']}' ELSE '{styles['/']}' END"
-    day = f"datediff(to_date(try_to_timestamp(v, {style})), date'{FIRST_DAY}')"
+    """Days from 1900 to 2099 are permuted; what is no such day stays. A slash is read as month/day/year, and as day/month/year
+    where that is impossible. The latter have days over 12 and are permuted among such days, so that they stay in their notation.
+    A part keeps its leading zero, and has none where another part has one digit without it."""
     a, b = DAYS
-    return _let(day, "d", f"CASE WHEN d BETWEEN 0 AND {a * b - 1} THEN date_format(date_add(date'{FIRST_DAY}', cast({_permute_number('d', key, 'date', a, b)} AS int)), {style}) ELSE v END")
+    parts = "split(v, '[-./]')"
+    # What is read as (year, month, day), and the same places for writing.
+    order = "CASE WHEN v LIKE '%-%' THEN array(0, 1, 2) WHEN v LIKE '%.%' OR (cast(p[0] AS int) > 12 AND cast(p[1] AS int) <= 12) THEN array(2, 1, 0) ELSE array(2, 0, 1) END"
+    day = f"datediff(to_date(try_to_timestamp(concat_ws('-', p[o[0]], lpad(p[o[1]], 2, '0'), lpad(p[o[2]], 2, '0')), 'yyyy-MM-dd')), date'{FIRST_DAY}')"
+    moved = f"cast({_permute_number('x', key, 'date', a, b)} AS int)"
+    on = lambda n: f"date_add(date'{FIRST_DAY}', cast({n} AS int))"
+    # Steps on until the day is over 12, as three of five are: the permutation's own order among those days.
+    step = f"named_struct('x', y, 'done', dayofmonth({on('y')}) > 12)"
+    walk = f"aggregate(sequence(1, {WALK}), named_struct('x', cast(d AS int), 'done', false), (w, i) -> CASE WHEN w.done THEN w ELSE {_let('w.x', 'x', _let(moved, 'y', step))} END, w -> w.x)"
+    new = f"CASE WHEN v LIKE '%/%' AND o[2] = 0 THEN {walk} ELSE {_let('d', 'x', moved)} END"
+    bare = "exists(p, x -> length(x) = 1)"
+    two = lambda n, k: f"CASE WHEN {bare} AND NOT p[o[{k}]] LIKE '0%' THEN cast({n} AS string) ELSE lpad({n}, 2, '0') END"
+    made = _let(on("n"), "t", f"array(lpad(year(t), 4, '0'), {two('month(t)', 1)}, {two('day(t)', 2)})")
+    mark = "CASE WHEN v LIKE '%-%' THEN '-' WHEN v LIKE '%.%' THEN '.' ELSE '/' END"
+    back = _let(made, "m", f"array_join(transform(array(0, 1, 2), i -> m[cast(array_position(o, i) AS int) - 1]), {mark})")
+    return _let(parts, "p", _let(order, "o", _let(day, "d", f"CASE WHEN d BETWEEN 0 AND {a * b - 1} THEN {_let(new, 'n', back)} ELSE v END")))
 
 
 def _email(key: str) -> str:

@@ -228,3 +228,25 @@ def test_pseudonyms_are_permutations(spark):
     assert made.count() == 3000 and made.where(F.expr("try_to_timestamp(text) IS NULL")).count() == 0
     hosts = ids.selectExpr("concat_ws('.', id % 256, id div 256, 7, 9) AS text")
     assert pii.pseudonymise(hosts, "k").select("text").distinct().count() == 3000
+
+
+def test_dates_of_every_notation_and_grouped_cards(spark):
+    texts = {
+        1: "25/12/1990", 2: "5.3.1990", 3: "1/2/1990", 4: "1990-3-5", 5: "31/1/2001", 6: "05.03.1990", 7: "05.3.1990",
+        8: "3782 822463 10005", 9: "3782-822463-10005", 10: "13/13/1990", 11: "31/02/1990", 12: "0.3.1990", 13: "25.12.1990", 14: "12/25/1990", 15: "3056 930902 5904",
+    }
+    found = by_id(pii.pseudonymise(spark.createDataFrame([*texts.items()], "doc_id long, text string"), "key"))
+    new = {i: found[i]["text"] for i in texts}
+    assert {i for i in texts if new[i] == texts[i]} == {10, 11, 12}
+    assert re.fullmatch(r"(1[3-9]|2\d|3[01])/(0\d|1[0-2])/\d{4}", new[1]) and re.fullmatch(r"(1[3-9]|2\d|3[01])/[1-9]\d?/\d{4}", new[5])
+    assert re.fullmatch(r"0?[1-9]/[1-9]\d?/\d{4}|1[0-2]/[1-9]\d?/\d{4}", new[3]) and re.fullmatch(r"[1-9]\d?\.[1-9]\d?\.\d{4}", new[2]) and re.fullmatch(r"\d{4}-[1-9]\d?-[1-9]\d?", new[4])
+    of = lambda t, k: tuple(int(re.split("[-./]", t)[i]) for i in k)
+    assert of(new[2], (2, 1, 0)) == of(new[6], (2, 1, 0)) == of(new[7], (2, 1, 0)) == of(new[4], (0, 1, 2))
+    assert of(new[13], (2, 1, 0)) == of(new[14], (2, 0, 1))
+    assert re.fullmatch(r"\d{4} \d{6} \d{5}", new[8]) and new[9] == new[8].replace(" ", "-") and re.fullmatch(r"\d{4} \d{6} \d{4}", new[15])
+    for i in (8, 15):
+        digits = [int(c) for c in reversed(new[i].replace(" ", ""))]
+        assert sum(d if k % 2 == 0 else (2 * d - 9 * (d > 4)) for k, d in enumerate(digits)) % 10 == 0
+    days = spark.range(9000).selectExpr("date_add(date'1960-01-01', cast(id AS int)) AS d").where("day(d) > 12").selectExpr("date_format(d, 'dd/MM/yyyy') AS text")
+    made = pii.pseudonymise(days, "k").select("text").distinct()
+    assert made.count() == days.count() == made.where("cast(substr(text, 1, 2) AS int) > 12 AND try_to_timestamp(text, 'dd/MM/yyyy') IS NOT NULL").count()
