@@ -1,8 +1,9 @@
 """Quotation linking: from messages that quote one another to reply-ordered conversations without quotes.
 
 Lines that start with quote marks (>) are parsed into nested levels; a run of lines of one level is a quoted passage.
-Passages and lines are hashed after normalising, and joined within their conversation to the message that wrote them
-first. A message replies to the earlier message most of whose words it quotes; it joins the thread of that message. In a
+Passages, their paragraphs, lines and sentences are hashed after normalising, and joined within their conversation to the
+message that wrote them first. A message replies to the earlier message most of whose words it quotes at the lowest level at
+which it quotes any: deeper levels are what that message quoted itself. It joins the thread of that message. In a
 conversation, threads stand in the order of their first messages, and a thread's messages in the order of turns, so that
 every message follows what it replies to.
 """
@@ -21,6 +22,8 @@ from .common import cut
 
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _WORD = re.compile(r"\w+")
+_BLANK = re.compile(r"\n(?:[ \t\r]*\n)+")
+_SENTENCE = re.compile(r"(?<=[.!?:;…])[\"')\]»”’]*\s+|(?<=[。！？])")
 MAX_ROUNDS = 64
 
 
@@ -57,54 +60,69 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def _keys(text: str) -> dict[int, int]:
-    """Hashes of the passage and of each of its lines, with their numbers of words."""
-    found = {}
-    for part in (text, *text.split("\n")):
-        if words := normal(part):
-            found[_hash(words)] = words.count(" ") + 1
+def _keys(text: str, start: int = 0) -> set[tuple[int, int, int]]:
+    """(hash, start, end) of the passage and of each of its paragraphs, lines and sentences; start and end count its words."""
+    found = set()
+    paragraphs = _BLANK.split(text)
+    for parts in ([text], paragraphs, text.split("\n"), [s for p in paragraphs for s in _SENTENCE.split(p)]):
+        at = start
+        for part in parts:
+            if words := normal(part):
+                end = at + words.count(" ") + 1
+                found.add((_hash(words), at, end))
+                at = end
     return found
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    """Per message: body without quotes, n_quotes, max_level, and keys: (h, n, quoted, level) of its passages and lines."""
+    """Per message: body without quotes, n_quotes, max_level, part (a hash of its text), and keys: (h, level, start, end) of
+    its passages, paragraphs, lines and sentences. level is 0 for the message's own; start and end count quoted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32()), ("quoted", pa.bool_())]))
+        key = pa.list_(pa.struct([("h", pa.int64()), ("level", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            bodies, n_quotes, levels, keys = [], [], [], []
+            bodies, n_quotes, levels, parts, keys = [], [], [], [], []
             for text in batch.column(0):
                 own, passages = parse(text.as_py())
                 body = "\n".join(own).strip("\n")
                 bodies.append(body)
                 n_quotes.append(len(passages))
                 levels.append(max((k for k, _ in passages), default=0))
-                found = [{"h": h, "n": n, "quoted": False} for h, n in _keys(body).items()]
-                found += [{"h": h, "n": n, "quoted": True} for h, n in {h: n for _, p in passages for h, n in _keys(p).items()}.items()]
+                parts.append(_hash(text.as_py() or ""))
+                found = [{"h": h, "level": 0, "start": 0, "end": 0} for h in {h for h, _, _ in _keys(body)}]
+                at = 0
+                for level, passage in passages:
+                    spans = _keys(passage, at)
+                    found += [{"h": h, "level": level, "start": i, "end": j} for h, i, j in spans]
+                    at = max((j for _, _, j in spans), default=at)
                 keys.append(found)
-            yield pa.record_batch([*batch.columns[1:], pa.array(bodies, pa.string()), pa.array(n_quotes, pa.int64()), pa.array(levels, pa.int64()), pa.array(keys, key)], names=[*batch.schema.names[1:], "body", "n_quotes", "max_level", "keys"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(bodies, pa.string()), pa.array(n_quotes, pa.int64()), pa.array(levels, pa.int64()), pa.array(parts, pa.int64()), pa.array(keys, key)], names=[*batch.schema.names[1:], "body", "n_quotes", "max_level", "part", "keys"])
 
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields[1:]]
-    return messages.mapInArrow(run, ", ".join([*names, "body string, n_quotes long, max_level long, keys array<struct<h:bigint,n:int,quoted:boolean>>"]))
+    return messages.mapInArrow(run, ", ".join([*names, "body string, n_quotes long, max_level long, part long, keys array<struct<h:bigint,level:int,start:int,end:int>>"]))
 
 
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """Return conv_id, turn, role, n_quotes, max_level, reply_to, thread and body for every row of conversations.
 
-    reply_to is the turn of the quoted message (of equally quoted ones the latest), null where nothing earlier of the
-    conversation is quoted; thread is the first turn of the chain of replies. Order by conv_id, thread, turn.
+    reply_to is the turn of the message quoted most at the lowest level with a match (of equally quoted ones the latest), null
+    where nothing earlier of the conversation is quoted; thread is the first turn of the chain of replies. Order by conv_id, thread, turn.
     A null text is an empty message. Rows with a null conversation or turn are kept and neither quoted nor linked. Rows
     that share conversation and turn are one message in parts: they have the same reply_to and thread. Columns beyond
     conv_id, turn, role and text are not read; an empty table gives an empty result.
     """
     parsed = cut(_parsed(conversations.select("text", "conv_id", "turn", "role")))
-    keys = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.inline("keys"))
-    quotes = keys.where("quoted").select("conv_id", F.col("turn").alias("at"), "h", "n").distinct()
+    keys = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "part", F.inline("keys"))
+    quotes = keys.where("level > 0").select("conv_id", F.col("turn").alias("at"), "part", "h", "level", "start", "end").distinct()
     # Each passage has one original, the first message with it, so common lines give no more pairs than there are quotes.
-    originals = keys.where(~F.col("quoted")).groupBy("conv_id", "h").agg(F.min("turn").alias("turn"))
+    originals = keys.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("turn"))
     met = quotes.join(originals, ["conv_id", "h"]).where("turn < at")
-    weight = met.groupBy("conv_id", "at", "turn").agg(F.sum("n").alias("n"))
-    replies = cut(weight.groupBy("conv_id", "at").agg(F.max(F.struct("n", "turn")).alias("best")).select("conv_id", "at", F.col("best.turn").alias("reply_to")))
+    # A paragraph holds its lines and sentences, so the words that any of them covers are counted once.
+    spans = met.groupBy("conv_id", "at", "level", "turn", "part").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    covered = "aggregate(array_sort(spans), named_struct('n', 0, 'to', 0), (s, x) -> named_struct('n', s.n + greatest(x.end - greatest(x.start, s.to), 0), 'to', greatest(s.to, x.end)), s -> s.n)"
+    weight = spans.withColumn("n", F.expr(covered)).groupBy("conv_id", "at", "level", "turn").agg(F.sum("n").alias("n"))
+    best = F.max(F.struct((-F.col("level")).alias("near"), "n", "turn")).alias("best")
+    replies = cut(weight.groupBy("conv_id", "at").agg(best).select("conv_id", "at", F.col("best.turn").alias("reply_to")))
     chain = _roots(replies)
     known = replies.join(chain, ["conv_id", "at"])
     out = parsed.join(known.withColumnRenamed("at", "turn"), ["conv_id", "turn"], "left")

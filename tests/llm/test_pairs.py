@@ -187,3 +187,24 @@ def test_conversations_without_quotes_stay_as_they_are(spark, data):
     talk = spark.read.parquet(f"{data}/conversations.parquet")
     found = queries.op5_quotation_linking(spark, data)
     assert found.count() == talk.count() and found.where("n_quotes = 0 AND body <> text").count() if "text" in found.columns else True
+
+
+NESTED = [
+    (1, 0, "Could we please move the long planning meeting to Thursday afternoon next week?"),
+    (1, 1, "> Could we please move the long planning meeting to Thursday afternoon next week?\nThursday works."),
+    (1, 2, ">> Could we please move the long planning meeting to Thursday afternoon next week?\n> Thursday works.\nBooked."),
+    (1, 3, ">> Thursday works.\nOnly the deeper quote is known."),
+    (2, 0, "First paragraph is here. It has two\nsentences.\n\nThe second one is\nsplit otherwise.\n\nThe third is left out."),
+    (2, 1, "Something else."),
+    (2, 2, "> First paragraph\n> is here. It has two sentences.\n>\n> The second one\n> is split otherwise.\nAgreed."),
+    (2, 3, "> It has\n> two sentences.\nTwo?"),
+    (3, 0, "a b c.\nd e f."), (3, 1, "g h i j k"), (3, 2, "> a b c.\n> x\n> g h i j k\nno"),
+]
+
+
+def test_parent_is_quoted_at_the_lowest_level_and_however_wrapped(spark):
+    rows = [(c, t, "u", x) for c, t, x in NESTED]
+    found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in found} == {
+        (1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): 1, (2, 0): None, (2, 1): None, (2, 2): 0, (2, 3): 0, (3, 0): None, (3, 1): None, (3, 2): 1,
+    }
