@@ -5,12 +5,22 @@ fingerprint of 64 positional bytes, each from the smallest of the shingles' hash
 share a byte about as often as they share shingles. The index keys four positional bytes at a time; pairs of a list
 are tallied by the bytes that they share, retained from MIN_BYTES on, and verified on their whole shingle sets.
 
-A list's entries meet its smallest id first. Those that this links need no more comparing; the others meet every entry
-of the list that they aren't connected with, so no pair of a list goes unlinked and linked groups give no pairs.
+Guarantee: two texts of similarity s share all bytes of a key with probability s^4, so one of 0.8 misses all 16 keys with
+probability 0.0002, and shares fewer than MIN_BYTES bytes with probability 0.00003; no pair is dropped for any other reason.
+
+Large groups give no pairs. Every list has a pivot, the entry whose own lists are the longest, i.e. the most central text;
+entries meet it first, and most are linked by that. What is left of a list is decided exactly without meeting one by one:
+
+* Entries near their pivot (MIN_BYTES shared) are told by their difference to it: the shingles that they lack and those that
+  they add. Two of them are similar only if their differences overlap by g(x) + g(y), with g = s / (1 + s) * size + lacking -
+  size of the pivot / 2. So the pairs to look at are those that share an element among the rarest of their differences
+  (the prefix filter of set joins), with enough elements left behind it to reach the overlap.
+* Entries far from their pivot are few and unlike it; they meet their lists' entries, and retained pairs are verified.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -18,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import simhash_dedup
 from .common import cut
@@ -27,6 +38,8 @@ POSITIONS = 64
 BAND = 4
 #: Shared bytes from which pairs are verified: four deviations below what a similarity of 0.8 gives (51 of 64).
 MIN_BYTES = 38
+#: Overlaps are compared with so much to spare, for sums of fractions.
+SLACK = 1e-6
 #: Shingle hashes are permuted in blocks of so many.
 BLOCK = 16_384
 #: The lowest bit of each of eight bytes.
@@ -105,29 +118,92 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _differences(members: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(v, u, e, size, least, g) of members (v, u, apart): each element e of the difference between the shingles of u and
+    those of its pivot v, how many there are, how many of them a partner shares at least, and g.
+
+    apart: whether u is not connected with the pivot. Only pairs with such an entry are asked for, and it is not similar to
+    the pivot, so that g(u) + g(v) > 0; that gives the least overlap for it and for its partners.
+    """
+    share = similarity / (1 + similarity)
+
+    def hashes(text: str | None) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        own = shingles(text, width)
+        return np.unique(np.fromiter(map(xxh64_intdigest, own, repeat(7)), dtype=np.uint64, count=len(own)).view(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, u, apart, pivot, text = (c.to_pylist() for c in batch.columns)
+            out: list[list] = [[], [], [], [], [], []]
+            last, mine = None, np.array([], dtype=np.int64)
+            for i, j, alone, a, b in zip(v, u, apart, pivot, text, strict=True):
+                if i != last:
+                    last, mine = i, hashes(a)
+                own = hashes(b)
+                lacks = np.setdiff1d(mine, own, assume_unique=True)
+                adds = np.setdiff1d(own, mine, assume_unique=True)
+                g = share * len(own) + len(lacks) - len(mine) / 2
+                g_pivot = (share - 0.5) * len(mine)
+                least = max(1, math.ceil((g + g_pivot if alone else g - g_pivot) - SLACK))
+                found = np.concatenate([lacks, adds])
+                if least <= len(found):
+                    for column, value in zip(out, (repeat(i, len(found)), repeat(j, len(found)), found.tolist(), repeat(len(found), len(found)), repeat(least, len(found)), repeat(g, len(found))), strict=True):
+                        column.extend(value)
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, [*[pa.int64()] * 5, pa.float64()], strict=True)], names=["v", "u", "e", "size", "least", "g"])
+
+    texts = docs.select("id", "text")
+    met = members.join(texts.selectExpr("id AS u", "text AS b"), "u").join(texts.selectExpr("id AS v", "text AS a"), "v")
+    return met.select("v", "u", "apart", "a", "b").mapInArrow(run, "v long, u long, e long, size long, least long, g double")
+
+
+def _overlapping(members: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of members (v, u, apart, root) of one pivot v that may be similar and aren't connected, by the prefix filter."""
+    elements = cut(_differences(members.select("v", "u", "apart"), docs, width, similarity))
+    # The rarest elements first; the same order for all members of a pivot.
+    often = elements.groupBy("v", "e").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("v", "u").orderBy("n", "e"))
+    posted = elements.join(often, ["v", "e"]).withColumn("rank", rank).where("rank <= size - least + 1").withColumn("left", F.col("size") - F.col("rank") + 1)
+    posted = cut(posted.join(members, ["v", "u"]).select("v", "e", "u", "left", "g", "apart", "root"))
+    a = posted.where("apart").select("v", "e", F.col("u").alias("a"), F.col("left").alias("left_a"), F.col("g").alias("g_a"), F.col("root").alias("root_a"))
+    b = posted.select("v", "e", F.col("u").alias("b"), F.col("left").alias("left_b"), F.col("g").alias("g_b"), F.col("root").alias("root_b"), "apart")
+    reach = F.least("left_a", "left_b") >= F.col("g_a") + F.col("g_b") - SLACK
+    met = a.join(b, ["v", "e"]).where((F.col("root_a") != F.col("root_b")) & (~F.col("apart") | (F.col("a") < F.col("b"))) & reach)
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def _edges(docs: DataFrame, reps: DataFrame, known: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (u, v) between similar rows of docs (id, text) with distinct ids, among those of reps (id); with the known
     links (u, v), as many as connect what is similar."""
     prints = cut(_sketches(docs.join(reps, "id", "left_semi"), width))
     keys = [F.xxhash64(F.lit(k), F.expr(f"shiftrightunsigned(s{k // 2}, {32 * (k % 2)}) & {0xFFFFFFFF}L")) for k in range(POSITIONS // BAND)]
     posted = prints.select("id", F.explode(F.array(*keys)).alias("key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    entries = cut(posted.join(lists, "key"))
+    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(posted.join(lists, "key"))
+    central = shared.groupBy("id").agg(F.sum("n").alias("central"))
+    pivots = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("early"))).alias("p")).select("key", (-F.col("p.early")).alias("pivot"))
+    entries = cut(shared.select("key", "id").join(pivots, "key"))
     a, b = (prints.select(F.col("id").alias(c), F.struct(*_PARTS).alias(f"p{c}")) for c in "uv")
-    to_first = entries.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
-    near = to_first.join(a, "u").join(b, "v").where(_shared("pu", "pv") >= MIN_BYTES).select("u", "v")
+    to_pivot = entries.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
+    near = cut(to_pivot.join(a, "u").join(b, "v").where(_shared("pu", "pv") >= MIN_BYTES).select("u", "v"))
     edges = cut(_verify(near, docs, width, similarity))
-    root = components(edges.union(known))
-    placed = entries.join(root.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = placed.join(root.select(F.col("vertex").alias("first"), F.col("root").alias("of_first")), "first", "left").withColumn("of_first", F.coalesce("of_first", "first"))
-    placed = placed.join(prints.select("id", F.struct(*_PARTS).alias("p")), "id").select("key", "id", "p", "root", (F.col("root") == F.col("of_first")).alias("linked"), "first")
-    placed = cut(placed)
-    # What the first entry does not link meets every other entry of its list; of two such, the larger id asks.
-    rest = placed.where("NOT linked").select("key", F.col("id").alias("u"), F.col("p").alias("pu"), F.col("root").alias("ru"))
-    others = placed.where("id <> first").select("key", F.col("id").alias("v"), F.col("p").alias("pv"), F.col("root").alias("rv"), "linked")
-    met = rest.join(others, "key").where((F.col("ru") != F.col("rv")) & (F.col("linked") | (F.col("u") > F.col("v"))) & (_shared("pu", "pv") >= MIN_BYTES))
-    more = _verify(met.select("u", "v").distinct(), docs, width, similarity)
-    return edges.union(more)
+    root = cut(components(edges.union(known)))
+
+    def rooted(df: DataFrame, of: str, name: str) -> DataFrame:
+        return df.join(root.select(F.col("vertex").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
+
+    members = rooted(rooted(near, "u", "root"), "v", "of_pivot").withColumn("apart", F.col("root") != F.col("of_pivot"))
+    unsettled = members.where("apart").select("v").distinct()
+    members = cut(members.join(unsettled, "v", "left_semi").select("v", "u", "apart", "root"))
+    more = _verify(_overlapping(members, docs, width, similarity), docs, width, similarity)
+    far = entries.where("id <> pivot").join(near.select(F.col("u").alias("id"), F.col("v").alias("pivot")), ["id", "pivot"], "left_anti").select("key", "id")
+    here = entries.select("key", "id").join(far.select("key").distinct(), "key", "left_semi").join(far.withColumn("far", F.lit(True)), ["key", "id"], "left")
+    placed = cut(rooted(here, "id", "root").join(prints.select("id", F.struct(*_PARTS).alias("p")), "id"))
+    ask = placed.where("far").select("key", F.col("id").alias("u"), F.col("p").alias("pu"), F.col("root").alias("ru"))
+    others = placed.select("key", F.col("id").alias("v"), F.col("p").alias("pv"), F.col("root").alias("rv"), "far")
+    met = ask.join(others, "key").where((F.col("ru") != F.col("rv")) & (F.col("far").isNull() | (F.col("u") > F.col("v"))) & (_shared("pu", "pv") >= MIN_BYTES))
+    return edges.union(more).union(_verify(met.select("u", "v").distinct(), docs, width, similarity))
 
 
 def groups(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -86,3 +86,40 @@ def test_stage_keeps_one_row_of_each_group(spark):
     assert len(found) == 5 and {x for x in found if x[0] is not None} == {(7, near(b)), (5, c), (4, e), (2, near(d))}
     assert [t for i, t in found if i is None][0] in (a, near(a))
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def _edited(draw, words, edits):
+    """words with so many of them changed, each to a word of its own."""
+    made = list(words)
+    for k in draw.sample(range(len(made)), edits):
+        made[k] = f"e{draw.randrange(10**9)}"
+    return made
+
+
+def test_large_groups_around_and_just_below_the_similarity(spark):
+    """A group whose copies differ in few or many places, some of them in the same, and one of texts just too different."""
+    draw = random.Random(11)
+    base = [f"b{draw.randrange(10**9)}" for _ in range(150)]
+    texts = {k: " ".join(_edited(draw, base, draw.choice([0, 1, 2, 3, 4, 5, 6, 8]))) for k in range(300)}
+    shared = _edited(draw, base, 6)
+    texts |= {400 + k: " ".join(_edited(draw, shared, draw.choice([1, 2, 3]))) for k in range(60)}
+    other = [f"o{draw.randrange(10**9)}" for _ in range(150)]
+    texts |= {600 + k: " ".join(_edited(draw, other, 3)) for k in range(200)}  # most pairs are at 0.66: many are retained, few are similar
+    expected = brute_groups(texts)
+    found = similar_dedup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert len({c for i, c in expected.items() if i >= 600}) > 20 and len({c for i, c in expected.items() if i < 300}) > 20
+
+
+def test_similar_pairs_are_all_found(spark, data):
+    """Recall on real texts against brute force over all pairs: every pair of similarity 0.8 ends in one group."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    draw = random.Random(5)
+    for i, t in list(docs.items()):
+        words = (t or "").split(" ")
+        if len(words) > 60:
+            docs[10_000 + i] = " ".join(_edited(draw, words, max(1, len(words) // 60)))  # about 0.85
+    expected = brute_groups(docs)
+    found = similar_dedup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in docs.items()], SCHEMA)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert sum(i >= 10_000 and c < 10_000 for i, c in expected.items()) > 50
