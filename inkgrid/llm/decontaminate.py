@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -118,7 +118,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return found.groupBy("id", "item_id").agg(best).select(F.col("id").alias(id_col), "item_id", (-F.col("best.early")).cast("long").alias("start"), F.col("best.n").cast("long").alias("n_words"), (-F.col("best.near")).cast("long").alias("hamming"), F.col("best.similarity").alias("similarity"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose document holds no item; rows with a null id stay."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col) == F.col("_leak"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item. Each row is judged by its own text, whatever its id."""
+    row = unused(docs, "_row")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    leaks = find_leaks(keyed, benchmark, row, text_col).select(row).distinct()
+    return keyed.join(leaks, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, unused
 from .token_counts import _PYTHON_ONLY_SPACE, splits_at_space, text_groups, worker_cache
 
 #: Documents of a shard. Sum-of-squares leaves a few sequences open at the end of each, so larger shards waste less
@@ -105,15 +106,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def place(cut: DataFrame, shards: int, capacity: int = 2048) -> DataFrame:
-    """The rows of cut, which have a length of 1 to capacity, with sequence_id and offset.
+def place(found: DataFrame, shards: int, capacity: int = 2048) -> DataFrame:
+    """The rows of found, which have a length of 1 to capacity, with sequence_id and offset.
 
     Full pieces are sequences of their own. Shards are told apart in sequence_id, whose numbers have gaps. A shard's
     pieces are placed in an order that is fixed by the rows themselves, so that a task that is run again gives the same.
     """
-    own = [c for c in cut.columns if c != "ids"]
+    own = found.columns
     late = F.when(F.col("length") < capacity * SMALL, -F.col("length")).otherwise(-capacity)
-    dealt = cut.withColumn("_deal", F.xxhash64(*own)).repartition(shards, "_deal").sortWithinPartitions(late, "_deal", *own).drop("_deal")
+    dealt = found.withColumn("_deal", F.xxhash64(*own)).repartition(shards, "_deal").sortWithinPartitions(late, "_deal", *own).drop("_deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SumOfSquares(capacity)
@@ -122,14 +123,20 @@ def place(cut: DataFrame, shards: int, capacity: int = 2048) -> DataFrame:
             placed = [own.place(n) for n in batch.column("length").to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array([base + s for s, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    return dealt.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields] + ["sequence_id long", "offset long"]))
+    return dealt.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields] + ["sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and place: (id_col, piece, start, length, ids_crc32, sequence_id, offset), and ids if asked for.
 
     Every row of docs is a document, with repeated and null ids too. Other columns are not read; an empty table gives
-    an empty result.
+    an empty result. Token ids are written once and joined to their places; placing itself only sees rows of numbers.
     """
     shards = max(1, -(-docs.count() // SHARD_DOCS))
-    return place(pieces(docs, path, capacity, id_col, text_col, with_ids), shards, capacity)
+    found = pieces(docs, path, capacity, id_col, text_col, with_ids)
+    if not with_ids:
+        return place(found, shards, capacity)
+    row = unused(found, "_row")
+    kept = cut(found.withColumn(row, F.monotonically_increasing_id()))
+    placed = place(kept.drop("ids"), shards, capacity)
+    return placed.join(kept.select(row, "ids"), row).select(*[c for c in placed.columns if c != row], "ids")

@@ -3,14 +3,21 @@
 Values are found by pattern, validated by kind, and mapped by keyed Feistel networks that permute the
 values of a format: a card number becomes a card number with as valid a check digit, a date a date in the
 same notation. Equal values have equal pseudonyms in all documents and different values different ones, so records
-stay linked; who has the key can turn the mapping back.
+stay linked; who has the key can turn the mapping back. The key is the session's setting KEY_CONF and stands nowhere else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
+#: Spark setting that holds the key. Set it to the same secret value to link the pseudonyms of several runs.
+KEY_CONF = "spark.inkgrid.pii.key"
 ROUNDS = 8
 #: Days from 1900-01-01 that dates are permuted among, as two factors: the two sides of their Feistel network.
 DAYS = (292, 250)
@@ -44,10 +51,23 @@ def _number(stream: str, at: str) -> str:
     return f"cast(conv(substr(sha2({stream}, 256), 1 + 7 * ({at}), 7), 16, 10) AS bigint)"
 
 
+@cache
+def _key_of(application: str) -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_CONF; where none is set, a random one that lasts as long as the application, so that values stay linked
+    within it and nobody can turn its pseudonyms back afterwards."""
+    return spark.conf.get(KEY_CONF, None) or _key_of(spark.sparkContext.applicationId)
+
+
 def _shift(c: str, n: str, letters: int) -> str:
-    """SQL: move a digit within the digits and a letter within its case's first letters; anything else stays."""
+    """SQL: move a digit within the digits, a letter within its case's first letters, and any character beyond ASCII within
+    the sixteen code points that differ in the last hexadecimal digit, which are of one script; ASCII marks stay."""
+    beyond = f"WHEN ascii({c}) > 127 THEN decode(unhex(lpad(hex(ascii({c}) div 16 * 16 + (ascii({c}) + {n}) % 16), 8, '0')), 'UTF-32')"
     moved = [f"WHEN {c} BETWEEN '{chr(lo)}' AND '{chr(lo + size - 1)}' THEN char({lo} + (ascii({c}) - {lo} + {n}) % {size})" for lo, size in ((48, 10), (97, letters), (65, letters))]
-    return f"CASE {' '.join(moved)} ELSE {c} END"
+    return f"CASE {' '.join(moved)} {beyond} ELSE {c} END"
 
 
 def _permute(value: str, key: str, kind: str, letters: int = 26) -> str:
@@ -82,9 +102,10 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _card(key: str) -> str:
-    """All digits but the last are permuted; the last keeps its distance to the right check digit."""
-    body = _let("substr(d, 1, length(d) - 1)", "h", _let(_permute("h", key, "card"), "g", f"concat(g, (cast(substr(d, -1) AS int) + {_luhn('h')} - {_luhn('g')} + 10) % 10)"))
-    return _let("regexp_replace(v, '[^0-9]', '')", "d", _let(body, "e", _refill("v", "e", "[0-9]")))
+    """All digits but the last are permuted, and the check digit follows; what has a wrong check digit is no card and stays."""
+    body = _let(_permute("h", key, "card"), "g", f"concat(g, (10 - {_luhn('g')}) % 10)")
+    new = _let("substr(d, 1, length(d) - 1)", "h", f"CASE WHEN (cast(substr(d, -1) AS int) + {_luhn('h')}) % 10 = 0 THEN {_let(body, 'e', _refill('v', 'e', '[0-9]'))} ELSE v END")
+    return _let("regexp_replace(v, '[^0-9]', '')", "d", new)
 
 
 def _iban_rest(text: str) -> str:
@@ -134,14 +155,24 @@ def _email(key: str) -> str:
     return _let("regexp_extract(v, '[^.@]+[.][^.@]+$', 0)", "t", f"concat({_permute('substr(v, 1, length(v) - length(t))', key, 'email')}, t)")
 
 
+#: Calling codes of one and two digits; all others have three.
+CALLING_CODE = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
+
 def _phone(key: str) -> str:
-    """The country code stays, and the notation; all other digits are permuted."""
+    """The country code stays, and the notation; all other digits are permuted together, however they are grouped."""
     rest = _let("regexp_replace(substr(v, length(p) + 1), '[^0-9]', '')", "d", _let(_permute("d", key, "phone"), "e", _refill("substr(v, length(p) + 1)", "e", "[0-9]")))
-    return _let("regexp_extract(v, '^[+][0-9]{1,3}(?=[ .(-])', 0)", "p", f"concat(p, {rest})")
+    return _let(f"regexp_extract(v, '^[+](?:{CALLING_CODE})', 0)", "p", f"concat(p, {rest})")
 
 
 def _ssn(key: str) -> str:
-    return _let("replace(v, '-', '')", "d", _let(_permute("d", key, "ssn"), "e", _refill("v", "e", "[0-9]")))
+    """The numbers that are issued (areas 001 to 899 but 666, groups from 01, serials from 0001) are permuted; others stay."""
+    parts = "transform(split(v, '-'), x -> cast(x AS bigint))"
+    index = "(CASE WHEN o[0] > 666 THEN o[0] - 2 ELSE o[0] - 1 END) * 989901 + (o[1] - 1) * 9999 + o[2] - 1"
+    area = "CASE WHEN n div 989901 >= 665 THEN n div 989901 + 2 ELSE n div 989901 + 1 END"
+    back = f"concat_ws('-', lpad({area}, 3, '0'), lpad(n % 989901 div 9999 + 1, 2, '0'), lpad(n % 9999 + 1, 4, '0'))"
+    issued = "o[0] BETWEEN 1 AND 899 AND o[0] <> 666 AND o[1] > 0 AND o[2] > 0"
+    return _let(parts, "o", f"CASE WHEN {issued} THEN {_let(_permute_number(index, key, 'ssn', 898, 989901), 'n', back)} ELSE v END")
 
 
 def _kind() -> str:
@@ -156,21 +187,28 @@ def _pseudonym(key: str) -> str:
     return _let(_kind(), "kind", "CASE kind " + " ".join(f"WHEN '{k}' THEN {e}" for k, e in by_kind.items()) + " ELSE v END")
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs with the text's values replaced, and _pii: an array of (kind, pseudonym) in order.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "_pii") -> DataFrame:
+    """The rows and columns of docs with the text's values replaced, and found_col: an array of (kind, value) of what was
+    replaced, in order; value is the pseudonym.
 
-    A null text stays null, with an empty _pii; so does an empty one. Values that fail their kind's check (an impossible
-    date, an address part over 255, a wrong IBAN sum) are no personal data and stay; digits of a card's length stay as
-    valid or invalid as they were. Each row is worked off by itself: ids may be null or repeat, other columns may have any name.
+    A null text stays null, with an empty array; so does an empty one. Values that fail their kind's check (an impossible
+    date, an address part over 255, a wrong IBAN or card sum, a number that is not issued) are no personal data and stay. A
+    permutation may leave a value of one or two characters as it is; nothing unchanged is listed. Each row is worked off by
+    itself: ids may be null or repeat, texts may be of any length, other columns may have any name but found_col (an error).
+    An empty table gives an empty result.
     """
-    text = F.col(text_col)
+    if found_col in docs.columns:
+        raise ValueError(f"docs has a column {found_col} already")
+    text, matched, made = F.col(text_col), unused(docs, "_matched"), unused(docs, "_made")
     pattern = F.lit(ANY)
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.expr(f"transform(_found, v -> named_struct('kind', {_kind()}, 'value', {_pseudonym(key)}))")
-    rows = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_pii", F.when(F.size("_found") > 0, kinds).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
+    none = F.array().cast("array<struct<kind:string,value:string,old:string>>")
+    found = F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, pattern, F.lit(0))), F.array().cast("array<string>"))
+    kinds = F.expr(f"transform(`{matched}`, v -> named_struct('kind', {_kind()}, 'value', {_pseudonym(key)}, 'old', v))")
+    rows = docs.withColumn(matched, found).withColumn(made, F.when(F.size(matched) > 0, kinds).otherwise(none))
     between = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.expr("_pii.value"), lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))), "")
-    return rows.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text)).drop("_found")
+    joined = F.array_join(F.zip_with(between, F.expr(f"`{made}`.value"), lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))), "")
+    changed = F.expr(f"transform(filter(`{made}`, x -> x.value <> x.old), x -> named_struct('kind', x.kind, 'value', x.value))")
+    return rows.withColumn(text_col, F.when(F.size(matched) > 0, joined).otherwise(text)).withColumn(found_col, changed).drop(matched, made)
 
 
 def counts(pii: Column) -> Column:

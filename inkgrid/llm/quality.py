@@ -118,7 +118,8 @@ def judge_documents(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     """Return the columns of keep and the judgement of every row of docs; clean_text (its lines that pass) if asked for.
 
     Whole texts are judged, each by itself: ids may be null or repeat, an empty table gives an empty result, and a
-    null text is one without words. Columns that aren't in keep are not read.
+    null text is one without words. Columns that aren't in keep are not read; those in it have names of their own, apart
+    from the judgement's. Repeated rows are judged once each.
     """
     rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in keep])
     width = len(_ARROW) if with_text else len(_ARROW) - 1
@@ -133,8 +134,12 @@ def judge_documents(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
 
 
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """The rows of docs that are kept, with failing lines removed from the text; chars_col, if given, is counted anew."""
-    others = tuple(c for c in docs.columns if c != text_col)
-    judged = judge_documents(docs, text_col, others, with_text=True).where("kept")
+    """The rows of docs that are kept, with failing lines removed from the text; chars_col, if given, is counted anew.
+
+    Columns may have any name: they travel as one. Ids may be null or repeat; null and empty texts are rejected for their
+    few words; an empty table gives none.
+    """
+    whole = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row"))
+    judged = judge_documents(whole, "text", ("_row",), with_text=True).where("kept")
     new = {text_col: F.col("clean_text")} | ({chars_col: F.length("clean_text").cast(docs.schema[chars_col].dataType)} if chars_col else {})
-    return judged.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return judged.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -11,7 +11,6 @@ from .common import fold_fraction, table
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
-PII_KEY = "inkgrid-corpus-key"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return found.select("doc_id", "text", pii.counts(F.col("_pii")).alias("n_pii"), F.expr("array_join(_pii.kind, ',')").alias("kinds"))
 
 

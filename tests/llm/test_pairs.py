@@ -136,7 +136,10 @@ def test_leaks_of_empty_tables(spark):
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == decontaminate.find_leaks(docs.limit(0), items).count() == 0
     clash = docs.withColumn("item_id", F.lit(1)).withColumn("words", F.lit("x"))
     assert decontaminate.drop_leaks(clash, items).count() == 0 and decontaminate.drop_leaks(clash, items).columns == clash.columns
-    assert decontaminate.drop_leaks(docs.withColumn("doc_id", F.lit(None).cast("long")), items).count() == 1
+    odd = spark.createDataFrame([(None, "a b c d e f g", 1), (None, "something else altogether", 2), (5, "A b c, d e f g", 3), (5, "clean", 4), (5, "clean", 4), (6, None, 5)], "doc_id long, text string, _leak long")
+    assert sorted(r["_leak"] for r in decontaminate.drop_leaks(odd, items).collect()) == [2, 4, 4, 5]
+    string_ids = docs.withColumn("doc_id", F.lit("x1"))
+    assert [r["doc_id"] for r in decontaminate.find_leaks(string_ids, items).collect()] == ["x1"]
 
 
 def test_urls_equal_sql_and_odd_urls(spark, data, duck):

@@ -100,6 +100,9 @@ def test_quality_removes_lines_and_keeps_clean_texts(spark):
     kept = by_id(quality.clean(docs, chars_col="n_chars"))
     assert set(kept) == {1, 2} and kept[1]["text"] == good == kept[2]["text"] and kept[2]["n_chars"] == len(good)
     assert quality.clean(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit("own") for c in ("kept", "n_words", "clean_text", "_row")})
+    found = quality.clean(clash)
+    assert found.columns == clash.columns and {r["kept"] for r in found.collect()} == {"own"} and found.count() == 2
 
 
 def check_packing(rows, texts, capacity=2048):
@@ -221,7 +224,7 @@ def test_pseudonyms(spark, odd):
 
 def test_pseudonyms_are_permutations(spark):
     ids = spark.range(3000)
-    ssn = ids.select(F.format_string("%03d-%02d-%04d", F.col("id") % 1000, F.col("id") % 100, F.col("id")).alias("text"))
+    ssn = ids.select(F.format_string("%03d-%02d-%04d", F.col("id") % 665 + 1, F.col("id") % 99 + 1, F.col("id") + 1).alias("text"))
     assert pii.pseudonymise(ssn.distinct(), "k").select("text").distinct().count() == ssn.distinct().count()
     days = ids.select(F.expr("cast(date_add(date'2001-01-01', cast(id AS int)) AS string)").alias("text"))
     made = pii.pseudonymise(days, "k").select("text").distinct()
@@ -230,6 +233,63 @@ def test_pseudonyms_are_permutations(spark):
     assert pii.pseudonymise(hosts, "k").select("text").distinct().count() == 3000
 
 
+def brute_check(kind, value):
+    """Whether a value is valid by its kind's own rule."""
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", value))]
+    if kind == "card":
+        return sum(d if i % 2 == 0 else (2 * d - 9 * (d > 4)) for i, d in enumerate(digits)) % 10 == 0
+    if kind == "ip":
+        return all(int(x) < 256 for x in value.split("."))
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        return 0 < area < 900 and area != 666 and group > 0 and serial > 0
+    return True
+
+
+def test_registered_pseudonyms_equal_brute_force(spark, data):
+    """Every valid value of the table is replaced, by one of its own kind and the same for equal ones; all else stays."""
+    import regex
+
+    patterns = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()))
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = by_id(queries.op10_pii(spark, data))
+    made: dict = {}
+    for i, t in docs.items():
+        before = [(m.lastgroup, m.group()) for m in patterns.finditer(t or "")]
+        valid = [(k, v) for k, v in before if brute_check(k, v)]
+        between = patterns.split(t)[:: len(pii.PATTERNS) + 1] if t else []
+        assert found[i]["kinds"] == ",".join(k for k, _ in valid) and found[i]["n_pii"] == len(valid)
+        rest = found[i]["text"]
+        for j, (kind, value) in enumerate(before):
+            assert rest.startswith(between[j])
+            rest = rest[len(between[j]) :]
+            new = patterns.match(rest).group()
+            assert made.setdefault((kind, value), new) == new and (new != value) == ((kind, value) in valid) and brute_check(kind, new) == brute_check(kind, value)
+            rest = rest[len(new) :]
+        assert rest == (between[-1] if between else t)
+    assert {k for k, _ in made} >= {"email", "card", "ip", "phone"} and len({*made.values()}) == len(made)
+
+
+def test_values_of_every_script_and_grouping(spark):
+    texts = {
+        1: "иван@почта.рф", 2: "é@ü.de", 3: "+4917012345678", 4: "+49 17012345678", 5: "+49 (170) 1234-5678", 6: "1234567890123456", 7: "000-00-0000",
+        8: "666-12-1234", 9: "123-45-6789", 10: "李小龙@例子.中国", 11: "(217) 555-0133", 12: "+1 217-555-0133", 13: "4539578763621486", 14: "4539 5787 6362 1486",
+    }
+    docs = spark.createDataFrame([(*x, "a", "b") for x in texts.items()], "doc_id long, text string, _matched string, _made string")
+    found = by_id(pii.pseudonymise(docs, "key"))
+    new = {i: found[i]["text"] for i in texts}
+    assert {i for i in texts if new[i] == texts[i]} == {6, 7, 8} == {i for i in texts if not found[i]["_pii"]}
+    assert all(found[i]["_matched"] == "a" for i in texts)
+    assert new[1].endswith("@почта.рф") and len(new[1]) == len(texts[1]) and new[10].endswith("@例子.中国")
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(new[3]) == digits(new[4]) == digits(new[5]) and digits(new[3]).startswith("49") and new[5].startswith("+49 (")
+    assert digits(new[12]) == "1" + digits(new[11]) and digits(new[13]) == digits(new[14])
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "key", found_col="_made")
+    long_text = "word " * 200_000 + "a.b@mail.example.com"
+    assert "a.b@mail" not in pii.pseudonymise(spark.createDataFrame([(1, long_text)], "doc_id long, text string"), "key").first()["text"]
+
+
 def test_dates_of_every_notation_and_grouped_cards(spark):
     texts = {
         1: "25/12/1990", 2: "5.3.1990", 3: "1/2/1990", 4: "1990-3-5", 5: "31/1/2001", 6: "05.03.1990", 7: "05.3.1990",
