@@ -13,45 +13,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid.llm import decontaminate, packing, pii, quality, similar_dedup
-from inkgrid.llm.common import cut, ensure_checkpoints, table
+from inkgrid.llm.common import cut, ensure_checkpoints, table, unused
 
 #: Parameters of the stages.
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
-PII_KEY = "inkgrid-corpus-key"
 #: Words of a shingle and similarity of two documents' shingles for the near-duplicate stage.
 DEDUP_WIDTH = 5
 DEDUP_SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and documents that fail the counts or lose too much go as a whole."""
+    """Failing lines go, and documents that fail the counts or lose too much go as a whole, null and empty texts among them.
+    Each row is judged by itself: null and repeated ids and repeated rows stay as they are."""
     return quality.clean(docs, chars_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays, with the smallest id; a null id comes after all others."""
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = keyed.select(F.col("_row").alias("id"), "text")
-    placed = similar_dedup.groups(rows, DEDUP_WIDTH, DEDUP_SIMILARITY).select(F.col("id").alias("_row"), "root").join(keyed.select("_row", "doc_id"), "_row")
-    first = placed.groupBy("root").agg(F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("_row"))
-    return keyed.join(first.select("_row"), "_row", "left_semi").select(docs.columns)
+    """Of each group of near-duplicates one row stays, with the smallest id; a null id comes after all others. Every row is
+    grouped by its own text, so of repeated rows one stays, and rows that share an id may each be in another group. Texts
+    without words, null ones included, are one group."""
+    row = unused(docs, "_row")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = keyed.select(F.col(row).alias("id"), "text")
+    placed = similar_dedup.groups(rows, DEDUP_WIDTH, DEDUP_SIMILARITY).select(F.col("id").alias(row), "root").join(keyed.select(row, "doc_id"), row)
+    first = placed.groupBy("root").agg(F.coalesce(F.min_by(row, "doc_id"), F.min(row)).alias(row))
+    return keyed.join(first.select(row), row, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows whose text holds a benchmark item go, whatever their id; null and empty texts stay."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of the same format; n_chars follows."""
-    found = pii.pseudonymise(docs, PII_KEY)
-    return found.withColumn("n_chars", F.when(F.size("_pii") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Personal data become pseudonyms of the same format; n_chars follows. Every row stays; a null text stays null."""
+    listed = unused(docs, "_pii")
+    found = pii.pseudonymise(docs, pii.session_key(spark), found_col=listed)
+    return found.withColumn("n_chars", F.when(F.size(listed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, tokenised and packed."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
+    """The documents that are left, tokenised and packed, with the token ids of every piece. Every row is a document, whatever
+    its id; a null text is the separator alone."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), CAPACITY, with_ids=True)
 
 
 STAGES = [
@@ -67,11 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents; what a stage wrote is deleted once the next one has been written."""
     ensure_checkpoints(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
