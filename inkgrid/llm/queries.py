@@ -58,24 +58,36 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash_dedup, op4_decontamination, op5_quotation_linking, op6_url_filter, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_pii)}
 
-_RULES = [(r.name, r.action) for r in url_filter.HOST_RULES]
-_BLOCKED = "|".join(r.tokens[0] for r in url_filter.WORD_RULES)
-_HOST_FITS = {name: (name.split("/")[0], name[len(name.split("/")[0]) :]) for name, _ in _RULES}
-_FITS = ", ".join(f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{name}' END" for name, (h, p) in sorted(_HOST_FITS.items(), key=lambda x: (-len(x[0]), x[0])))
+#: The rules once more, as SQL of its own: (name, host, path, action), longest first, and patterns over host and path.
+_NAMED = [("www.example.com/en/", "www.example.com", "/en/", "allow"), ("example.com/en/", "example.com", "/en/", "block"), ("net/es/", "net", "/es/", "block"), ("net/fr/", "net", "/fr/", "block"), ("com/", "com", "/", "allow")]
+_FITS = ", ".join(f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{name}' END" for name, h, p, _ in _NAMED)
+_ANYWHERE = (
+    "porn porno xxx hentai camgirls milf escorts casino poker roulette blackjack bookmaker sportsbook betting jackpots adserver adservice adclick doubleclick popunder clickbank "
+    "viagra cialis levitra tramadol xanax spam warez malware phishing keygen cracked ransomware"
+)
+_IN_HOST = "adult sex nude escort dating bet bets slots lotto jackpot ad ads advert banner banners tracker tracking affiliate affiliates pills meds pharmacy steroids torrent torrents crack cracks proxy hack"
+_IN_A_ROW = (
+    "free spins,free bets,online slots,sports bets,click track,ad server,buy followers,buy backlinks,cheap pills,cheap meds,online pharmacy,no prescription,weight loss pills,"
+    "serial key,password reset verify,account verify login,free download crack"
+)
+_ALTERNATIVES = "|".join([*_ANYWHERE.split(), *(p.replace(" ", r"[^\p{L}\p{N}]+") for p in _IN_A_ROW.split(","))])
+_BLOCKS = rf"(^|[^\p{{L}}\p{{N}}])({_ALTERNATIVES})($|[^\p{{L}}\p{{N}}])"
+_BLOCKS_HOST = rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(_IN_HOST.split())})($|[^\p{{L}}\p{{N}}])"
+_BLOCKS_FOLDER = "/(ads|banners|adserver/www|affiliate|cgi-bin/spam)/"
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(regexp_split_to_array({{}}, '{_SPACES}'), lambda w: w <> '')"
-_NOTICE = "|".join(quality.BOILERPLATE)
+_NOTICE = "all rights reserved|licensed under|released under the|cookie policy|privacy policy|terms of use|terms of service|enable javascript|skip to content|subscribe to our newsletter"
 _ENDED = r"[.!?:;…。！？][\"\'\)\]}»”’]*[\x20\x09-\x0D]*$"
-_SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)
+_SEPARATORS = "'|', '>', '»', '/', '•', '·', '-'"
 
 #: DuckDB SQL. Token counts, compression, fingerprints, packing, the language model and pseudonyms have none.
 ORACLE: dict[str, str] = {
     "op6_url_filter": f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
         r AS (SELECT *, coalesce({_FITS}) AS rule FROM p)
-        SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{name}' THEN '{action}'" for name, action in _RULES)}
-            WHEN regexp_matches(host || path, '(^|[^\\p{{L}}\\p{{N}}])({_BLOCKED})($|[^\\p{{L}}\\p{{N}}])') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+        SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{name}' THEN '{action}'" for name, _, _, action in _NAMED)}
+            WHEN regexp_matches(host || path, '{_BLOCKS}') OR regexp_matches(host, '{_BLOCKS_HOST}') OR regexp_matches(path, '{_BLOCKS_FOLDER}') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
     "op7_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT k, doc_id, t, {_WORDS.format("t")} AS w FROM d),
         l AS (SELECT k, i, line, len({_WORDS.format("line")}) AS n, {_WORDS.format("line")} AS lw FROM (SELECT k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
         f AS (SELECT k, n, row_number() OVER (PARTITION BY k, line ORDER BY i) > 1 AS dup, NOT regexp_matches(line, '{_ENDED.replace("'", "''")}') OR 2 * len(regexp_extract_all(line, '[#*$%&|<>!?]')) > n

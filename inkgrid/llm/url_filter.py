@@ -1,22 +1,24 @@
 """URL filters with DataFrame functions only.
 
 Every rule is a regular expression with literal tokens that each URL it fits must hold. The index files
-a rule under the rarest of its tokens, by their counts over all URLs. A URL's own tokens fetch its candidate
-rules from the index, and only those run their expressions.
+a rule under the rarest of its tokens, by their counts over all URLs. It is a constant of the plan, a hash table as an
+array of buckets: a URL's own tokens fetch their candidate rules from it in the scan's own stage, and only those run
+their expressions. Nothing of a URL is joined or shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules at most: the index is broadcast, so its size is bounded.
-MAX_RULES = 100_000
 #: A token is a run of letters and digits; the same in rules and URLs.
 APART = r"[^\p{L}\p{N}]+"
+_EDGE = r"[^\p{L}\p{N}]"
 
 
 @dataclass(frozen=True)
@@ -38,14 +40,52 @@ def host_rule(host: str, path: str, action: str) -> Rule:
     return Rule(rf"^(?:[^/?#]*\.)?{re.escape(literal)}", tuple(tokens), action, literal)
 
 
-def word_rule(word: str, action: str = "block") -> Rule:
-    """Fits URLs that hold the word as a whole token of host or path."""
-    return Rule(rf"(?:^|[^\p{{L}}\p{{N}}]){re.escape(word)}(?:$|[^\p{{L}}\p{{N}}])", (word,), action)
+def phrase_rule(*words: str, action: str = "block") -> Rule:
+    """Fits URLs that hold the words as whole tokens one after another, with marks between them, in host or path."""
+    return Rule(rf"(?:^|{_EDGE}){f'{_EDGE}+'.join(map(re.escape, words))}(?:$|{_EDGE})", words, action)
 
 
-#: The rules of the contract, and the words that block a URL for which none of them speaks.
+def host_word_rule(word: str, action: str = "block") -> Rule:
+    """Fits URLs that hold the word as a whole token of the host."""
+    return Rule(rf"^(?:[^/]*[^/\p{{L}}\p{{N}}])?{re.escape(word)}(?:$|{_EDGE})", (word,), action)
+
+
+def folder_rule(*folders: str, action: str = "block") -> Rule:
+    """Fits URLs whose path holds these folders one after another, whatever the host."""
+    return Rule(rf"/{'/'.join(map(re.escape, folders))}/", folders, action)
+
+
+#: The rules of the contract.
 HOST_RULES = [host_rule("com", "/", "allow"), host_rule("example.com", "/en/", "block"), host_rule("www.example.com", "/en/", "allow"), host_rule("net", "/es/", "block"), host_rule("net", "/fr/", "block")]
-WORD_RULES = [word_rule(w) for w in ("spam", "casino", "porn", "xxx", "warez", "malware", "phishing", "viagra")]
+#: What blocks a URL for which none of those speaks, by category. Words that also have a harmless sense count in
+#: hosts only, or together with another word.
+WORDS = {
+    "adult": ("porn", "porno", "xxx", "hentai", "camgirls", "milf", "escorts"),
+    "gambling": ("casino", "poker", "roulette", "blackjack", "bookmaker", "sportsbook", "betting", "jackpots"),
+    "advertising": ("adserver", "adservice", "adclick", "doubleclick", "popunder", "clickbank"),
+    "pharmacy": ("viagra", "cialis", "levitra", "tramadol", "xanax"),
+    "harm": ("spam", "warez", "malware", "phishing", "keygen", "cracked", "ransomware"),
+}
+HOST_WORDS = {
+    "adult": ("adult", "sex", "nude", "escort", "dating"),
+    "gambling": ("bet", "bets", "slots", "lotto", "jackpot"),
+    "advertising": ("ad", "ads", "advert", "banner", "banners", "tracker", "tracking", "affiliate", "affiliates"),
+    "pharmacy": ("pills", "meds", "pharmacy", "steroids"),
+    "harm": ("torrent", "torrents", "crack", "cracks", "proxy", "hack"),
+}
+PHRASES = {
+    "gambling": (("free", "spins"), ("free", "bets"), ("online", "slots"), ("sports", "bets")),
+    "advertising": (("click", "track"), ("ad", "server"), ("buy", "followers"), ("buy", "backlinks")),
+    "pharmacy": (("cheap", "pills"), ("cheap", "meds"), ("online", "pharmacy"), ("no", "prescription"), ("weight", "loss", "pills")),
+    "harm": (("serial", "key"), ("password", "reset", "verify"), ("account", "verify", "login"), ("free", "download", "crack")),
+}
+FOLDERS = {"advertising": (("ads",), ("banners",), ("adserver", "www"), ("affiliate",)), "harm": (("cgi-bin", "spam"),)}
+WORD_RULES = [
+    *[phrase_rule(w) for words in WORDS.values() for w in words],
+    *[host_word_rule(w) for words in HOST_WORDS.values() for w in words],
+    *[phrase_rule(*p) for phrases in PHRASES.values() for p in phrases],
+    *[Rule(folder_rule(*f).pattern, tuple(t for x in f for t in x.split("-")), "block") for folders in FOLDERS.values() for f in folders],
+]
 
 
 def host(url: Column) -> Column:
@@ -59,18 +99,29 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _index(spark: SparkSession, urls: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(token, pattern, action, name): each rule under its rarest token; urls holds an array of tokens."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+def _index(urls: DataFrame, rules: list[Rule]) -> Column:
+    """Buckets of (token, pattern, action, name), by the token's crc32: each rule under its rarest token. urls holds tokens."""
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
     of_rules = sorted({t for r in rules for t in r.tokens})
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in of_rules], "token string"))
-    counted = urls.select(F.explode(F.array_distinct("tokens")).alias("token")).join(wanted, "token").groupBy("token").count()
+    own = F.from_json(F.lit(json.dumps(_buckets([(t, t) for t in of_rules]))), "array<array<string>>")
+    known = F.filter("tokens", lambda t: F.array_contains(_bucket(own, t), t))
+    counted = urls.select(F.explode(F.array_distinct(known)).alias("token")).groupBy("token").count()
     count = {r["token"]: r["count"] for r in counted.collect()}  # a row for each token of the rules at most
-    rows = [(min(r.tokens, key=lambda t: (count.get(t, 0), t)), r.pattern, r.action, r.name) for r in rules]
-    return spark.createDataFrame(rows, "token string, pattern string, action string, name string")
+    rows = [(min(r.tokens, key=lambda t: (count.get(t, 0), t)), r) for r in rules]
+    buckets = _buckets([(t, {"token": t, "pattern": r.pattern, "action": r.action, "name": r.name}) for t, r in rows])
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<token:string,pattern:string,action:string,name:string>>>")
+
+
+def _buckets(entries: list[tuple]) -> list[list]:
+    buckets: list[list] = [[] for _ in range(2 * len(entries))]
+    for token, entry in entries:
+        buckets[zlib.crc32(token.encode()) % len(buckets)].append(entry)
+    return buckets
+
+
+def _bucket(buckets: Column, token: Column) -> Column:
+    return F.get(buckets, F.pmod(F.crc32(token.cast("binary")), F.size(buckets)).cast("int"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -78,20 +129,20 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str =
 
     rule: the longest fitting rule that has a name (of equal ones the first by name), whose action is the verdict. Without
     one, the verdict is block if an unnamed blocking rule fits, else allow. A null URL, or one without ://, has empty host
-    and path and is allowed. Ids may be null or repeat: every row is judged by itself. Other columns are not read.
+    and path and is allowed. Ids may be null or repeat: every row is judged by itself, in whatever length. Other columns are
+    not read; an empty table gives none. rules are a list of the driver's, of any length.
     """
     rules = HOST_RULES + WORD_RULES if rules is None else rules
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), host(url).alias("host"), path(url).alias("path"))
+    # Rules are in lower case; the path keeps its case for those that have a name.
     rows = rows.withColumn("target", F.concat("host", "path")).withColumn("tokens", F.array_remove(F.split("target", APART), ""))
     if not rules:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    index = F.broadcast(_index(pages.sparkSession, rows, rules))
-    # The tokens of a row go out and come back within its key, so the rows of a common URL stay apart.
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    tried = keyed.select("id", "host", "path", "target", "row", F.explode_outer(F.array_distinct("tokens")).alias("token")).join(index, "token", "left")
-    fits = F.col("pattern").isNotNull() & F.regexp_like("target", F.col("pattern"))
-    named = F.when(fits & F.col("name").isNotNull(), F.struct((-F.length("name")).alias("short"), "name", "action"))
-    judged = tried.groupBy("row", "id", "host", "path").agg(F.min(named).alias("best"), F.max(fits & F.col("name").isNull() & (F.col("action") == "block")).alias("blocked"))
+    index = _index(rows, rules)
+    tried = F.flatten(F.transform(F.array_distinct("tokens"), lambda t: F.filter(_bucket(index, t), lambda r: r["token"] == t)))
+    judged = rows.select("id", "host", "path", F.filter(tried, lambda r: F.regexp_like(F.col("target"), r["pattern"])).alias("fits"))
+    named = F.transform(F.filter("fits", lambda r: r["name"].isNotNull()), lambda r: F.struct((-F.length(r["name"])).alias("short"), r["name"].alias("name"), r["action"].alias("action")))
+    judged = judged.select("id", "host", "path", F.array_min(named).alias("best"), F.exists("fits", lambda r: r["name"].isNull() & (r["action"] == "block")).alias("blocked"))
     verdict = F.coalesce("best.action", F.when(F.col("blocked"), "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"))
