@@ -3,9 +3,10 @@
 Lines that start with quote marks (>) are parsed into nested levels; a run of lines of one level is a quoted passage.
 Passages, their paragraphs, lines and sentences are hashed after normalising, and joined within their conversation to the
 message that wrote them first. A message replies to the earlier message most of whose words it quotes at the lowest level at
-which it quotes any: deeper levels are what that message quoted itself. It joins the thread of that message. In a
-conversation, threads stand in the order of their first messages, and a thread's messages in the order of turns, so that
-every message follows what it replies to.
+which it quotes any: deeper levels are what that message quoted itself. It joins the thread of that message. A thread is a
+tree of replies, cut into branches: the first reply to a message goes on its branch, every other one begins a new branch. In a
+conversation, threads, branches and messages stand in the order of their first turns, so that every message comes after what it
+replies to, and right after it unless it begins a branch.
 """
 
 from __future__ import annotations
@@ -103,12 +104,14 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
 
 def link_quotes(conversations: DataFrame) -> DataFrame:
-    """Return conv_id, turn, role, n_quotes, max_level, reply_to, thread and body for every row of conversations.
+    """Return conv_id, turn, role, n_quotes, max_level, reply_to, thread, branch, position, body and part for every row of conversations.
 
     reply_to is the turn of the message quoted most at the lowest level with a match (of equally quoted ones the latest), null
-    where nothing earlier of the conversation is quoted; thread is the first turn of the chain of replies. Order by conv_id, thread, turn.
+    where nothing earlier of the conversation is quoted; thread is the first turn of the chain of replies, branch the first
+    turn of its branch. position grows in reply order, (conv_id, thread, branch, turn), but has gaps; part is the message without
+    its quotes as a chat format has it.
     A null text is an empty message. Rows with a null conversation or turn are kept and neither quoted nor linked. Rows
-    that share conversation and turn are one message in parts: they have the same reply_to and thread. Columns beyond
+    that share conversation and turn are one message in parts: they have the same reply_to, thread and branch. Columns beyond
     conv_id, turn, role and text are not read; an empty table gives an empty result.
     """
     parsed = cut(_parsed(conversations.select("text", "conv_id", "turn", "role")))
@@ -123,27 +126,32 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     weight = spans.withColumn("n", F.expr(covered)).groupBy("conv_id", "at", "level", "turn").agg(F.sum("n").alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("near"), "n", "turn")).alias("best")
     replies = cut(weight.groupBy("conv_id", "at").agg(best).select("conv_id", "at", F.col("best.turn").alias("reply_to")))
-    chain = _roots(replies)
-    known = replies.join(chain, ["conv_id", "at"])
+    first = replies.groupBy("conv_id", "reply_to").agg(F.min("at").alias("at"))
+    known = replies.join(_roots(replies, "thread"), ["conv_id", "at"]).join(_roots(first.select("conv_id", "at", "reply_to"), "branch"), ["conv_id", "at"], "left")
     out = parsed.join(known.withColumnRenamed("at", "turn"), ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "reply_to", F.coalesce("thread", "turn").alias("thread"), "body")
+    out = cut(out.select("conv_id", "turn", "role", "n_quotes", "max_level", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("branch", "turn").alias("branch"), "body"))
+    order = ["conv_id", "thread", "branch", "turn"]
+    ordered = out.repartitionByRange(*order).sortWithinPartitions(*order, "role", "body")
+    part = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "body", F.lit("\n"))
+    return ordered.withColumn("part", part).withColumn("position", F.monotonically_increasing_id())
 
 
-def _roots(replies: DataFrame) -> DataFrame:
-    """(conv_id, at, thread): the first message of each chain, by pointers that jump twice as far each round."""
-    now = replies.withColumnRenamed("reply_to", "thread")
-    if now.isEmpty():
-        return now
+def _roots(replies: DataFrame, name: str) -> DataFrame:
+    """(conv_id, at, name): the first message of each chain of replies (conv_id, at, reply_to), by pointers that jump twice as
+    far each round. What has arrived at a first message takes no part in further rounds, however many others have it too."""
+    now = replies.withColumnRenamed("reply_to", "to")
+    arrived = None
     for _ in range(MAX_ROUNDS):
-        up = now.select("conv_id", F.col("at").alias("thread"), F.col("thread").alias("next"))
-        jumped = cut(now.join(up, ["conv_id", "thread"], "left").select("conv_id", "at", F.coalesce("next", "thread").alias("thread"), F.col("next").isNotNull().alias("moved")))
-        now = jumped.select("conv_id", "at", "thread")
-        if jumped.where("moved").isEmpty():
-            return now
+        up = (now if arrived is None else now.union(arrived)).select("conv_id", F.col("at").alias("to"), F.col("to").alias("next"))
+        jumped = cut(now.join(up, ["conv_id", "to"], "left").select("conv_id", "at", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        there = jumped.where("NOT moved").select("conv_id", "at", "to")
+        arrived = there if arrived is None else arrived.union(there)
+        now = jumped.where("moved").select("conv_id", "at", "to")
+        if now.isEmpty():
+            return arrived.withColumnRenamed("to", name)
     raise RuntimeError("chains of replies did not settle")
 
 
 def chat(linked: DataFrame) -> DataFrame:
-    """Messages in reply order, as chat-formatted parts: conv_id, thread, turn, part."""
-    part = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "body", F.lit("\n"))
-    return linked.select("conv_id", "thread", "turn", part.alias("part")).repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
+    """Messages in reply order, as chat-formatted parts: conv_id, thread, branch, turn, part."""
+    return linked.select("conv_id", "thread", "branch", "turn", "position", "part").repartitionByRange("position").sortWithinPartitions("position").drop("position")

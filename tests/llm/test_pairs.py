@@ -129,6 +129,12 @@ def test_edited_leaks_are_found(spark):
     got, expected = {(x["doc_id"], x["item_id"]): x["similarity"] for x in found.collect()}, brute_leaks(docs, {k: v for k, v in items.items() if k < 90})
     assert {k: v for k, v in got.items() if k[1] < 90} == pytest.approx(expected) and len(expected) > 40
     assert (202, 90) in got and all(d != 203 for d, _ in got)
+    args = spark.createDataFrame([*docs.items()], "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")
+    assert sorted(map(str, found.collect())) == sorted(map(str, decontaminate.find_leaks(*args, broadcast_bytes=0).collect()))  # items too many to broadcast
+    shared = args[0].withColumn("doc_id", F.col("doc_id") % 7)  # rows that share an id
+    assert sorted(map(str, decontaminate.find_leaks(shared, args[1]).collect())) == sorted(map(str, decontaminate.find_leaks(shared, args[1], broadcast_bytes=0).collect()))
+    long_text = "lead " * 200_000 + items[0] + " tail" * 200_000
+    assert decontaminate.find_leaks(spark.createDataFrame([(1, long_text)], "doc_id long, text string"), args[1]).count() == 1
 
 
 def test_leaks_of_empty_tables(spark):
@@ -172,7 +178,7 @@ def test_quotes_are_linked_and_taken_out(spark):
     messages = spark.createDataFrame([(*m, "x") for m in TALK], "conv_id long, turn long, role string, text string, body string")
     found = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(messages).collect()}
     assert len(found) == len(TALK)
-    assert {k[1]: (r["reply_to"], r["thread"]) for k, r in found.items() if k[0] == 1} == {0: (None, 0), 1: (0, 0), 2: (None, 2), 3: (0, 0), 4: (0, 0)}
+    assert {k[1]: (r["reply_to"], r["thread"]) for k, r in found.items() if k[0] == 1} == {0: (None, 0), 1: (0, 0), 2: (None, 2), 3: (1, 0), 4: (0, 0)}
     assert found[1, 3]["body"] == "Good idea." and found[1, 3]["max_level"] == 2 and found[1, 3]["n_quotes"] == 2
     assert found[3, 0]["reply_to"] is None and found[None, 5]["reply_to"] is None and found[2, 1]["body"] == ""
     order = [(r["conv_id"], r["turn"]) for r in quotes.chat(quotes.link_quotes(messages.where("conv_id = 1"))).collect()]
@@ -189,7 +195,38 @@ def test_chains_of_replies(spark):
 def test_conversations_without_quotes_stay_as_they_are(spark, data):
     talk = spark.read.parquet(f"{data}/conversations.parquet")
     found = queries.op5_quotation_linking(spark, data)
-    assert found.count() == talk.count() and found.where("n_quotes = 0 AND body <> text").count() if "text" in found.columns else True
+    assert found.count() == talk.count()
+    texts = {(r["conv_id"], r["turn"]): r["text"] or "" for r in talk.collect()}
+    plain = [r for r in found.collect() if not r["n_quotes"]]
+    assert len(plain) > 50 and all(r["body"] == texts[r["conv_id"], r["turn"]].strip("\n") and r["reply_to"] is None for r in plain)
+
+
+def test_threads_equal_the_trees_they_were_made_from(spark):
+    """Messages that quote their parent and, a level deeper, what it quoted; the order is the trees' own, branch by branch."""
+    draw = random.Random(7)
+    rows, parent, own = [], {}, {}
+    for conv in range(6):
+        for turn in range(40):
+            own[conv, turn] = " ".join(f"w{draw.randrange(10**9)}" for _ in range(draw.randint(3, 9))) + "."
+            up = draw.choice([None, *range(turn)]) if turn else None
+            parent[conv, turn] = up
+            quoted = [] if up is None else ["> " + own[conv, up].upper()] + ([] if parent[conv, up] is None else [">> " + own[conv, parent[conv, up]]])
+            rows.append((conv, turn, "u", "\n".join([*quoted, own[conv, turn]])))
+    found = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r["reply_to"] for k, r in found.items()} == parent
+    thread, branch = {}, {}
+    for (c, t), up in parent.items():  # parents come first
+        thread[c, t] = t if up is None else thread[c, up]
+        oldest = up is not None and min(k for (d, k), p in parent.items() if d == c and p == up) == t
+        branch[c, t] = branch[c, up] if oldest else t
+    assert {k: (r["thread"], r["branch"]) for k, r in found.items()} == {k: (thread[k], branch[k]) for k in parent}
+    order = sorted(found, key=lambda k: found[k]["position"])
+    assert order == sorted(parent, key=lambda k: (k[0], thread[k], branch[k], k[1]))
+    assert all(found[k]["part"] == f"<|u|>\n{own[k]}\n" for k in parent)
+    repeated = quotes.link_quotes(spark.createDataFrame(rows + rows[:50], "conv_id long, turn long, role string, text string")).collect()
+    assert len(repeated) == len(rows) + 50 and {(r["conv_id"], r["turn"]): r["reply_to"] for r in repeated} == parent
+    long_text = "> " + "word " * 100_000 + "\n" + "more " * 100_000
+    assert quotes.link_quotes(spark.createDataFrame([(1, 1, "u", long_text)], "conv_id long, turn long, role string, text string")).first()["n_quotes"] == 1
 
 
 NESTED = [
