@@ -1,63 +1,79 @@
 """Neighbourhood operators on rasters that hold one array each: (page_id, width, height, g).
 
-A page's pixels stay in its row, so no operator here shuffles; each is one higher-order function over the array.
+A page's pixels stay in its row, so no operator here shuffles; each is a few numpy calls over a stack of images, with windows
+taken apart into rows and columns and sums that run, so that the cost doesn't grow with the area of a window.
 Reads outside the image follow each operator's own border rule.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Read = Callable[[Column, Column], Column]
+from inkgrid.operators.batches import map_images
 
+ACROSS, DOWN = 2, 1
 
-def _map(rasters: DataFrame, name: str, of: Callable[[Column, Column, Column, Read], Column]) -> DataFrame:
-    """Replace the array by of(value, x, y, read); read(x, y) is null outside the image. name: what the new array is called."""
-    w, h = F.col("width"), F.col("height")
 
-    def over(g: Column) -> Column:
-        def read(x: Column, y: Column) -> Column:
-            return F.when((x >= 0) & (x < w) & (y >= 0) & (y < h), F.get(g, (y * w + x).cast("int")))
+def _padded(s: np.ndarray, r: int, axis: int, value: float | None) -> np.ndarray:
+    """A stack with r more pixels at both ends of an axis: value, or the edge's own where that is None."""
+    width = [(r, r) if a == axis else (0, 0) for a in range(3)]
+    return np.pad(s, width, mode="edge") if value is None else np.pad(s, width, constant_values=value)
 
-        return F.transform(g, lambda v, i: of(v, i % w, F.floor(i / w).cast("int"), read))
 
-    # The array is bound to a variable: were a chained operator's array written out at every read, it would be made anew each time.
-    made = F.get(F.transform(F.array("g"), over), F.lit(0))
-    return rasters.select("page_id", "width", "height", made.alias(name))
+def _at(s: np.ndarray, start: int, n: int, axis: int) -> np.ndarray:
+    return s[:, :, start : start + n] if axis == ACROSS else s[:, start : start + n]
 
 
-def _clamped(read: Read) -> Read:
-    """Edge pixels go on beyond the border."""
-    w, h = F.col("width"), F.col("height")
-    keep = lambda v, n: F.greatest(F.lit(0), F.least(v, n - 1))
-    return lambda x, y: read(keep(x, w), keep(y, h))
+def _moved(s: np.ndarray, dx: int, dy: int, outside: float) -> np.ndarray:
+    """The neighbour at (dx, dy) of every pixel."""
+    out = np.full_like(s, outside)
+    h, w = s.shape[1:]
+    if abs(dx) < w and abs(dy) < h:
+        out[:, max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = s[:, max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    return out
 
 
-def _interior(x: Column, y: Column, margin: int = 1) -> Column:
-    return (x >= margin) & (y >= margin) & (x < F.col("width") - margin) & (y < F.col("height") - margin)
+def _along(s: np.ndarray, r: int, axis: int, of: np.ufunc, outside: float) -> np.ndarray:
+    """of (a minimum or maximum) over 2r + 1 pixels of an axis, in windows that double."""
+    n, size = s.shape[axis], 2 * r + 1
+    padded, span = _padded(s, r, axis, outside), 1
+    while 2 * span <= size:
+        m = padded.shape[axis] - span
+        padded = of(_at(padded, 0, m, axis), _at(padded, span, m, axis))
+        span *= 2
+    return of(_at(padded, 0, n, axis), _at(padded, size - span, n, axis))
 
 
-def _sum(terms: list[Column]) -> Column:
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
+def _extreme(s: np.ndarray, r: int, of: np.ufunc, outside: float) -> np.ndarray:
+    return _along(_along(s, r, ACROSS, of, outside), r, DOWN, of, outside)
 
 
-def _separable(rasters: DataFrame, weights: list[float]) -> DataFrame:
-    """Weighted sums along rows, then along columns, with replicated edges."""
-    r = len(weights) // 2
-    across = _map(rasters, "g", lambda v, x, y, read: _sum([_clamped(read)(x + k - r, y) * weights[k] for k in range(len(weights))]))
-    return _map(across, "g", lambda v, x, y, read: _sum([_clamped(read)(x, y + k - r) * weights[k] for k in range(len(weights))]))
+def _running(s: np.ndarray, r: int, axis: int, value: float | None = 0.0) -> np.ndarray:
+    """Sums over 2r + 1 pixels of an axis."""
+    n = s.shape[axis]
+    total = _padded(np.cumsum(_padded(s, r, axis, value), axis=axis), 1, axis, 0.0)
+    return _at(total, 2 * r + 1, n, axis) - _at(total, 0, n, axis)
+
+
+def _square_sums(s: np.ndarray, r: int) -> np.ndarray:
+    """Sums over squares, cut at the image's edge."""
+    return _running(_running(s, r, ACROSS), r, DOWN)
+
+
+def _interior(s: np.ndarray, margin: int = 1) -> np.ndarray:
+    inside = np.zeros(s.shape[1:], dtype=bool)
+    inside[margin : s.shape[1] - margin, margin : s.shape[2] - margin] = True
+    return inside[None]
 
 
 def box_blur(rasters: DataFrame, radius: int) -> DataFrame:
+    """Means of squares; edge pixels go on beyond the border."""
     n = 2 * radius + 1
-    return _separable(rasters, [1.0 / n] * n)
+    return map_images(rasters, lambda s: _running(_running(s, radius, ACROSS, None) / n, radius, DOWN, None) / n)
 
 
 def gauss_weights(sigma: float) -> list[float]:
@@ -66,56 +82,80 @@ def gauss_weights(sigma: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
+def blurred(s: np.ndarray, sigma: float) -> np.ndarray:
+    """A stack weighted along rows, then along columns; edge pixels go on beyond the border."""
+    weights = gauss_weights(sigma)
+    r = len(weights) // 2
+    for axis in (ACROSS, DOWN):
+        padded, n = _padded(s, r, axis, None), s.shape[axis]
+        s = sum(w * _at(padded, k, n, axis) for k, w in enumerate(weights))
+    return s
+
+
 def gaussian_blur(rasters: DataFrame, sigma: float) -> DataFrame:
-    return _separable(rasters, gauss_weights(sigma))
+    return map_images(rasters, lambda s: blurred(s, sigma))
 
 
-#: Sobel weights by (dx, dy), for the horizontal and the vertical gradient.
-SOBEL_X = {(-1, -1): -1, (1, -1): 1, (-1, 0): -2, (1, 0): 2, (-1, 1): -1, (1, 1): 1}
-SOBEL_Y = {(-1, -1): -1, (0, -1): -2, (1, -1): -1, (-1, 1): 1, (0, 1): 2, (1, 1): 1}
+def gradient(s: np.ndarray) -> dict[str, np.ndarray]:
+    """Magnitude and direction of 3 x 3 Sobel gradients; 0 at the border."""
+    inside = _interior(s)
+    smooth = lambda a, b, c: a + 2 * b + c
+    side = lambda dx, dy: _moved(s, dx, dy, 0.0)
+    gx = np.where(inside, smooth(side(1, -1), side(1, 0), side(1, 1)) - smooth(side(-1, -1), side(-1, 0), side(-1, 1)), 0.0)
+    gy = np.where(inside, smooth(side(-1, 1), side(0, 1), side(1, 1)) - smooth(side(-1, -1), side(0, -1), side(1, -1)), 0.0)
+    return {"magnitude": np.sqrt(gx * gx + gy * gy), "direction": np.arctan2(gy, gx)}
 
 
 def sobel(rasters: DataFrame) -> DataFrame:
     """g becomes an array of (magnitude, direction); the border is 0."""
+    return map_images(rasters, gradient, "struct<magnitude:double,direction:double>")
 
-    def of(v: Column, x: Column, y: Column, read: Read) -> Column:
-        gx, gy = (_sum([read(x + dx, y + dy) * float(k) for (dx, dy), k in side.items()]) for side in (SOBEL_X, SOBEL_Y))
-        inside = _interior(x, y)
-        zero = F.lit(0.0)
-        return F.struct(F.when(inside, F.sqrt(gx * gx + gy * gy)).otherwise(zero).alias("magnitude"), F.when(inside, F.atan2(gy, gx)).otherwise(zero).alias("direction"))
 
-    return _map(rasters, "g", of)
+def magnitudes(rasters: DataFrame) -> DataFrame:
+    """g becomes the gradients' magnitudes."""
+    return map_images(rasters, lambda s: gradient(s)["magnitude"])
 
 
-def _square(read: Read, x: Column, y: Column, r: int) -> list[Column]:
-    return [read(x + dx, y + dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+def morph_gradient(rasters: DataFrame, radius: int) -> DataFrame:
+    """Largest minus smallest value of the square, within the image."""
+    return map_images(rasters, lambda s: _extreme(s, radius, np.maximum, -np.inf) - _extreme(s, radius, np.minimum, np.inf))
 
 
-def _disc(r: int) -> list[tuple[int, int]]:
-    return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dx * dx + dy * dy <= r * r]
+def _disc_counts(s: np.ndarray, r: int) -> tuple[np.ndarray, int]:
+    """How many pixels of the disc around each pixel are set, and how many it has."""
+    on, total, size = (s > 0).astype(float), np.zeros(s.shape), 0
+    for dy in range(-r, r + 1):
+        half = math.isqrt(r * r - dy * dy)
+        total += _moved(_running(on, half, ACROSS), 0, dy, 0.0)
+        size += 2 * half + 1
+    return total, size
 
 
-def morph_gradient(rasters: DataFrame, radius: int) -> DataFrame:
-    """Largest minus smallest value of the square, within the image."""
-    return _map(rasters, "g", lambda v, x, y, read: F.greatest(*_square(read, x, y, radius)) - F.least(*_square(read, x, y, radius)))
+def dilated(s: np.ndarray, radius: int) -> np.ndarray:
+    return np.where(_disc_counts(s, radius)[0] > 0.5, 255.0, 0.0)
+
+
+def eroded(s: np.ndarray, radius: int) -> np.ndarray:
+    count, size = _disc_counts(s, radius)
+    return np.where(count > size - 0.5, 255.0, 0.0)
 
 
 def dilate(masks: DataFrame, radius: int) -> DataFrame:
     """255 where any pixel of the disc is set."""
-    return _map(masks, "g", lambda v, x, y, read: F.greatest(*[F.coalesce(read(x + dx, y + dy), F.lit(0.0)) for dx, dy in _disc(radius)], F.lit(0.0)))
+    return map_images(masks, lambda s: dilated(s, radius))
 
 
 def erode(masks: DataFrame, radius: int) -> DataFrame:
     """255 where the whole disc is set; outside the image nothing is."""
-    return _map(masks, "g", lambda v, x, y, read: F.least(*[F.coalesce(read(x + dx, y + dy), F.lit(0.0)) for dx, dy in _disc(radius)], F.lit(255.0)))
+    return map_images(masks, lambda s: eroded(s, radius))
 
 
 def morph_open(masks: DataFrame, radius: int) -> DataFrame:
-    return dilate(erode(masks, radius), radius)
+    return map_images(masks, lambda s: dilated(eroded(s, radius), radius))
 
 
 def morph_close(masks: DataFrame, radius: int) -> DataFrame:
-    return erode(dilate(masks, radius), radius)
+    return map_images(masks, lambda s: eroded(dilated(s, radius), radius))
 
 
 def threshold(rasters: DataFrame, above: float) -> DataFrame:
@@ -128,46 +168,83 @@ LBP = [(-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0)]
 
 def local_binary_pattern(rasters: DataFrame) -> DataFrame:
     """8-bit codes, a bit for each neighbour that is no smaller; the border is 0."""
-    code = lambda v, x, y, read: _sum([F.when(read(x + dx, y + dy) >= v, 1 << k).otherwise(0) for k, (dx, dy) in enumerate(LBP)])
-    return _map(rasters, "g", lambda v, x, y, read: F.when(_interior(x, y), code(v, x, y, read)).otherwise(0))
+    return map_images(rasters, lambda s: np.where(_interior(s), sum((_moved(s, dx, dy, -np.inf) >= s) * (1 << k) for k, (dx, dy) in enumerate(LBP)), 0), "int")
 
 
 def adaptive_threshold(rasters: DataFrame, block: int, c: float) -> DataFrame:
     """255 where a pixel is above the mean of its block, cut at the border, less c."""
     r = block // 2
+    return map_images(rasters, lambda s: np.where(s > _square_sums(s, r) / _square_sums(np.ones((1, *s.shape[1:])), r) - c, 255.0, 0.0))
 
-    def of(v: Column, x: Column, y: Column, read: Read) -> Column:
-        values = _square(read, x, y, r)
-        n = _sum([F.when(p.isNotNull(), 1).otherwise(0) for p in values])
-        return F.when(v > _sum([F.coalesce(p, F.lit(0.0)) for p in values]) / n - c, 255.0).otherwise(0.0)
 
-    return _map(rasters, "g", of)
+def minima(s: np.ndarray, below: float | np.ndarray, radius: int) -> np.ndarray:
+    return _interior(s, radius) & (s < below) & (s <= _extreme(s, radius, np.minimum, np.inf))
 
 
-def local_minima(rasters: DataFrame, below: Column, radius: int = 5) -> DataFrame:
+def local_minima(rasters: DataFrame, below: float, radius: int = 5) -> DataFrame:
     """1.0 where a value is under below and no neighbour within radius is smaller, radius away from the border."""
-    return _map(rasters, "g", lambda v, x, y, read: F.when(_interior(x, y, radius) & (v < below) & (v <= F.least(*_square(read, x, y, radius))), 1.0).otherwise(0.0))
+    return map_images(rasters, lambda s: minima(s, below, radius).astype(float))
 
 
 def noise(rasters: DataFrame) -> DataFrame:
     """Share of pixels that differ from the mean of their four neighbours by more than 30; (page_id, noise)."""
-    far = lambda v, x, y, read: F.when(_interior(x, y) & (F.abs(v - _sum([read(x + 1, y), read(x - 1, y), read(x, y + 1), read(x, y - 1)]) / 4) > 30), 1).otherwise(0)
-    marked = _map(rasters, "m", far)
+    four = ((1, 0), (-1, 0), (0, 1), (0, -1))
+    marked = map_images(rasters, lambda s: _interior(s) & (np.abs(s - sum(_moved(s, dx, dy, 0.0) for dx, dy in four) / 4) > 30), "int", "m")
     return marked.select("page_id", (F.aggregate("m", F.lit(0), lambda a, v: a + v) / (F.col("width") * F.col("height"))).alias("noise"))
 
 
 def text_edges(rasters: DataFrame, strong: float = 80.0, least: int = 10) -> DataFrame:
     """1 where a strong edge has more than least strong pixels in its 5 x 5 square, itself included. g: magnitudes."""
-    near = lambda x, y, read: _sum([F.when(p > strong, 1).otherwise(0) for p in _square(read, x, y, 2)])
-    return _map(rasters, "g", lambda v, x, y, read: F.when((v > strong) & (near(x, y, read) > least), 1).otherwise(0))
+    return map_images(rasters, lambda s: (s > strong) & (_square_sums((s > strong).astype(float), 2) > least + 0.5), "int")
 
 
 def bubble_border(rasters: DataFrame, reach: int = 5, bright: float = 240.0, darker: float = 80.0) -> DataFrame:
     """1 where a bright pixel has one that is darker by darker among those reach away."""
-    far = lambda v, x, y, read: F.greatest(*[F.coalesce(v - read(x + dx, y + dy), F.lit(0.0)) for dy in (-reach, 0, reach) for dx in (-reach, 0, reach)])
-    return _map(rasters, "g", lambda v, x, y, read: F.when((v > bright) & (far(v, x, y, read) > darker), 1).otherwise(0))
+
+    def of(s: np.ndarray) -> np.ndarray:
+        lowest = np.minimum.reduce([_moved(s, dx, dy, np.inf) for dy in (-reach, 0, reach) for dx in (-reach, 0, reach)])
+        return (s > bright) & (s - lowest > darker)
+
+    return map_images(rasters, of, "int")
 
 
 def label_edges(labels: DataFrame) -> DataFrame:
     """1 where a pixel's label differs from one of its four neighbours' labels."""
-    return _map(labels, "g", lambda v, x, y, read: F.greatest(*[F.when(read(x + dx, y + dy) != v, 1).otherwise(0) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+
+    def of(s: np.ndarray) -> np.ndarray:
+        out = np.zeros(s.shape, dtype=bool)
+        across, down = s[:, :, 1:] != s[:, :, :-1], s[:, 1:] != s[:, :-1]
+        out[:, :, 1:] |= across
+        out[:, :, :-1] |= across
+        out[:, 1:] |= down
+        out[:, :-1] |= down
+        return out
+
+    return map_images(labels, of, "int")
+
+
+def distance_transform(masks: DataFrame, above: float = 0.0) -> DataFrame:
+    """g becomes the chamfer distance (1 straight, 1.414 diagonal) to the nearest background pixel; 1e10 without one.
+
+    A pass down and a pass up; within a row, distances to the left and right are running minima.
+    """
+
+    def passed(d: np.ndarray) -> np.ndarray:
+        w = d.shape[2]
+        x = np.arange(w)
+        for y in range(d.shape[1]):
+            row = d[:, y]
+            if y:
+                up = np.pad(d[:, y - 1], ((0, 0), (1, 1)), constant_values=np.inf)
+                row = np.minimum.reduce([row, up[:, 1:-1] + 1, up[:, :-2] + 1.414, up[:, 2:] + 1.414])
+            left = np.minimum.accumulate(row - x, axis=1) + x
+            right = np.minimum.accumulate((row + x)[:, ::-1], axis=1)[:, ::-1] - x
+            d[:, y] = np.minimum(left, right)
+        return d
+
+    def of(s: np.ndarray) -> np.ndarray:
+        d = passed(np.where(s > above, np.inf, 0.0))
+        d = passed(d[:, ::-1].copy())[:, ::-1]
+        return np.where(np.isinf(d), 1e10, d)
+
+    return map_images(masks, of)

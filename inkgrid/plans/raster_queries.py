@@ -34,7 +34,7 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _magnitudes(s: SparkSession, d: str) -> DataFrame:
-    return S.sobel(X.raster8(s, d)).withColumn("g", F.transform("g", lambda e: e["magnitude"]))
+    return S.magnitudes(X.raster8(s, d))
 
 
 def _px8(s: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ QUERIES = {
     "morph_close": lambda s, d: _flat(S.morph_close(_mask(s, d), 1)),
     "lbp": lambda s, d: _flat(S.local_binary_pattern(X.raster8(s, d))),
     "adaptive_threshold": lambda s, d: _flat(S.adaptive_threshold(X.raster8(s, d), 3, 2.0)),
-    "local_minima": lambda s, d: _flat(S.local_minima(X.raster8(s, d), F.lit(200.0), 1)),
+    "local_minima": lambda s, d: _flat(S.local_minima(X.raster8(s, d), 200.0, 1)),
     "noise_px": lambda s, d: S.noise(X.raster8(s, d)),
     "edge_neighbors_text": lambda s, d: _flat(S.text_edges(_magnitudes(s, d))),
     "bubble_border_px": lambda s, d: _flat(S.bubble_border(X.raster8(s, d), 3, 140.0, 20.0)),
@@ -172,7 +172,7 @@ QUERIES = {
     "src_downscale": lambda s, d: images.downscale(_px8(s, d), X.raster8(s, d), 4).withColumn("g", F.round("g", 6)),
     "components": lambda s, d: R.components(_mask(s, d)),
     "face_count": _faces,
-    "distance_transform": lambda s, d: R.distance_transform(X.pixels(_mask(s, d))).withColumn("d", F.round("d", 6)),
+    "distance_transform": lambda s, d: _flat(S.distance_transform(_mask(s, d)), "d"),
     "region_adjacency": _adjacent,
     "watershed_label": lambda s, d: R.watershed(X.raster8(s, d)),
     "panels_watershed": lambda s, d: R.region_boxes(R.watershed(X.raster8(s, d)), 3, 3),

@@ -50,8 +50,10 @@ def docraster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, x, y, r, g, b): whole texts as images 64 wide; channels are the code points at i, i + 1 and i + 2."""
     docs = table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").alias("page_id"), F.split("text", "").alias("c"))
     docs = docs.select("page_id", F.expr("transform(c, s -> ascii(s))").alias("v"))
-    px = docs.select("page_id", "v", F.posexplode("v").alias("i", "r"))
-    return px.selectExpr("page_id", "i % 64 AS x", "i div 64 AS y", "r", "coalesce(get(v, i + 1), 255) AS g", "coalesce(get(v, i + 2), 255) AS b")
+    # The three channels are zipped before they are taken apart, so that no pixel carries the whole array along.
+    later = lambda k: f"concat(slice(v, {k + 1}, greatest(0, size(v) - {k})), array_repeat(255, least({k}, size(v))))"
+    px = docs.select("page_id", F.posexplode(F.arrays_zip(F.col("v").alias("r"), F.expr(later(1)).alias("g"), F.expr(later(2)).alias("b"))).alias("i", "c"))
+    return px.select("page_id", F.expr("i % 64").alias("x"), F.expr("i div 64").alias("y"), "c.r", "c.g", "c.b")
 
 
 def pixels(rasters: DataFrame) -> DataFrame:
