@@ -115,8 +115,8 @@ def merge_rects(a: str, b: str) -> list[Column]:
     return [x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h"), F.greatest(F.col(f"{a}conf"), F.col(f"{b}conf")).alias("conf"), larger.alias("kind_of")]
 
 
-def fuse(cv: DataFrame, ml: DataFrame) -> DataFrame:
-    """Fuse two detectors: each first-detector panel with the best second-detector panel of its page.
+def fuse_by_area(cv: DataFrame, ml: DataFrame) -> DataFrame:
+    """Fuse two detectors without their images (strips.fuse() looks at those): each first-detector panel with the best second-detector panel of its page.
 
     iou over 0.5: the smaller of both boxes with the larger confidence; over 0.2: the mean confidence on the first box;
     else the first box at 80 % confidence. Second-detector panels that nobody matched over 0.2 are kept at 70 %.
@@ -134,7 +134,7 @@ def fuse(cv: DataFrame, ml: DataFrame) -> DataFrame:
 
 
 def fuse_exclusive(cv: DataFrame, ml: DataFrame) -> DataFrame:
-    """Like fuse, but a second-detector panel serves one first-detector panel only, in order of seq: (page_id, seq, match)."""
+    """A second-detector panel serves one first-detector panel only, in order of seq: (page_id, seq, match)."""
     entry = lambda df, name: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y", "w", "h"))).alias(name))
     both = entry(cv, "cs").join(entry(ml, "ms"), "page_id", "left")
     free = f"transform(filter(coalesce(ms, cast(array() AS array<struct<seq:int,x:bigint,y:bigint,w:bigint,h:bigint>>)), m -> NOT exists(done, d -> d.match <=> m.seq) AND {iou_sql('m', 'c')} > 0.2), m -> named_struct('iou', {iou_sql('m', 'c')}, 'early', -m.seq))"
@@ -215,3 +215,44 @@ def union_candidates(detectors: dict[str, DataFrame]) -> DataFrame:
         rows = df.withColumn("detector", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def reading_order_smart(panels: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(page_id, seq, position): pages with a vertical or grid layout in reading order, all others by falling importance.
+
+    panels: with importance; layouts: (page_id, layout).
+    """
+    known = panels.join(layouts, "page_id")
+    rows = [reading_order(known.where(F.col("layout") == k).drop("layout", "importance"), k == "vertical").select("page_id", "seq", "position") for k in ("vertical", "grid")]
+    rank = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("importance"), "seq"))
+    rest = known.where(~F.col("layout").isin("vertical", "grid")).select("page_id", "seq", rank.alias("position"))
+    return rows[0].union(rows[1]).union(rest)
+
+
+def first_with_panels(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The first detector's panels, and the second's on pages for which the first has none; told apart by detector."""
+    missing = second.join(first.select("page_id").distinct(), "page_id", "left_anti")
+    return union_candidates({"first": first, "second": missing})
+
+
+def ensemble(detectors: dict[str, DataFrame], method: str = "vote") -> DataFrame:
+    """Panels that several detectors agree on: none give none, one its own, more by vote or as weighted averages."""
+    if not detectors:
+        raise ValueError("no detectors")
+    every = union_candidates(detectors)
+    if len(detectors) == 1:
+        return every
+    if method == "vote":
+        return every.join(vote(every, len(detectors)).select("page_id", "detector", "seq"), ["page_id", "detector", "seq"])
+    numbered = every.withColumn("seq", F.row_number().over(W.partitionBy("page_id").orderBy("detector", "seq")))
+    return weighted_average(numbered).withColumn("detector", F.lit("average"))
+
+
+def advanced(panels: DataFrame, width: int, height: int) -> DataFrame:
+    """Panels as found on flipped, scaled and rescaled images, restored, as one table after soft suppression; seq numbers them."""
+    conf = panels.select("page_id", "seq", "conf")
+    views = restore(augment(panels, width, height), width, height).select("page_id", "seq", F.concat(F.lit("1 "), "view").alias("from"), *"xywh")
+    scaled = at_scales(panels).select("page_id", "seq", F.concat(F.lit("2 "), F.col("scale").cast("string")).alias("from"), *"xywh")
+    every = views.union(scaled).join(conf, ["page_id", "seq"])
+    numbered = every.withColumn("seq", F.row_number().over(W.partitionBy("page_id").orderBy("seq", "from")))
+    return soft_nms(numbered.drop("from"))

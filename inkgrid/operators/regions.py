@@ -143,16 +143,18 @@ def otsu_level(values: np.ndarray) -> int:
     return int(np.argmax(np.nan_to_num(between, posinf=0)))
 
 
-def panel_regions(rasters: DataFrame, sigma: float = 1.5, radius: int = 2, reach: int = 5) -> DataFrame:
-    """(page_id, x, y, label): watershed of the blurred image's gradient from its low minima, those under half of Otsu's level."""
+def segment(image: np.ndarray, sigma: float = 1.5, radius: int = 2, reach: int = 5) -> np.ndarray:
+    """Watershed labels from 1 on of the blurred image's gradient, from its low minima, those under half of Otsu's level; 0
+    all over without any."""
+    hi, lo = _square_extremes(stencils.blurred(image[None], sigma)[0], radius)
+    gradient = hi - lo
+    seeds = stencils.minima(gradient[None], 0.5 * otsu_level(gradient), reach)[0]
+    return flood(gradient, label(seeds) + 1)
 
-    def of(image: np.ndarray) -> list:
-        hi, lo = _square_extremes(stencils.blurred(image[None], sigma)[0], radius)
-        gradient = hi - lo
-        seeds = stencils.minima(gradient[None], 0.5 * otsu_level(gradient), reach)[0]
-        return _pixelwise(flood(gradient, label(seeds) + 1))
 
-    return per_page(rasters, of, "x long, y long, label long")
+def panel_regions(rasters: DataFrame, sigma: float = 1.5, radius: int = 2, reach: int = 5) -> DataFrame:
+    """(page_id, x, y, label) of the watershed that panels are read from."""
+    return per_page(rasters, lambda image: _pixelwise(segment(image, sigma, radius, reach)), "x long, y long, label long")
 
 
 def region_boxes(labels: DataFrame, least_w: int = 1, least_h: int = 1, fill: float = 0.5) -> DataFrame:
@@ -230,6 +232,30 @@ def merge_similar(edges: DataFrame, distances: DataFrame, below: float = 0.5) ->
     return edges.join(distances, ["page_id", "a", "b"]).where(F.col("distance") < below).select("page_id", "a", "b")
 
 
+def stable(image: np.ndarray, least: int, most: int, delta: int, top: int) -> np.ndarray:
+    """Rows (level, label, x, y, w, h, n, growth) of the steadiest dark components over all levels."""
+    found = []
+    levels = np.unique(np.floor(image))
+    labels: dict[float, np.ndarray] = {}
+
+    def upto(level: float) -> np.ndarray:
+        """Components of what is no brighter; the same for all levels between two that the image has."""
+        at = float(levels[np.searchsorted(levels, level, side="right") - 1])
+        if at not in labels:
+            labels[at] = label(np.floor(image) <= at)
+        return labels[at]
+
+    for level in levels.tolist():
+        k, x, y, w, h, n = _parts(upto(level))
+        sized = (n >= least) & (n <= most)
+        if sized.any():
+            wider = upto(level + delta).ravel()
+            outer = np.bincount(wider[wider >= 0], minlength=wider.size)[wider[k[sized]]]
+            found.append(np.column_stack([np.full(sized.sum(), level), *(c[sized] for c in (k, x, y, w, h, n)), (outer - n[sized]) / n[sized]]))
+    rows = np.concatenate(found) if found else np.zeros((0, 8))
+    return rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 7]))][:top]
+
+
 def stable_regions(rasters: DataFrame, least: int, most: int, delta: int = 5, top: int = 100) -> DataFrame:
     """(page_id, level, label, x, y, w, h, n, growth): dark components over all levels that change least.
 
@@ -238,17 +264,7 @@ def stable_regions(rasters: DataFrame, least: int, most: int, delta: int = 5, to
     """
 
     def of(image: np.ndarray) -> list:
-        found = []
-        for level in np.unique(np.floor(image)).tolist():
-            k, x, y, w, h, n = _parts(label(image <= level))
-            sized = (n >= least) & (n <= most)
-            if sized.any():
-                wider = label(image <= level + delta).ravel()
-                sizes = np.bincount(wider[wider >= 0], minlength=wider.size)
-                outer = sizes[wider[k[sized]]]
-                found.append(np.column_stack([np.full(sized.sum(), level), *(c[sized] for c in (k, x, y, w, h, n)), (outer - n[sized]) / n[sized]]))
-        rows = np.concatenate(found) if found else np.zeros((0, 8))
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 7]))][:top]
+        rows = stable(image, least, most, delta, top)
         return [*rows[:, :7].astype(np.int64).T, rows[:, 7]]
 
     return per_page(rasters, of, "level long, label long, x long, y long, w long, h long, n long, growth double")

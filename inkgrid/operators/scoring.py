@@ -92,3 +92,61 @@ def yolo_label(page_w: int, page_h: int) -> Column:
     """Text line of a panel for training: class 0, centre and size as shares of the page, six decimals."""
     shares = [(F.col("x") + F.col("w") / 2.0) / page_w, (F.col("y") + F.col("h") / 2.0) / page_h, F.col("w") / float(page_w), F.col("h") / float(page_h)]
     return F.format_string("0 %.6f %.6f %.6f %.6f", *shares)
+
+
+def insight_kind(edge: Column, bright: Column, page_w: int, page_h: int) -> Column:
+    """What a panel shows by its edge density, brightness and shape; the first rule wins."""
+    w, h = F.col("w"), F.col("h")
+    return (
+        F.when((edge > 0.3) & (w > h), "action").when((edge > 0.2) & (h > 1.5 * w), "close-up").when((bright > 180) & (w > 0.8 * page_w), "establishing")
+        .when((w > 0.9 * page_w) & (h < 0.2 * page_h), "transition").when(edge > 0.15, "dialogue").otherwise("mixed")
+    )
+
+
+def quality_by_signature(panels: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(page_id, precision, recall, score, issues) of a page's panels beside what its signature leads to expect.
+
+    signatures: (page_id, page_w, page_h, n_panels, noise, compression). Pages without a panel count as covered by nothing.
+    """
+    area = F.col("w").cast("double") * F.col("h")
+    whole = F.col("page_w").cast("double") * F.col("page_h")
+    sized = signatures.join(panels.select("page_id", "w", "h"), "page_id", "left")
+    sums = sized.groupBy("page_id").agg(
+        F.count("w").alias("n"), F.coalesce(F.sum(area), F.lit(0.0)).alias("area"), F.sum(F.when(area > 0.5 * whole, 1).otherwise(0)).alias("large"), F.sum(F.when((F.col("w") < 50) | (F.col("h") < 50), 1).otherwise(0)).alias("small"),
+        F.first(whole).alias("whole"), F.first("n_panels").alias("n_panels"), F.first("noise").alias("noise"), F.first("compression").alias("compression"),
+    )
+    expected = F.greatest(F.lit(1), F.col("n_panels"))
+    cover, ratio = F.col("area") / F.col("whole"), F.col("area") / F.greatest(F.lit(1), F.col("n")) / (F.col("whole") / expected)
+    share, noisy, compressed = F.col("n") / expected, F.col("noise") > 0.15, F.col("compression") > 0.7
+    loss = lambda *rules: sum((F.when(c, v).otherwise(0.0) for c, v in rules), F.lit(0.0))
+    precision = 0.85 - loss((cover > 0.9, 0.1), (cover < 0.3, 0.05), ((ratio > 2) | (ratio < 0.5), 0.1), (noisy, 0.1), (compressed, 0.05))
+    recall = 0.80 - loss((cover < 0.3, 0.15), (share < 0.5, 0.2), (share > 2, 0.1), (noisy, 0.1))
+    issues = {"very large panels": F.col("large") > 0, "very small panels": F.col("small") > 0, "panels may be merged": cover > 0.9, "panels may be missing": cover < 0.3, "noisy image": noisy, "compressed image": compressed, "no panels": F.col("n") == 0, "more panels than expected": F.col("n") > 2 * F.col("n_panels")}
+    rated = sums.withColumns({"precision": F.round(precision, 4), "recall": F.round(recall, 4), "issues": F.concat_ws("; ", *[F.when(c, k) for k, c in issues.items()])})
+    return rated.select("page_id", "precision", "recall", F.floor(50 * (F.col("precision") + F.col("recall")) + 0.5).alias("score"), "issues")
+
+
+#: What each issue suggests.
+SUGGESTIONS = {
+    "very large panels": "split large panels", "very small panels": "raise the smallest panel size", "noisy image": "raise the edge sensitivity", "compressed image": "use better images",
+    "panels may be missing": "lower the gutter sensitivity", "panels may be merged": "raise the merge threshold",
+}
+
+
+def suggestions(issues: Column) -> Column:
+    """Array of what to do about a list of issues as quality() and quality_by_signature() give it."""
+    return F.array_compact(F.array(*[F.when(F.contains(issues, F.lit(k)), s) for k, s in SUGGESTIONS.items()]))
+
+
+def segmentation_mask(labels: DataFrame, map_w: int, map_h: int, width: int, height: int) -> DataFrame:
+    """(page_id, x, y, v): a label map spread over the page's pixels, 255 where the nearest label isn't background (0)."""
+    reach = lambda c, n, m: F.expr(f"filter(sequence(cast({c} * {n} div {m} AS int), cast(least({n} - 1, ({c} + 1) * {n} div {m}) AS int)), t -> t * {m} div {n} = {c})")
+    across = labels.select("page_id", "y", "label", F.explode(reach("x", width, map_w)).alias("tx"))
+    return across.select("page_id", "label", "tx", F.explode(reach("y", height, map_h)).alias("ty")).select("page_id", F.col("tx").alias("x"), F.col("ty").alias("y"), F.when(F.col("label") > 0, 255.0).otherwise(0.0).alias("v"))
+
+
+def decode_classes(anchors: DataFrame, scale: float, page_w: int, page_h: int, least: float = 0.5, smallest: float = 50.0) -> DataFrame:
+    """Like decode_anchors for rows with an array of scores, one a class: the best class counts, the first of equals."""
+    best = F.array_max("scores")
+    rated = anchors.withColumns({"score": best, "class": F.array_position("scores", best) - 1})
+    return decode_anchors(rated, scale, page_w, page_h, least, smallest)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkgrid.functions import boxes
 from inkgrid.functions.boxes import intersection_sql, iou_sql
 from inkgrid.operators import panels as P
-from inkgrid.operators import scoring, sequences
+from inkgrid.operators import pages, scoring, sequences
 from inkgrid.sources import fixtures as X
 from inkgrid.sources import images
 
@@ -100,7 +100,74 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     return images.summary(ml, cv)
 
 
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures of pages with panels, worked out from those: what tuning and rating read."""
+    c = _cv(spark, d).groupBy("page_id").agg(F.count("*").alias("n"), F.max("t").alias("t"), F.min("x").alias("x"))
+    return c.selectExpr(
+        "page_id", "n * 3 AS n_panels", "x % 50 AS gutter_width", "t / 20.0D AS clarity", "1 - t / 9.0D AS noise", "CASE WHEN x > 250 THEN 0.8D ELSE 0.2D END AS compression", "t > 6 AS has_faces", "n > 4 AS has_bubbles", "t > 5 AS has_action", "t > 3 AS has_diagonals",
+        "CASE WHEN t > 5 THEN 'vertical' WHEN t > 2 THEN 'grid' WHEN n > 3 THEN 'mixed' ELSE 'freeform' END AS layout", "CASE WHEN t > 3 OR n > 5 THEN 'high' WHEN n < 2 THEN 'low' ELSE 'medium' END AS complexity",
+        "CASE WHEN t > 3 OR n > 5 THEN array('watershed', 'superpixels') WHEN n < 2 THEN array('projection-analysis') ELSE array('watershed') END AS algorithms",
+    )
+
+
+def _adaptive_sig(spark: SparkSession, d: str) -> DataFrame:
+    return _signed(spark, d).select("page_id", *pages.adaptive_options({"gutter": 65, "protection": 80, "edge": 60}))
+
+
+def _quality_sig(spark: SparkSession, d: str) -> DataFrame:
+    sig = _signed(spark, d).withColumns({"page_w": F.lit(W), "page_h": F.lit(H)})
+    return scoring.quality_by_signature(_cv(spark, d), sig)
+
+
+def _order_smart(spark: SparkSession, d: str) -> DataFrame:
+    cv = _cv(spark, d).withColumn("importance", F.round(F.least(F.lit(1.0), 2.0 * F.col("w") * F.col("h") / (W * H) + F.col("t") / 20.0), 6))
+    return P.reading_order_smart(cv, _signed(spark, d).select("page_id", "layout"))
+
+
+def _fallback(spark: SparkSession, d: str) -> DataFrame:
+    cv, ml = _both(spark, d)
+    return P.first_with_panels(ml.where("page_id % 3 > 0"), cv.drop("t"))
+
+
+def _voted(spark: SparkSession, d: str) -> DataFrame:
+    cv, ml = _both(spark, d)
+    return P.ensemble({"a": cv.drop("t"), "b": ml, "c": cv.drop("t").where("seq % 2 = 0")}).select("page_id", "seq", "detector", *"xywh", "conf")
+
+
+def _insight(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cv(spark, d).selectExpr("page_id", "seq", "x", "y", "w", "h", "t / 20.0D AS edge", "100 + x % 150 AS bright")
+    return rows.select("page_id", "seq", scoring.insight_kind(F.col("edge"), F.col("bright"), W, H).alias("kind"), F.round(scoring.panel_insight(F.col("edge"), F.lit(W), F.lit(H)), 9).alias("importance"))
+
+
+def _advanced(spark: SparkSession, d: str) -> DataFrame:
+    """Panels seen on flipped and scaled images and at several scales, restored, united and softly suppressed."""
+    found = P.advanced(_cv(spark, d), W, H)
+    return found.select("page_id", "seq", F.round("score", 6).alias("score"))
+
+
+def _segmented(spark: SparkSession, d: str) -> DataFrame:
+    """Label maps of 8 x 8, spread over pages of 20 x 12, label 0 being background."""
+    labels = X.pixels(X.raster8(spark, d)).select("page_id", "x", "y", F.floor(F.col("g") / 64).cast("int").alias("label"))
+    return scoring.segmentation_mask(labels, 8, 8, 20, 12)
+
+
+def _yolo_classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.anchors(_both(spark, d)[1]).withColumn("scores", F.expr("array(score, (i * 37 % 100) / 100.0D, (page_id * 13 % 100) / 100.0D)"))
+    found = P.nms(scoring.decode_classes(rows, SCALE, W, H))
+    return found.select("page_id", "seq", F.round("conf", 6).alias("conf"))
+
+
 QUERIES = {
+    "adaptive_opts_sig": _adaptive_sig,
+    "quality_sig": _quality_sig,
+    "reading_order_smart": _order_smart,
+    "ml_hybrid_fallback": _fallback,
+    "ensemble": _voted,
+    "panel_insight": _insight,
+    "advanced": _advanced,
+    "seg_mask": _segmented,
+    "yolo_decode_classes": _yolo_classes,
+    "split_mod": lambda s, d: images.split_every(_cv(s, d)),
     "iou": lambda s, d: P.overlaps(_cv(s, d)).select("page_id", "a", "b", F.round("iou", 9).alias("iou"), F.round("containment", 9).alias("containment")),
     "overlap_class": lambda s, d: P.overlaps(_cv(s, d)).select("page_id", "a", "b", "overlap"),
     "merge_rects": _merge_rects,
@@ -110,7 +177,7 @@ QUERIES = {
     "overlap_mark": lambda s, d: P.mark_overlapping(_cv(s, d)),
     "overlap_merge": lambda s, d: P.merge_overlapping(_cv(s, d)).select("page_id", "seq", "x", "y", "w", "h", F.round("conf", 6).alias("conf"), "overlapping"),
     "best_match": _best_match,
-    "fuse_cv_ml": lambda s, d: P.fuse(*_both(s, d)).withColumn("conf", F.round("conf", 6)),
+    "fuse_by_area": lambda s, d: P.fuse_by_area(*_both(s, d)).withColumn("conf", F.round("conf", 6)),
     "fuse_exclusive": lambda s, d: P.fuse_exclusive(*_both(s, d)),
     "ensemble_vote": lambda s, d: P.vote(_candidates(s, d), 2),
     "ensemble_leaders": lambda s, d: P.leader_clusters(_cv(s, d)),
@@ -197,7 +264,25 @@ _R_LOSS = "(CASE WHEN coverage < 0.3 THEN 0.15 ELSE 0 END + CASE WHEN noise > 0.
 _EDGE = f"x < 5 AS l, x + w > {W} - 5 AS r, y < 5 AS t0, y + h > {H} - 5 AS b"
 _BANDS = "SELECT page_id, pos AS s, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS e FROM (SELECT page_id, {c} AS pos FROM panels_cv UNION SELECT page_id, 0 FROM panels_cv UNION SELECT page_id, {n} FROM panels_cv)"
 
+_SIG = """, c AS (SELECT page_id, count(*) AS n, max(t) AS t, min(x) AS x FROM panels_cv GROUP BY page_id),
+    sig AS (SELECT page_id, n * 3 AS n_panels, x % 50 AS gutter_width, t / 20.0::DOUBLE AS clarity, 1 - t / 9.0::DOUBLE AS noise, CASE WHEN x > 250 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS compression, t > 6 AS faces, n > 4 AS bubbles, t > 5 AS action, t > 3 AS diagonals,
+        CASE WHEN t > 5 THEN 'vertical' WHEN t > 2 THEN 'grid' WHEN n > 3 THEN 'mixed' ELSE 'freeform' END AS layout, CASE WHEN t > 3 OR n > 5 THEN 'high' WHEN n < 2 THEN 'low' ELSE 'medium' END AS complexity FROM c)"""
+_QSIG = f"""{_SIG}, a AS (SELECT s.*, count(*) AS k, sum(w * h) / {float(W * H)}::DOUBLE AS cover, sum(w * h)::DOUBLE / count(*) / ({W * H} / greatest(1, any_value(s.n_panels))::DOUBLE) AS ratio, count(*) FILTER (w * h > {W * H / 2}) AS large, count(*) FILTER (w < 50 OR h < 50) AS small
+        FROM sig s JOIN panels_cv p ON p.page_id = s.page_id GROUP BY ALL),
+    p AS (SELECT *, k / greatest(1, n_panels)::DOUBLE AS share FROM a),
+    r AS (SELECT *, 0.85::DOUBLE - CASE WHEN cover > 0.9 THEN 0.1 WHEN cover < 0.3 THEN 0.05 ELSE 0 END::DOUBLE - CASE WHEN ratio > 2 OR ratio < 0.5 THEN 0.1 ELSE 0 END::DOUBLE - CASE WHEN noise > 0.15 THEN 0.1 ELSE 0 END::DOUBLE - CASE WHEN compression > 0.7 THEN 0.05 ELSE 0 END::DOUBLE AS pr,
+        0.80::DOUBLE - CASE WHEN cover < 0.3 THEN 0.15 ELSE 0 END::DOUBLE - CASE WHEN share < 0.5 THEN 0.2 WHEN share > 2 THEN 0.1 ELSE 0 END::DOUBLE - CASE WHEN noise > 0.15 THEN 0.1 ELSE 0 END::DOUBLE AS re FROM p)
+    SELECT page_id, round(pr, 4) AS precision, round(re, 4) AS recall, cast(floor(50 * (round(pr, 4) + round(re, 4)) + 0.5) AS BIGINT) AS score,
+        concat_ws('; ', CASE WHEN large > 0 THEN 'very large panels' END, CASE WHEN small > 0 THEN 'very small panels' END, CASE WHEN cover > 0.9 THEN 'panels may be merged' WHEN cover < 0.3 THEN 'panels may be missing' END, CASE WHEN noise > 0.15 THEN 'noisy image' END, CASE WHEN compression > 0.7 THEN 'compressed image' END, CASE WHEN k > 2 * n_panels THEN 'more panels than expected' END) AS issues FROM r"""
+
 ORACLE = {
+    "adaptive_opts_sig": X.with_fixtures(f"{_SIG} SELECT page_id, cast(CASE WHEN gutter_width < 10 THEN 80 WHEN gutter_width > 30 THEN 55 ELSE 65 END AS INT) AS gutter, cast(CASE WHEN clarity < 0.1 THEN 80 WHEN clarity > 0.3 THEN 50 ELSE 60 END AS INT) AS edge, cast(CASE WHEN faces OR bubbles THEN 95 ELSE 80 END AS INT) AS protection, action OR diagonals AS diagonal, complexity = 'high' OR n_panels > 15 AS fast, CASE layout WHEN 'vertical' THEN 'webtoon' WHEN 'grid' THEN 'manga' ELSE 'auto' END AS kind, complexity <> 'low' AS watershed, complexity = 'high' AS superpixels FROM sig", "panels_cv"),
+    "quality_sig": X.with_fixtures(_QSIG, "panels_cv"),
+    "ml_hybrid_fallback": X.with_fixtures(", m AS (SELECT * FROM panels_ml WHERE page_id % 3 > 0) SELECT page_id, seq, x, y, w, h, conf, 'first' AS detector FROM m UNION ALL SELECT page_id, seq, x, y, w, h, conf, 'second' FROM panels_cv WHERE page_id NOT IN (SELECT page_id FROM m)", "panels_cv", "panels_ml"),
+    "ensemble": X.with_fixtures(", u AS (SELECT page_id, 'a' AS detector, seq, x, y, w, h, conf FROM panels_cv UNION ALL SELECT page_id, 'b', seq, x, y, w, h, conf FROM panels_ml UNION ALL SELECT page_id, 'c', seq, x, y, w, h, conf FROM panels_cv WHERE seq % 2 = 0), k AS (SELECT *, concat_ws('_', " + ", ".join(f"cast(floor({c} / 10.0::DOUBLE + 0.5) AS BIGINT)" for c in "xywh") + ") AS key FROM u) SELECT page_id, seq, detector, x, y, w, h, conf FROM k QUALIFY count(*) OVER (PARTITION BY page_id, key) >= 2 AND row_number() OVER (PARTITION BY page_id, key ORDER BY detector, seq) = 1", "panels_cv", "panels_ml"),
+    "panel_insight": X.with_fixtures(f", e AS (SELECT page_id, seq, w, h, t / 20.0::DOUBLE AS edge, 100 + x % 150 AS bright FROM panels_cv) SELECT page_id, seq, CASE WHEN edge > 0.3 AND w > h THEN 'action' WHEN edge > 0.2 AND h > 1.5 * w THEN 'close-up' WHEN bright > 180 AND w > 0.8 * {W} THEN 'establishing' WHEN w > 0.9 * {W} AND h < 0.2 * {H} THEN 'transition' WHEN edge > 0.15 THEN 'dialogue' ELSE 'mixed' END AS kind, round(least(1.0::DOUBLE, 2.0::DOUBLE * w * h / {W * H}::DOUBLE + edge), 9) AS importance FROM e", "panels_cv"),
+    "seg_mask": X.with_fixtures("SELECT q.page_id, t.i % 20 AS x, t.i // 20 AS y, CASE WHEN floor(q.g / 64) > 0 THEN 255.0::DOUBLE ELSE 0 END AS v FROM px8 q JOIN (SELECT unnest(range(0, 240)) AS i) t ON q.x = t.i % 20 * 8 // 20 AND q.y = t.i // 20 * 8 // 12", "px8"),
+    "split_mod": X.with_fixtures("SELECT page_id, CASE WHEN (row_number() OVER (ORDER BY page_id) - 1) % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT page_id FROM panels_cv)", "panels_cv"),
     "iou": X.with_fixtures(f"SELECT a.page_id, a.seq AS a, b.seq AS b, round({iou_sql('a', 'b')}, 9) AS iou, round({intersection_sql('a', 'b')} / least(a.w * a.h, b.w * b.h)::DOUBLE, 9) AS containment {_PAIR} WHERE {intersection_sql('a', 'b')} > 0", "panels_cv"),
     "overlap_class": X.with_fixtures(f"SELECT a.page_id, a.seq AS a, b.seq AS b, {_overlap('a', 'b')} AS overlap {_PAIR} WHERE {intersection_sql('a', 'b')} > 0", "panels_cv"),
     "merge_rects": X.with_fixtures(f"SELECT a.page_id, a.seq AS a, b.seq AS b, least(a.x, b.x) AS x, least(a.y, b.y) AS y, greatest(a.x + a.w, b.x + b.w) - least(a.x, b.x) AS w, greatest(a.y + a.h, b.y + b.h) - least(a.y, b.y) AS h, greatest(a.conf, b.conf) AS conf, CASE WHEN a.w * a.h >= b.w * b.h THEN a.seq ELSE b.seq END AS kind_of {_PAIR} WHERE {_overlap('a', 'b')} = 'duplicate'", "panels_cv"),
@@ -207,12 +292,11 @@ ORACLE = {
     "overlap_mark": _fold("-(w * h), seq", "{'seq': p.seq, 'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h, 'parent': NULL::BIGINT}", f"list_append(f.kept, {{'seq': p.seq, 'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h, 'parent': {_CLAIM}}})", "page_id, q.seq AS seq, q.parent AS parent"),
     "overlap_merge": _fold("-(w * h), seq", "{'seq': p.seq, 'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h, 'conf': p.conf::DOUBLE, 'overlapping': false}", f"CASE WHEN len(list_filter(f.kept, lambda k: {_DUP})) > 0 THEN list_transform(f.kept, lambda k: CASE WHEN k.seq = {_FIRST_DUP.replace('lambda k', 'lambda m').replace('k.', 'm.')} THEN {_MERGED} ELSE k END) ELSE list_append(f.kept, {{'seq': p.seq, 'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h, 'conf': CASE WHEN {_HELD} THEN p.conf * 0.9::DOUBLE ELSE p.conf::DOUBLE END, 'overlapping': {_HELD}}}) END", "page_id, q.seq AS seq, q.x AS x, q.y AS y, q.w AS w, q.h AS h, round(q.conf, 6) AS conf, q.overlapping AS overlapping"),
     "best_match": X.with_fixtures(f"SELECT a.page_id, a.seq, round(max({iou_sql('a', 'b')}), 9) AS iou FROM panels_cv a JOIN panels_ml b USING (page_id) GROUP BY a.page_id, a.seq", "panels_cv", "panels_ml"),
-    "fuse_cv_ml": X.with_fixtures(f""", met AS (SELECT a.page_id, a.seq, b.seq AS mseq, b.x, b.y, b.w, b.h, b.conf, {iou_sql('a', 'b')} AS iou FROM panels_cv a JOIN panels_ml b ON a.page_id = b.page_id WHERE {iou_sql('a', 'b')} > 0.2),
-        best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY page_id, seq ORDER BY iou DESC, mseq) = 1)
-        SELECT c.page_id, 'cv' AS source, c.seq, CASE WHEN tight THEN m.x ELSE c.x END AS x, CASE WHEN tight THEN m.y ELSE c.y END AS y, CASE WHEN tight THEN m.w ELSE c.w END AS w, CASE WHEN tight THEN m.h ELSE c.h END AS h,
-        round(CASE WHEN m.iou > 0.5 THEN greatest(c.conf, m.conf)::DOUBLE WHEN m.iou > 0.2 THEN (c.conf + m.conf) / 2.0::DOUBLE ELSE c.conf * 0.8::DOUBLE END, 6) AS conf
-        FROM panels_cv c LEFT JOIN best m ON m.page_id = c.page_id AND m.seq = c.seq, LATERAL (SELECT coalesce(m.iou > 0.5 AND m.w * m.h < c.w * c.h, false) AS tight)
-        UNION ALL SELECT page_id, 'ml', seq, x, y, w, h, round(conf * 0.7::DOUBLE, 6) FROM panels_ml l WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.page_id = l.page_id AND met.mseq = l.seq)""", "panels_cv", "panels_ml"),
+    "fuse_by_area": X.with_fixtures(f""", met AS MATERIALIZED (SELECT * FROM (SELECT a.page_id, a.seq, b.seq AS mseq, b.x, b.y, b.w, b.h, b.conf, {iou_sql('a', 'b')} AS iou FROM panels_cv a JOIN panels_ml b ON a.page_id = b.page_id) WHERE iou > 0.2),
+        best AS MATERIALIZED (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY page_id, seq ORDER BY iou DESC, mseq) = 1), j AS (SELECT c.*, m.x AS mx, m.y AS my, m.w AS mw, m.h AS mh, m.conf AS mc, m.iou, coalesce(m.iou > 0.5 AND m.w * m.h < c.w * c.h, false) AS tight FROM panels_cv c LEFT JOIN best m ON m.page_id = c.page_id AND m.seq = c.seq)
+        SELECT page_id, 'cv' AS source, seq, CASE WHEN tight THEN mx ELSE x END AS x, CASE WHEN tight THEN my ELSE y END AS y, CASE WHEN tight THEN mw ELSE w END AS w, CASE WHEN tight THEN mh ELSE h END AS h,
+        round(CASE WHEN iou > 0.5 THEN greatest(conf, mc)::DOUBLE WHEN iou > 0.2 THEN (conf + mc) / 2.0::DOUBLE ELSE conf * 0.8::DOUBLE END, 6) AS conf FROM j
+        UNION ALL SELECT l.page_id, 'ml', l.seq, l.x, l.y, l.w, l.h, round(l.conf * 0.7::DOUBLE, 6) FROM panels_ml l LEFT JOIN (SELECT DISTINCT page_id, mseq FROM met) u ON u.page_id = l.page_id AND u.mseq = l.seq WHERE u.mseq IS NULL""", "panels_cv", "panels_ml").replace("panels_cv AS (", "panels_cv AS MATERIALIZED (", 1),
     "fuse_exclusive": _EXCLUSIVE,
     "ensemble_vote": X.with_fixtures(", u AS (SELECT page_id, 'cv' AS detector, seq, x, y, w, h FROM panels_cv UNION ALL SELECT page_id, 'ml', seq, x, y, w, h FROM panels_ml) SELECT page_id, concat_ws('_', cast(floor(x / 10.0::DOUBLE + 0.5) AS BIGINT), cast(floor(y / 10.0::DOUBLE + 0.5) AS BIGINT), cast(floor(w / 10.0::DOUBLE + 0.5) AS BIGINT), cast(floor(h / 10.0::DOUBLE + 0.5) AS BIGINT)) AS key, count(*) AS votes, min((detector, seq))[1] AS detector, min((detector, seq))[2] AS seq FROM u GROUP BY page_id, key HAVING count(*) >= 1".replace("min((detector, seq))[1]", "arg_min(detector, (detector, seq))").replace("min((detector, seq))[2]", "arg_min(seq, (detector, seq))"), "panels_cv", "panels_ml"),
     "ensemble_leaders": _LEADERS,

@@ -54,11 +54,8 @@ def _colours(s: SparkSession, d: str) -> DataFrame:
 
 
 def _letterbox(s: SparkSession, d: str) -> DataFrame:
-    """Nearest-pixel fit of 8 x 8 images into a 20 x 20 square, top left: target (x, y) reads floor(x / scale)."""
-    side, scale = 20, 20 / 8
-    grid = s.range(side * side).selectExpr(f"id % {side} AS x", f"id div {side} AS y", f"cast(floor((id % {side}) / {scale}D) AS int) AS sx", f"cast(floor((id div {side}) / {scale}D) AS int) AS sy")
-    source = _px8(s, d).withColumnsRenamed({"x": "sx", "y": "sy"})
-    return source.join(F.broadcast(grid), ["sx", "sy"]).select("page_id", "x", "y", F.round(F.col("g") / 255.0, 6).alias("v"))
+    r = X.raster8(s, d)
+    return images.letterbox(X.pixels(r), r.select("page_id", "width", "height"), 20).withColumn("v", F.round("v", 6))
 
 
 def _gutters(s: SparkSession, d: str) -> DataFrame:
@@ -83,29 +80,6 @@ def _cut_safety(s: SparkSession, d: str) -> DataFrame:
     return A.share_by(X.pixels(_mask(s, d)), "y", F.col("g") > 0, "share").select("page_id", "y", (F.col("share") > 0.1).alias("unsafe"))
 
 
-def _tightness(s: SparkSession, d: str) -> DataFrame:
-    """Share of content pixels in the top and bottom rows of each panel."""
-    inside = A.in_boxes(_px8(s, d), X.boxes8(X.raster8(s, d))).where("py = y OR py = y + h - 1")
-    return inside.groupBy("page_id", "seq").agg(F.round(F.avg(F.when(px.content(F.col("g"), 100, 160), 1.0).otherwise(0.0)), 6).alias("tightness"))
-
-
-def _snap(s: SparkSession, d: str) -> DataFrame:
-    """Left side of each panel: the offset of -1, 0 or 1 with the largest summed edge, the first of equals."""
-    edges, boxes = _edges(s, d), X.boxes8(X.raster8(s, d))
-    offsets = boxes.select("page_id", "seq", "y", "h", "x", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("k"))
-    met = offsets.join(edges.withColumnsRenamed({"x": "px", "y": "py"}), "page_id").where("px = x + k AND py >= y AND py < y + h")
-    sums = met.groupBy("page_id", "seq", "k").agg(F.round(F.sum("magnitude"), 6).alias("strength"))
-    best = sums.groupBy("page_id", "seq").agg(F.max(F.struct("strength", (-F.col("k")).alias("early"))).alias("b"))
-    return best.select("page_id", "seq", (-F.col("b.early")).alias("k"), F.col("b.strength").alias("strength"))
-
-
-def _strip(s: SparkSession, d: str) -> DataFrame:
-    """Mean difference to the pixel right below, every second pixel of each image's left half."""
-    p = _px8(s, d)
-    other = p.select("page_id", (F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), F.col("g").alias("o"))
-    return p.where("x % 2 = 0 AND y % 2 = 0 AND x < 4").join(other, ["page_id", "x", "y"]).groupBy("page_id").agg(F.round(F.avg(F.abs(F.col("g") - F.col("o"))), 6).alias("strength"))
-
-
 def _faces(s: SparkSession, d: str) -> DataFrame:
     found = R.components(_mask(s, d))
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.when((F.col("area") > 4) & (F.col("area") < 30), 1).otherwise(0)).alias("faces"), F.sum(F.when((F.col("w") > 3) & (F.col("h") > 3), 1).otherwise(0)).alias("panels"))
@@ -164,9 +138,6 @@ QUERIES = {
     "chi2_hist": lambda s, d: A.chi_square(A.box_histogram(_px8(s, d), X.boxes8(X.raster8(s, d)))).withColumn("distance", F.round("distance", 6)),
     "layout_type": _layout,
     "cut_safety": _cut_safety,
-    "border_tightness": _tightness,
-    "snap_edges": _snap,
-    "edge_strength_strip": _strip,
     "gutters_1d": _gutters,
     "panel_crops": lambda s, d: images.crops(_px8(s, d), X.boxes8(X.raster8(s, d))),
     "src_downscale": lambda s, d: images.downscale(_px8(s, d), X.raster8(s, d), 4).withColumn("g", F.round("g", 6)),
@@ -260,9 +231,6 @@ ORACLE = {
     "chi2_hist": X.with_fixtures(f", h AS (SELECT p.page_id, c.seq, cast(g AS INT) AS bin, count(*) / sum(count(*)) OVER (PARTITION BY p.page_id, c.seq)::DOUBLE AS v FROM px8 p {_IN_BOX} GROUP BY p.page_id, c.seq, bin), j AS (SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.v, 0) AS va, coalesce(b.v, 0) AS vb FROM (FROM h WHERE seq = 0) a FULL JOIN (FROM h WHERE seq = 1) b ON a.page_id = b.page_id AND a.bin = b.bin) SELECT page_id, 0 AS a, 1 AS b, round(sum((va - vb) * (va - vb) / (va + vb)), 6) AS distance FROM j GROUP BY page_id", "px8", "boxes8"),
     "layout_type": X.with_fixtures(f", r AS (SELECT page_id, avg((v < 1800)::INT) AS r FROM (SELECT page_id, {_VAR} AS v FROM px8 WHERE y % 2 = 0 GROUP BY page_id, y) GROUP BY page_id), c AS (SELECT page_id, avg((v < 1800)::INT) AS c FROM (SELECT page_id, {_VAR} AS v FROM px8 WHERE x % 2 = 0 GROUP BY page_id, x) GROUP BY page_id) SELECT page_id, CASE WHEN r > 0.3 AND c > 0.3 THEN 'grid' WHEN r > 0.3 AND c < 0.1 THEN 'vertical' WHEN r > 0.15 OR c > 0.15 THEN 'mixed' ELSE 'freeform' END AS layout FROM r JOIN c USING (page_id)", "px8"),
     "cut_safety": X.with_fixtures("SELECT page_id, y, avg((g > 128)::INT) > 0.1 AS unsafe FROM px8 GROUP BY page_id, y", "px8"),
-    "border_tightness": X.with_fixtures(f"SELECT p.page_id, c.seq, round(avg((p.g > 100 AND p.g < 160)::INT), 6) AS tightness FROM px8 p {_IN_BOX} WHERE p.y = c.y OR p.y = c.y + c.h - 1 GROUP BY p.page_id, c.seq", "px8", "boxes8"),
-    "snap_edges": X.with_fixtures(f", {_SOBEL}, u AS (SELECT c.page_id, c.seq, k, round(sum(p.magnitude), 6) AS s FROM boxes8 c, (SELECT unnest([-1, 0, 1]) AS k), sob p WHERE p.page_id = c.page_id AND p.x = c.x + k AND p.y >= c.y AND p.y < c.y + c.h GROUP BY c.page_id, c.seq, k) SELECT page_id, seq, arg_max(k, (s, -k)) AS k, max(s) AS strength FROM u GROUP BY page_id, seq", "px8", "boxes8"),
-    "edge_strength_strip": X.with_fixtures("SELECT p.page_id, round(avg(abs(p.g - q.g)), 6) AS strength FROM px8 p JOIN px8 q ON q.page_id = p.page_id AND q.x = p.x + 1 AND q.y = p.y + 1 WHERE p.x % 2 = 0 AND p.y % 2 = 0 AND p.x < 4 GROUP BY p.page_id", "px8"),
     "gutters_1d": X.with_fixtures(f""", v AS (SELECT page_id, y AS pos, avg(CASE WHEN {_BRIGHT} > 104 THEN 1.0::DOUBLE ELSE 0 END) AS v FROM docpx GROUP BY page_id, y), z AS (SELECT page_id, max(pos) AS last FROM v GROUP BY page_id),
         s AS (SELECT z.page_id, z.last, v.pos, (SELECT sum(u.v) FROM (SELECT unnest(range(-3, 4)) AS o) k JOIN v u ON u.page_id = v.page_id AND u.pos = greatest(0, least(z.last, v.pos + k.o))) / 7 AS m FROM v JOIN z ON z.page_id = v.page_id),
         h AS (SELECT *, pos - row_number() OVER (PARTITION BY page_id ORDER BY pos) AS island FROM s WHERE m < 0.7), g AS (SELECT page_id, min(pos) AS a, max(pos) AS b, count(*) AS n, any_value(last) AS last FROM h GROUP BY page_id, island)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrid.plans import panel_queries, raster_queries
+from inkgrid.plans import panel_queries, raster_queries, scene_queries
 
-MODULES = (panel_queries, raster_queries)
+MODULES = (panel_queries, raster_queries, scene_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

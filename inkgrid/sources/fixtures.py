@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,6 +50,35 @@ def boxes8(rasters: DataFrame) -> DataFrame:
     return rasters.selectExpr("page_id", f"inline({two})")
 
 
+def scene64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, width, height, g): a page of textured panels with white gutters for each embedding, 64 x 64. Of three pages, two
+    have four panels and one has two, one above the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[0:64, 0:64]
+        for batch in batches:
+            page = batch.column(0).to_numpy()[:, None, None]
+            small = batch.column(1).flatten().to_numpy().reshape(-1, 8, 8)
+            grown = np.repeat(np.repeat(small, 8, axis=1), 8, axis=2)
+            gutter = np.where(page % 3 == 1, y % 32 < 12, (x % 32 < 8) | (y % 32 < 8))
+            g = np.where(gutter, 255.0, np.minimum(255.0, np.floor(grown * 0.7) + (x * 7 + y * 13 + page) % 40))
+            n = len(g)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4096, pa.int32()), pa.array(g.ravel()))
+            yield pa.record_batch([batch.column(0), pa.array(np.full(n, 64), pa.int32()), pa.array(np.full(n, 64), pa.int32()), lists], names=["page_id", "width", "height", "g"])
+
+    return raster8(spark, sf_dir).select(F.col("page_id").cast("long").alias("page_id"), "g").mapInArrow(run, "page_id long, width int, height int, g array<double>")
+
+
+def boxes64(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What two detectors find on pages of 64 x 64: (page_id, seq, x, y, w, h, conf) each."""
+    three = [("page_id % 5", "page_id % 7", "26 + page_id % 6", "24 + page_id % 9"), ("30 + page_id % 6", "2 + page_id % 3", "28 - page_id % 5", "30"), ("page_id % 3", "33 + page_id % 4", "60 - page_id % 7", "26")]
+    rows = ", ".join(f"named_struct('seq', {k}, 'x', {x}, 'y', {y}, 'w', {w}, 'h', {h}, 'conf', 60 + (page_id * 7 + {k} * 11) % 35)" for k, (x, y, w, h) in enumerate(three))
+    cv = pages.selectExpr("cast(page_id AS bigint) AS page_id").selectExpr("page_id", f"inline(array({rows}))").selectExpr("page_id", "cast(seq AS int) AS seq", *[f"cast({c} AS bigint) AS {c}" for c in ("x", "y", "w", "h", "conf")])
+    ml = cv.where("(page_id + seq) % 4 <> 0").selectExpr("page_id", "seq", "x + page_id % 3 AS x", "y + page_id % 2 AS y", "w - (page_id * 3 + seq * 5) % 15 AS w", "h - (page_id * 5 + seq * 7) % 14 AS h", "40 + (page_id + seq) % 50 AS conf")
+    more = cv.where("seq = 0 AND page_id % 3 = 0").selectExpr("page_id", "cast(9 AS int) AS seq", "22 + page_id % 9 AS x", "20L AS y", "30L AS w", "22 + page_id % 8 AS h", "70L AS conf")
+    return cv, ml.union(more)
+
+
 def docraster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, x, y, r, g, b): whole texts as images 64 wide; channels are the code points at i, i + 1 and i + 2."""
     docs = table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").alias("page_id"), F.split("text", "").alias("c"))
@@ -71,13 +104,19 @@ SQL = {
         FROM panels_ml, (SELECT least(640.0::DOUBLE / {PAGE_W}, 640.0::DOUBLE / {PAGE_H}) AS s)""",
     "px8": """SELECT vec_id AS page_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor(128 + cast(embedding[i] AS DOUBLE) * 400))) AS g
         FROM embeddings, (SELECT unnest(range(1, 65)) AS i)""",
+    "px64": """SELECT page_id, x, y, CASE WHEN CASE WHEN page_id % 3 = 1 THEN y % 32 < 12 ELSE x % 32 < 8 OR y % 32 < 8 END THEN 255.0::DOUBLE ELSE least(255.0::DOUBLE, floor(g8 * 0.7::DOUBLE) + (x * 7 + y * 13 + page_id) % 40) END AS g
+        FROM (SELECT vec_id AS page_id, i % 64 AS x, i // 64 AS y, greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor(128 + cast(embedding[i // 512 * 8 + i % 64 // 8 + 1] AS DOUBLE) * 400))) AS g8 FROM embeddings, (SELECT unnest(range(0, 4096)) AS i))""",
+    "cv64": """SELECT page_id, seq, x, y, w, h, 60 + (page_id * 7 + seq * 11) % 35 AS conf FROM (SELECT vec_id AS page_id, 0 AS seq, vec_id % 5 AS x, vec_id % 7 AS y, 26 + vec_id % 6 AS w, 24 + vec_id % 9 AS h FROM embeddings
+        UNION ALL SELECT vec_id, 1, 30 + vec_id % 6, 2 + vec_id % 3, 28 - vec_id % 5, 30 FROM embeddings UNION ALL SELECT vec_id, 2, vec_id % 3, 33 + vec_id % 4, 60 - vec_id % 7, 26 FROM embeddings)""",
+    "ml64": """SELECT page_id, seq, x + page_id % 3 AS x, y + page_id % 2 AS y, w - (page_id * 3 + seq * 5) % 15 AS w, h - (page_id * 5 + seq * 7) % 14 AS h, 40 + (page_id + seq) % 50 AS conf FROM cv64 WHERE (page_id + seq) % 4 <> 0
+        UNION ALL SELECT page_id, 9, 22 + page_id % 9, 20, 30, 22 + page_id % 8, 70 FROM cv64 WHERE seq = 0 AND page_id % 3 = 0""",
     "boxes8": """SELECT vec_id AS page_id, 0 AS seq, vec_id % 3 AS x, vec_id % 4 AS y, 4 + vec_id % 2 AS w, 3 + vec_id % 2 AS h FROM embeddings
         UNION ALL SELECT vec_id, 1, 1 + vec_id % 2, 0, 6, 5 + vec_id % 3 FROM embeddings""",
     "docpx": """SELECT page_id, i % 64 AS x, i // 64 AS y, unicode(v[i + 1]) AS r, coalesce(unicode(v[i + 2]), 255) AS g, coalesce(unicode(v[i + 3]), 255) AS b
         FROM (SELECT page_id, v, unnest(range(0, len(v))) AS i FROM (SELECT doc_id AS page_id, regexp_split_to_array(text, '') AS v FROM documents WHERE length(text) > 0))""",
 }
 #: What each builds on.
-NEEDS = {"panels_ml": ["panels_cv"], "anchors": ["panels_cv", "panels_ml"]}
+NEEDS = {"panels_ml": ["panels_cv"], "anchors": ["panels_cv", "panels_ml"], "ml64": ["cv64"]}
 
 
 def with_fixtures(sql: str, *names: str, recursive: bool = False) -> str:

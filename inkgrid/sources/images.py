@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Image file suffixes.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
@@ -55,6 +56,69 @@ def downscale(pixels: DataFrame, pages: DataFrame, largest: int = LARGEST_SIDE)
     return sized.groupBy("page_id", small("x"), small("y")).agg((F.sum("g") / F.count("*")).alias("g"))
 
 
+def letterbox(pixels: DataFrame, pages: DataFrame, side: int = 640) -> DataFrame:
+    """(page_id, x, y, v): the nearest-pixel fit of each page into a square, top left, values from 0 to 1. Target (x, y) reads
+    floor(x / scale); what the page doesn't reach has no row, and is 0. pages: (page_id, width, height)."""
+    scale = F.least(F.lit(float(side)) / F.col("width"), F.lit(float(side)) / F.col("height"))
+    sized = pixels.join(pages.select("page_id", scale.alias("scale")), "page_id")
+    # The targets of a source pixel: those whose quotient lies in it.
+    reach = lambda c: F.expr(f"filter(sequence(cast(floor({c} * scale) AS int), cast(least({side} - 1, ceil(({c} + 1) * scale)) AS int)), t -> floor(t / scale) = {c})")
+    across = sized.select("page_id", "scale", "y", "g", F.explode(reach("x")).alias("tx"))
+    return across.select("page_id", "g", "tx", F.explode(reach("y")).alias("ty")).select("page_id", F.col("tx").alias("x"), F.col("ty").alias("y"), (F.col("g") / 255.0).alias("v"))
+
+
+def png(image) -> bytes:
+    """A gray image of bytes, rows first, as a PNG file."""
+    import struct
+    import zlib
+
+    h, w = image.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = b"".join(b"\0" + r.tobytes() for r in image)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+def export_panels(rasters: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, seq, name, png): each panel cut from its page as the bytes of a gray PNG file; a panel off the page gives none."""
+    from inkgrid.operators.batches import _images
+
+    listed = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y", "w", "h"))).alias("boxes"))
+    rows = rasters.where("g IS NOT NULL").join(listed, "page_id").select("page_id", "width", "height", "g", "boxes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            values, offsets = _images(batch.column(3))
+            for i, (w, h, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                image = np.clip(np.floor(values[offsets[i] : offsets[i + 1]].astype(float) + 0.5), 0, 255).astype(np.uint8).reshape(h, w)
+                cuts = [(b["seq"], image[max(0, b["y"]) : max(0, b["y"] + b["h"]), max(0, b["x"]) : max(0, b["x"] + b["w"])]) for b in found]
+                cuts = [(k, c) for k, c in cuts if c.size]
+                page = batch.column(0).take(pa.array([i] * len(cuts), pa.int64()))
+                yield pa.record_batch([page, pa.array([k for k, _ in cuts], pa.int32()), pa.array([png(c) for _, c in cuts], pa.binary())], names=["page_id", "seq", "png"])
+
+    kind = rasters.schema["page_id"].dataType.simpleString()
+    cut = rows.mapInArrow(run, f"page_id {kind}, seq int, png binary")
+    return cut.select("page_id", "seq", F.format_string("%s_panel_%03d.png", F.col("page_id").cast("string"), F.col("seq") + 1).alias("name"), "png")
+
+
+def dataset_yaml(folder: str, names: tuple[str, ...] = ("panel",)) -> str:
+    """The description of a training set: where its parts are, and the classes."""
+    return f"path: {folder}\ntrain: images/train\nval: images/val\nnc: {len(names)}\nnames: [{', '.join(names)}]\n"
+
+
+def split_every(pages: DataFrame, every: int = 5, bucket: int = 1024) -> DataFrame:
+    """(page_id, split): every so many pages in order of their integer ids are val, from the first on.
+
+    Pages are numbered within buckets of ids, and only the buckets' sizes are summed up in one order.
+    """
+    ids = pages.select("page_id").distinct().withColumn("bucket", F.floor(F.col("page_id") / bucket))
+    sizes = ids.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("bucket", F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("page_id")) - 1
+    return ids.withColumn("i", place).join(before, "bucket").select("page_id", F.when((F.col("i") + F.col("before")) % every == 0, "val").otherwise("train").alias("split"))
+
+
 def envelope(panels: DataFrame) -> DataFrame:
     """One JSON line for each page: {"page_id", "count", "panels": [...]} in order of seq."""
     entry = F.struct(*[c for c in panels.columns if c != "page_id"])

@@ -96,7 +96,7 @@ def test_suppression_keeps_the_first_of_equals(spark):
     same = panel_rows(spark, (0, 0, 100, 100, 50), (0, 0, 100, 100, 50), (300, 0, 100, 100, 40))
     assert sorted(r["seq"] for r in panels.nms(same).collect()) == [0, 2]
     empty = same.limit(0)
-    assert panels.nms(empty).count() == panels.fuse(empty, empty).count() == panels.reading_order(empty).count() == 0
+    assert panels.nms(empty).count() == panels.fuse_by_area(empty, empty).count() == panels.reading_order(empty).count() == 0
 
 
 def test_flips_are_undone(spark):

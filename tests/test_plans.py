@@ -5,11 +5,9 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from inkgrid.operators import regions, stencils
-from inkgrid.plans import detect
-from inkgrid.sources.fixtures import pixels
+from inkgrid.operators import detectors, pages as page_metrics, regions
 from inkgrid.streaming import pages
-from tests.test_operators import panel_rows, raster
+from tests.test_operators import raster
 
 
 def page():
@@ -23,28 +21,32 @@ def page():
 
 def test_detects_panels_between_gutters(spark):
     r = raster(spark, page().tolist())
-    found = detect.detect(r, detect.Options(least_w=24, least_h=24, fast=True, block=16)).collect()
+    found = detectors.detect(r, detectors.Options(least_w=24, least_h=24, block=16)).collect()
     centres = {(p["x"] + p["w"] // 2 < 64) for p in found if p["w"] < 100}
     assert centres == {True, False} and [p["position"] for p in found] == sorted(p["position"] for p in found)
+    fast = detectors.detect(r, detectors.Options(least_w=24, least_h=24, fast=True, sensitivity=100)).collect()
+    assert {"page_id", "panel_id", "kind"} <= set(detectors.detect(r).columns) and len(fast) <= len(found)
 
 
-def test_full_path_signature_and_protection(spark):
+def test_signature_and_protection(spark):
     r = raster(spark, page()[:32, :32].tolist(), [[255.0] * 16] * 16)
-    edges = pixels(stencils.sobel(r)).select("page_id", "x", "y", "g.magnitude", "g.direction")
-    rows = {x["page_id"]: x for x in detect.signature(r, edges).collect()}
-    assert rows[1]["complexity"] == "low" and rows[1]["whitespace"] == 1.0 and "gutters" in rows[0]["algorithms"]
-    masks = detect.protection(r, edges).collect()
-    assert len(masks) == 2 and set(masks[0]["g"]) <= {0.0, 255.0}
-    assert {"page_id", "panel_id", "kind"} <= set(detect.detect(r, detect.Options(least_w=8, least_h=8, block=8)).columns)
+    rows = {x["page_id"]: x for x in page_metrics.signature(r).collect()}
+    assert rows[1]["complexity"] == "low" and rows[1]["brightness"] == 255.0 and "gutter-detection" in rows[0]["algorithms"] and rows[0]["width"] == 32
+    masks = detectors.protection(r, 0.1).collect()
+    assert len(masks) == 2 and set(masks[0]["g"]) <= {0.0, 255.0} and max(masks[0]["g"]) == 255.0
 
 
 def test_diagonal_and_hierarchical(spark):
     lines = spark.createDataFrame([(0, 0.6, 30.0), (0, 0.65, 60.0), (0, 0.0, 10.0)], "page_id long, angle double, rho double")
     sizes = spark.createDataFrame([(0, 100, 50)], "page_id long, width int, height int")
-    assert [(p["y"], p["h"]) for p in detect.diagonal(lines, sizes).collect()] == [(0, 50)]
-    outer = panel_rows(spark, (0, 0, 100, 100, 50), (200, 0, 50, 50, 50))
-    inner = panel_rows(spark, (5, 5, 40, 40, 50), (50, 50, 40, 40, 50), (210, 10, 20, 20, 50))
-    assert sorted((p["x"], p["inset"]) for p in detect.hierarchical(outer, inner).collect()) == [(5, True), (50, True), (200, False)]
+    assert [(p["y"], p["h"]) for p in detectors.diagonal(lines, sizes).collect()] == [(0, 50)]
+    shaded = np.add.outer(np.arange(80.0), np.arange(80.0)) / 4 + 160
+    shaded[10:70, 10:70] -= 90
+    shaded[20:60, 20:35] -= 60
+    shaded[20:60, 45:60] -= 60
+    whole = detectors.watershed_panels(raster(spark, shaded.tolist()), 8, 8).collect()
+    found = detectors.hierarchical(raster(spark, shaded.tolist()), 8, 8).collect()
+    assert whole and all(p["w"] >= 8 and p["h"] >= 8 and p["x"] >= 0 and p["x"] + p["w"] <= 80 for p in [*whole, *found])
 
 
 def test_connected_parts_are_relabelled():
