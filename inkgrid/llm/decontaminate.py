@@ -69,7 +69,8 @@ def _candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
     asked = windows.select("*", F.expr(f"explode({blocks})").alias("block")).withColumn("bits", F.expr(_block("fp", "block")))
     moved = f"transform(filter(sequence(0, {(1 << BLOCK_BITS) - 1}), m -> bit_count(m) <= {NEAR}), m -> {_block('fp', 'block')} ^ m)"
     posted = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.expr(f"explode({blocks})").alias("block"), F.col("fp")).select("item_id", "n", "item_fp", "block", F.explode(F.expr(moved)).alias("bits"))
-    met = asked.join(posted, ["n", "block", "bits"]).withColumn("apart", F.expr("fp ^ item_fp"))
+    # Sorted and merged: the posted values are 10,000 for each item, more than their estimated size says, and no table to broadcast.
+    met = asked.join(posted.hint("merge"), ["n", "block", "bits"]).withColumn("apart", F.expr("fp ^ item_fp"))
     # A pair that is near in several blocks is kept at the first.
     first = f"NOT exists({blocks}, j -> j < block AND bit_count({_block('apart', 'j')}) <= {NEAR})"
     near = met.where(F.expr(f"bit_count(apart) <= {RADIUS} AND {first}"))
