@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
 
 from inkgrid.operators import stencils
 from inkgrid.operators.batches import per_page
@@ -270,27 +269,41 @@ def stable_regions(rasters: DataFrame, least: int, most: int, delta: int = 5, to
     return per_page(rasters, of, "level long, label long, x long, y long, w long, h long, n long, growth double")
 
 
-def lines(points: DataFrame, within: float = 1.0, share: float = 0.1, top: int = 10, trials: int = 64) -> DataFrame:
-    """(page_id, angle, rho, strength): lines x cos(angle) + y sin(angle) = rho through strong points, by consensus.
+def consensus(points: np.ndarray, seed: int, within: float, share: float, top: int, trials: int) -> list[tuple[float, float, int]]:
+    """(angle, rho, strength) of lines through (x, y) points: of the lines through drawn pairs the one with most points in reach,
+    then, without those, the next, as long as a line has more than share of the points left. Draws follow from the seed."""
+    draw, found = np.random.default_rng(seed), []
+    while len(points) > 1 and len(found) < top:
+        i, j = draw.integers(0, len(points), (2, trials))
+        i, j = i[i != j], j[i != j]
+        (x1, y1), (x2, y2) = points[i].T, points[j].T
+        angle = np.arctan2(x2 - x1, y1 - y2)
+        rho = x1 * np.cos(angle) + y1 * np.sin(angle)
+        near = [np.abs(points[:, 0] * np.cos(a) + points[:, 1] * np.sin(a) - r) < within for a, r in zip(angle, rho, strict=True)]
+        k = int(np.argmax([n.sum() for n in near])) if near else 0
+        if not near or near[k].sum() <= share * len(points):
+            break
+        found.append((float(angle[k]), float(rho[k]), int(near[k].sum())))
+        points = points[~near[k]]
+    return sorted(found, key=lambda f: -f[2])
 
-    Candidate pairs are drawn by a hash of the page and the points, so that results can be repeated. One round: the top
-    lines by how many points lie within reach, of those with more than share of the page's points.
-    """
-    n = F.count("*").over(_page())
-    numbered = points.select("page_id", "x", "y", (F.row_number().over(_page().orderBy("y", "x")) - 1).alias("i"), n.alias("n"))
-    trial = numbered.select("page_id", "n").distinct().select("page_id", "n", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("k"))
-    drawn = trial.select("page_id", "n", F.pmod(F.xxhash64("page_id", "k", F.lit("a")), F.col("n")).alias("i"), F.pmod(F.xxhash64("page_id", "k", F.lit("b")), F.col("n")).alias("j")).where("i < j").distinct()
-    ends = drawn.join(numbered.selectExpr("page_id", "i", "x AS x1", "y AS y1"), ["page_id", "i"]).join(numbered.selectExpr("page_id", "i AS j", "x AS x2", "y AS y2"), ["page_id", "j"])
-    normal = ends.withColumn("angle", F.atan2(F.col("x2") - F.col("x1"), F.col("y1") - F.col("y2")))
-    normal = normal.withColumn("rho", F.col("x1") * F.cos("angle") + F.col("y1") * F.sin("angle"))
-    met = normal.join(points.select("page_id", "x", "y"), "page_id").where(F.abs(F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle") - F.col("rho")) < within)
-    counted = met.groupBy("page_id", "i", "j", "n", "angle", "rho").agg(F.count("*").alias("strength")).where(F.col("strength") > share * F.col("n"))
-    ranked = counted.withColumn("_k", F.row_number().over(_page().orderBy(F.desc("strength"), "i", "j"))).where(F.col("_k") <= top)
-    return ranked.select("page_id", "angle", "rho", "strength")
 
+def lines(points: DataFrame, within: float = 1.0, share: float = 0.1, top: int = 10, trials: int = 200) -> DataFrame:
+    """(page_id, angle, rho, strength): lines x cos(angle) + y sin(angle) = rho through a page's strong points, by rounds of
+    consensus that take a line's points out. points: (page_id, x, y); a page's are in one row, in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, (page, own) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                made = consensus(np.array([(p["x"], p["y"]) for p in own], dtype=float), zlib.crc32(str(page).encode()), within, share, top, trials)
+                rows += [i] * len(made)
+                found += made
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.float64(), pa.int64()), strict=True))], names=["page_id", "angle", "rho", "strength"])
 
-def _page() -> WindowSpec:
-    return W.partitionBy("page_id")
+    listed = points.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("points"))
+    return listed.mapInArrow(run, f"page_id {points.schema['page_id'].dataType.simpleString()}, angle double, rho double, strength long")
 
 
 def snake(image: np.ndarray, contour: np.ndarray, alpha: float = 0.1, beta: float = 0.1, gamma: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -305,7 +318,8 @@ def snake(image: np.ndarray, contour: np.ndarray, alpha: float = 0.1, beta: floa
         moved = False
         for i in range(n):
             a, b = points[i - 1], points[(i + 1) % n]
-            options = [(points[i][0] + dx, points[i][1] + dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+            # A point stays where nothing near is better, so that contours don't drift over flat parts.
+            options = [(points[i][0] + dx, points[i][1] + dy) for dx, dy in ((0, 0), *FOUR, (-1, -1), (1, -1), (-1, 1), (1, 1))]
             options = [(x, y) for x, y in options if 0 <= x < w and 0 <= y < h]
 
             def energy(p: tuple[float, float], a: np.ndarray = a, b: np.ndarray = b) -> float:
