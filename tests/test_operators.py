@@ -149,3 +149,17 @@ def test_files_round_trip(spark, tmp_path):
     crop = images.crops(fixtures.pixels(raster(spark, [[1, 2], [3, 4]])), panel_rows(spark, (1, 0, 1, 2, 1)))
     images.write_crops(crop, str(tmp_path / "out"))
     assert [p.read_text().split() for p in (tmp_path / "out").rglob("part*.txt")] == [["P2", "1", "2", "255", "2", "4"]]
+
+
+def test_exported_panels_and_dataset_description(spark):
+    import struct
+    import zlib
+
+    r = raster(spark, [[0, 50, 100], [150, 200, 250]])
+    rows = images.export_panels(r, panel_rows(spark, (1, 0, 2, 2, 1), (5, 5, 2, 2, 1))).collect()
+    assert [(x["seq"], x["name"]) for x in rows] == [(0, "0_panel_001.png")]
+    data = bytes(rows[0]["png"])
+    assert struct.unpack(">II", data[16:24]) == (2, 2)
+    at = data.index(b"IDAT")
+    assert zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]]) == bytes([0, 50, 100, 0, 200, 250])
+    assert "nc: 1" in images.dataset_yaml("/data") and "path: /data" in images.dataset_yaml("/data")
