@@ -1,27 +1,33 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The most frequent words are classes of their own; all other
-words share classes by a hash of their endings, inside which they are weighted by their counts plus one, with one more
-place for unknown words, so that the probabilities of all words add up to 1. P(class | context) is a softmax over hashed
-features of the two words before: a bias, the last word, the skip feature (the word before it) and a hash of both.
-
-What training needs of the corpus are two tables of counts over all training texts: of words, and of classes by
-hashed context. The second has at most CONTEXTS * CLASSES rows, holds every training token, and is what the distributed
-gradient updates run over: each task sums the gradient of its contexts, the driver adds a fixed number of arrays of fixed
-size and broadcasts the new weights. Scoring looks contexts up in the normalised table, in sparse numpy batches; counts of
-rare words, too many to broadcast, come by a join.
+P(word | context) = P(class | context) * P(word | class, word before). The most frequent words are classes of their own; all
+other words share classes by a hash of their endings.
+
+P(class | context) is a softmax over hashed features of the two words before: a bias, the last word, the skip feature (the
+word before it) and a hash of both. P(word | class, word before) is a softmax over the words of the class: the prior of a word
+is its count plus one, and every pair of a word and a hash of the word before it that occurs in training has a weight. One more
+place with a prior of one is for unknown words, so that the probabilities of all words add up to 1.
+
+What training needs of the corpus are two tables of counts over all training texts: of classes by hashed context, and of
+words by the hash of the word before. The first has at most CONTEXTS * CLASSES rows and holds every training token; the second
+grows with the corpus, a weight for each of its pairs. Both are trained by distributed gradient updates: tasks sum what their
+rows give to the gradient or to the normalising sums, which have a fixed size, and the driver broadcasts the new sums.
+Scoring works in sparse numpy batches; counts and weights of rare words, too many to broadcast, come by a join.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +35,8 @@ from .common import cut
 
 #: The token that ends a text; no word holds white space.
 END = b"\n"
-#: Words that are broadcast with their counts: the most frequent ones, up to about so many, of so many bytes at most.
-HEAD_WORDS = 300_000
+#: Words that are broadcast with their counts and weights: the most frequent ones, up to about so many, of so many bytes at most.
+HEAD_WORDS = 100_000
 HEAD_BYTES = 64
 #: Classes of one word each (END among them), and classes by ending.
 OWN_CLASSES = 48
@@ -50,6 +56,13 @@ ROUNDS = 12
 GRADIENT_TASKS = 8
 STEP = 0.3
 RIDGE = 5.0
+#: Hashes of the word before in P(word | class, word before), the hash where a text begins, and updates of its weights with
+#: their ridge. Each weight is alone in its context, so it takes whole steps, of 1 at most. On the same part of the training
+#: documents the weights add 0.055 to log10 of a token's probability with a ridge of 5, 0.031 with 30 and 0.013 with 150.
+HASHES = 32
+BEGIN = 0
+WORD_ROUNDS = 4
+WORD_RIDGE = 5.0
 #: Distinct words that a counting task holds before it passes them on, and that a scoring task remembers.
 HELD_WORDS = 500_000
 
@@ -65,6 +78,11 @@ def _ending(word: bytes) -> int:
     return zlib.crc32(word[-3:])
 
 
+def _hash(word: bytes) -> int:
+    """What the next word sees of this one."""
+    return zlib.crc32(word) % HASHES
+
+
 @dataclass
 class Vocabulary:
     """The head of the word counts, and what classes and totals follow from all counts."""
@@ -73,6 +91,8 @@ class Vocabulary:
     own: list[bytes]
     n_tokens: int
     n_words: int
+    #: Least step of the counts in the head.
+    least: float = math.inf
     class_mass: list[float] = field(default_factory=list)
 
     def class_of(self) -> dict[bytes, int]:
@@ -83,10 +103,11 @@ class Vocabulary:
 
 
 class _Codes(dict):
-    """word -> class * BUCKETS + bucket, worked out at first sight; bounded."""
+    """word -> ((place in the head + 1) * CLASSES + class) * BUCKETS + bucket) * HASHES + hash, worked out at first sight; bounded."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.classes, self.buckets = vocabulary.class_of(), vocabulary.bucket_of()
+        self.places = {w: i for i, w in enumerate(vocabulary.counts, 1)}
 
     def __missing__(self, word: bytes) -> int:
         e = _ending(word)
@@ -94,47 +115,78 @@ class _Codes(dict):
         b = self.buckets.get(word, 1 + OWN_BUCKETS + e % (BUCKETS - 1 - OWN_BUCKETS))
         if len(self) > HELD_WORDS:
             self.clear()
-        self[word] = code = c * BUCKETS + b
+        self[word] = code = ((self.places.get(word, 0) * CLASSES + c) * BUCKETS + b) * HASHES + _hash(word)
         return code
 
+    def split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token of one text: place in the head (-1: none), class, hashed context, and the hash of the word before."""
+        codes = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        codes, hashes = np.divmod(codes, HASHES)
+        codes, buckets = np.divmod(codes, BUCKETS)
+        places, classes = np.divmod(codes, CLASSES)
+        buckets = np.concatenate([[0, 0], buckets])
+        return places - 1, classes, buckets[1:-1] * BUCKETS + buckets[:-2], np.concatenate([[BEGIN], hashes[:-1]])
+
 
-def _contexts(codes: np.ndarray) -> np.ndarray:
-    """Hashed context of each token of one text: bucket of the last word, then of the one before."""
-    buckets = np.concatenate([[0, 0], codes % BUCKETS])
-    return buckets[1:-1] * BUCKETS + buckets[:-2]
+class _Suffixes(dict):
+    """word -> its hash as one byte; bounded."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > HELD_WORDS:
+            self.clear()
+        self[word] = suffix = bytes([_hash(word)])
+        return suffix
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w binary, c long): how often each token occurs in docs; counted in each task first."""
+    """(w binary, c long, pairs array of (h, n)): how often each token occurs in docs, in all and behind each hash of the word
+    before it; counted in each task first. A word has at most HASHES pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suffixes = _Suffixes()
         held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(held)
+            return pa.record_batch([pa.array([k[:-1] for k in keys], pa.binary()), pa.array([k[-1] for k in keys], pa.int32()), pa.array(held.values(), pa.int64())], names=["w", "h", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                held.update(tokens(text.as_py()))
+                words = tokens(text.as_py())
+                held.update(map(operator.add, words, chain([bytes([BEGIN])], map(suffixes.__getitem__, words))))
                 if len(held) > HELD_WORDS:
-                    yield pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["w", "c"])
-                    held = Counter()
-        yield pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["w", "c"])
+                    yield flush()
+                    held.clear()
+        yield flush()
 
-    return docs.select(text_col).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    # One exchange by word serves both groupings.
+    pairs = docs.select(text_col).mapInArrow(run, "w binary, h int, n long").repartition("w").groupBy("w", "h").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list(F.struct("h", "n")).alias("pairs"))
+
+
+def _step() -> Column:
+    """Counts in steps of an eighth of an octave, so that their histogram has a few hundred rows at any size."""
+    return F.floor(F.log2("c") * 8)
+
+
+def _in_head(least: float) -> Column:
+    """Words of the head; END, which has a class of its own, is one of them whatever its count."""
+    return (F.col("w") == F.lit(END)) | ((_step() >= int(least) if least < math.inf else F.lit(False)) & (F.octet_length("w") <= HEAD_BYTES))
 
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals over all counts, and the head: all words of at least the least count that leaves HEAD_WORDS or fewer."""
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    # Counts in steps of an eighth of an octave, so that the histogram has a few hundred rows at any size.
-    step = F.floor(F.log2("c") * 8)
-    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(_step().alias("step")).count().collect()), reverse=True)
     least, room = math.inf, HEAD_WORDS
     for s, n in sizes:
         if n > room:
             break
         least, room = s, room - n
-    head = counts.where((step >= int(least) if least < math.inf else F.lit(False)) & (F.octet_length("w") <= HEAD_BYTES)).toArrow()
+    head = counts.where(_in_head(least)).select("w", "c").toArrow()
     ranked = sorted(zip(head["w"].to_pylist(), head["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     own = [w for w, _ in ranked if w != END][: OWN_CLASSES - 1]
-    vocabulary = Vocabulary(dict(ranked), [END, *own], totals["n"] or 0, totals["v"])
+    vocabulary = Vocabulary(dict(ranked), [END, *own], totals["n"] or 0, totals["v"], least)
     ending = F.crc32(F.substring("w", -3, 3)) % ENDING_CLASSES + OWN_CLASSES
     rest = counts.where(~F.col("w").isin(vocabulary.own)).groupBy(ending.alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).collect()
     mass = {r["k"]: float(r["m"]) for r in rest}
@@ -149,7 +201,7 @@ def count_contexts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "tex
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes_of = _Codes(known.value).__getitem__
+        coded = _Codes(known.value)
         total = np.zeros(CONTEXTS * CLASSES, dtype=np.int64)
         held: list[np.ndarray] = []
         size = 0
@@ -162,9 +214,9 @@ def count_contexts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "tex
 
         for batch in batches:
             for text in batch.column(0):
-                codes = np.fromiter(map(codes_of, tokens(text.as_py())), dtype=np.int64)
-                held.append(_contexts(codes) * CLASSES + codes // BUCKETS)
-                size += len(codes)
+                _, classes, contexts, _ = coded.split(tokens(text.as_py()))
+                held.append(contexts * CLASSES + classes)
+                size += len(classes)
                 if size > 1_000_000:
                     add()
         add()
@@ -221,6 +273,98 @@ def train(context_counts: DataFrame) -> np.ndarray:
     return weights
 
 
+@dataclass
+class WordModel:
+    """P(word | class, word before) but for the weights, which follow from these sums and the counts of a pair.
+
+    totals (CLASSES, HASHES): tokens of each class behind each hash. path: the normalising sums before each update. sums: those
+    after the last one.
+    """
+
+    totals: np.ndarray
+    ridge: float
+    path: list[np.ndarray]
+    sums: np.ndarray
+
+    def weights(self, classes: np.ndarray, hashes: np.ndarray, n: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Weights of pairs after all updates: the way of each from 0 along the path. A class of one word has none."""
+        weights = np.zeros(len(n))
+        shared = classes >= OWN_CLASSES
+        for z in self.path:
+            p = np.minimum(prior * np.exp(weights) / z[classes, hashes], 1.0)
+            expected = self.totals[classes, hashes] * p
+            weights += shared * np.clip((n - expected - self.ridge * weights) / (expected * (1 - p) + self.ridge), -1, 1)
+        return weights
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of (class, c, pairs): how many pairs each word has, and of each pair its class, hash, count and the word's prior."""
+    lengths = pc.list_value_length(batch.column("pairs")).to_numpy(zero_copy_only=False)
+    h, n = (x.to_numpy(zero_copy_only=False) for x in batch.column("pairs").flatten().flatten())
+    return lengths, np.repeat(batch.column("class").to_numpy(), lengths), h, n, np.repeat(batch.column("c").to_numpy() + 1.0, lengths)
+
+
+def _with_class(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Words with their classes; for those that are classes of their own, which need no weights, the first one stands."""
+    ending = (F.crc32(F.substring("w", -3, 3)) % ENDING_CLASSES + OWN_CLASSES).cast("int")
+    return counts.withColumn("class", F.when(F.col("w").isin(vocabulary.own), 0).otherwise(ending))
+
+
+def train_words(counts: DataFrame, vocabulary: Vocabulary, rounds: int = WORD_ROUNDS, ridge: float = WORD_RIDGE) -> WordModel:
+    """rounds distributed gradient updates of P(word | class, word before): each adds up the normalising sums over all
+    pairs, a fixed number of cells, from which each pair's next weight follows where the pair lies."""
+    spark = counts.sparkSession
+    rows = _with_class(counts, vocabulary).select("class", "c", "pairs")
+
+    def add_up(value) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(CLASSES * HASHES)
+            for batch in batches:
+                _, classes, h, n, prior = _pairs(batch)
+                total += np.bincount(classes * HASHES + h, weights=value(classes, h, n, prior), minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "v"])
+
+        found = np.zeros(CLASSES * HASHES)
+        for r in rows.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
+            found[r["cell"]] = r["v"]
+        return found.reshape(CLASSES, HASHES)
+
+    prior_sums = np.repeat(np.array(vocabulary.class_mass)[:, None], HASHES, axis=1)
+    model = WordModel(add_up(lambda classes, h, n, prior: n), ridge, [], prior_sums)
+    for _ in range(rounds):
+        model.path.append(model.sums)
+        now = spark.sparkContext.broadcast(model)
+        model.sums = prior_sums + add_up(lambda classes, h, n, prior, now=now: prior * np.expm1(now.value.weights(classes, h, n, prior)))
+        now.unpersist()
+    return model
+
+
+def weigh_words(counts: DataFrame, vocabulary: Vocabulary, model: WordModel) -> DataFrame:
+    """(w, c, hs, ts): every counted word with the hashes of the words before it and the weights of those pairs."""
+    known = counts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, classes, h, n, prior = _pairs(batch)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            weights = known.value.weights(classes, h, n, prior).astype(np.float32)
+            yield pa.record_batch([batch.column("w"), batch.column("c"), pa.ListArray.from_arrays(ends, pa.array(h, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(weights))], names=["w", "c", "hs", "ts"])
+
+    return _with_class(counts, vocabulary).select("w", "c", "pairs", "class").mapInArrow(run, "w binary, c long, hs array<int>, ts array<float>")
+
+
+def head_weights(words: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """(words in the head, HASHES) weights of the head's pairs, 0 for those that don't occur."""
+    head = words.where(_in_head(vocabulary.least)).select("w", "hs", "ts").toArrow()
+    places = {w: i for i, w in enumerate(vocabulary.counts)}
+    at = np.array([places[w] for w in head["w"].to_pylist()], dtype=np.int64)
+    lengths = pc.list_value_length(head["hs"]).to_numpy()
+    weights = np.zeros((len(places), HASHES), dtype=np.float32)
+    weights[np.repeat(at, lengths), pc.list_flatten(head["hs"]).to_numpy()] = pc.list_flatten(head["ts"]).to_numpy()
+    return weights
+
+
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows of docs for which learns is true, and score every row's whole text.
 
@@ -234,37 +378,39 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     counts = cut(count_words(taught))
     vocabulary = read_vocabulary(counts)
     weights = train(count_contexts(taught, vocabulary))
-    every = np.arange(CONTEXTS)
-    # log10 of P(class | context) over the class's mass: what a token adds besides log10(count + 1).
-    by_context = (_log_softmax(weights, every) / math.log(10) - np.log10(vocabulary.class_mass)).astype(np.float64)
-    known = spark.sparkContext.broadcast((vocabulary, by_context.ravel()))
+    model = train_words(counts, vocabulary)
+    words = weigh_words(counts, vocabulary, model)
+    # log10 of P(class | context), and of the sum that normalises the words of a class.
+    by_context = _log_softmax(weights, np.arange(CONTEXTS)) / math.log(10)
+    known = spark.sparkContext.broadcast((vocabulary, by_context.ravel(), np.log10(model.sums), head_weights(words, vocabulary) / np.float32(math.log(10))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, table = known.value
-        codes_of = _Codes(vocabulary).__getitem__
-        plus_one = {w: math.log10(c + 1) for w, c in vocabulary.counts.items()}
+        vocabulary, by_context, log_sums, in_head = known.value
+        coded = _Codes(vocabulary)
+        plus_one = np.log10(np.fromiter(vocabulary.counts.values(), dtype=np.float64, count=len(vocabulary.counts)) + 1)
         for batch in batches:
-            kinds = (pa.int64(), batch.schema.field("id").type, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), batch.schema.field("id").type, pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             out: list[list] = [[] for _ in kinds]
 
             def flush(out: list[list] = out, kinds: tuple = kinds) -> pa.RecordBatch:
-                made = pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "id", "learns", "w", "n", "n_known", "a", "m"])
+                made = pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "id", "learns", "w", "h", "n", "n_known", "a", "m"])
                 for x in out:
                     x.clear()
                 return made
 
             for row, own_id, learns, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 words = tokens(text.as_py())
-                codes = np.fromiter(map(codes_of, words), dtype=np.int64, count=len(words))
-                m = float(table[_contexts(codes) * CLASSES + codes // BUCKETS].sum())
-                found = list(map(plus_one.get, words))
-                rare = Counter([w for w, x in zip(words, found, strict=True) if x is None]) if None in found else {}
-                a = math.fsum(x for x in found if x is not None)
+                places, classes, contexts, before = coded.split(words)
+                found = places >= 0
+                m = float((by_context[contexts * CLASSES + classes] - log_sums[classes, before]).sum() + in_head[places[found], before[found]].sum(dtype=np.float64))
+                at = np.flatnonzero(~found)
+                rare = Counter(zip([words[i] for i in at], before[at].tolist(), strict=True))
+                a = float(plus_one[places[found]].sum())
                 # The row's own sums travel under a key that is no word and that no other row has.
-                for x, new in zip(out, (row, own_id, learns, END + str(row).encode(), len(words), len(words) - sum(rare.values()), a, m), strict=True):
+                for x, new in zip(out, (row, own_id, learns, END + str(row).encode(), None, len(words), len(words) - len(at), a, m), strict=True):
                     x.append(new)
-                for w, n in rare.items():
-                    for x, new in zip(out, (row, None, None, w, n, None, None, None), strict=True):
+                for (w, h), n in rare.items():
+                    for x, new in zip(out, (row, None, None, w, h, n, None, None, None), strict=True):
                         x.append(new)
                 if len(out[0]) > 100_000:
                     yield flush()
@@ -272,16 +418,17 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "id", "learns", "text")
-    parts = keyed.mapInArrow(run, f"row long, id {kind}, learns boolean, w binary, n long, n_known long, a double, m double")
-    met = parts.join(counts, "w", "left")
+    parts = keyed.mapInArrow(run, f"row long, id {kind}, learns boolean, w binary, h int, n long, n_known long, a double, m double")
+    met = parts.join(words, "w", "left")
     own = F.col("m").isNotNull()
+    weight = F.coalesce(F.get("ts", (F.array_position("hs", F.col("h")) - 1).cast("int")).cast("double"), F.lit(0.0)) / math.log(10)
     sums = met.groupBy("row").agg(
         F.max("id").alias("id"),
         F.max("learns").alias("learns"),
         F.sum(F.when(own, F.col("n"))).alias("n_tokens"),
         F.sum(F.when(own, F.col("n_known")).otherwise(F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
         F.sum(F.when(own, F.col("a")).otherwise(F.coalesce(F.col("n") * F.log10(F.col("c") + 1), F.lit(0.0)))).alias("a"),
-        F.sum("m").alias("m"),
+        F.sum(F.when(own, F.col("m")).otherwise(F.col("n") * weight)).alias("m"),
     )
     total = F.lit(vocabulary.n_tokens)
     base = F.col("a") - F.col("n_tokens") * F.log10(total + vocabulary.n_words + 1.0)

@@ -173,19 +173,45 @@ def test_language_model_base_and_mass(spark, data):
     assert better > 0.8 * sum(map(held, texts))
 
 
-def test_language_model_probabilities_sum_to_one(spark):
-    texts = ["a b a b c", "b c d", "é b a", None, "a a a"]
+def test_language_model_scores_equal_sums_over_tokens(spark, monkeypatch):
+    """Every word, known or not, behind every hash: probabilities add up to 1, and a text's score is the sum over its tokens."""
+    monkeypatch.setattr(maxent_lm, "HEAD_WORDS", 120)  # the others take the join
+    texts = ["a b a b c", "b c d xa ya za", "é b a", None, "a a a", " ".join(f"w{i % 70} x{i % 31}a q{i % 97}" for i in range(600)), "unseen w1 x1a other a b"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    counts = maxent_lm.count_words(docs)
+    taught = docs.where("doc_id < 6")
+    counts = maxent_lm.count_words(taught)
     vocabulary = maxent_lm.read_vocabulary(counts)
-    weights = maxent_lm.train(maxent_lm.count_contexts(docs, vocabulary))
-    p = np.exp(maxent_lm._log_softmax(weights, np.arange(maxent_lm.CONTEXTS)))
-    assert np.allclose(p.sum(axis=1), 1)
-    mass = Counter()
-    for w, c in vocabulary.counts.items():
-        mass[maxent_lm._Codes(vocabulary)[w] // maxent_lm.BUCKETS] += c + 1
-    for k, m in mass.items():
-        assert vocabulary.class_mass[k] == m + (k >= maxent_lm.OWN_CLASSES)
+    assert len(vocabulary.own) < len(vocabulary.counts) <= 121 < len(seen := Counter(t for text in texts[:6] for t in maxent_lm.tokens(text)))
+    weights = maxent_lm.train(maxent_lm.count_contexts(taught, vocabulary))
+    by_class = np.exp(maxent_lm._log_softmax(weights, np.arange(maxent_lm.CONTEXTS)))
+    assert np.allclose(by_class.sum(axis=1), 1)
+
+    model = maxent_lm.train_words(counts, vocabulary)
+    rows = {r["w"]: r for r in maxent_lm.weigh_words(counts, vocabulary, model).collect()}
+    pairs = Counter((t, maxent_lm._hash(u) if u else maxent_lm.BEGIN) for text in texts[:6] for u, t in zip([None, *maxent_lm.tokens(text)], maxent_lm.tokens(text), strict=False))
+    assert {w: r["c"] for w, r in rows.items()} == seen and {(bytes(w), h) for w, r in rows.items() for h in r["hs"]} == set(pairs)
+    theta = {(bytes(w), h): t for w, r in rows.items() for h, t in zip(r["hs"], r["ts"], strict=True)}
+    own = vocabulary.class_of()
+    assert all((t == 0) == (w in own) for (w, _), t in theta.items())
+    class_of = lambda w: own.get(w, maxent_lm.OWN_CLASSES + maxent_lm._ending(w) % maxent_lm.ENDING_CLASSES)
+    z = np.zeros((maxent_lm.CLASSES, maxent_lm.HASHES))
+    z[maxent_lm.OWN_CLASSES :] = 1  # the place of unknown words
+    for w, c in seen.items():
+        z[class_of(w)] += [(c + 1) * np.exp(theta.get((w, h), 0)) for h in range(maxent_lm.HASHES)]
+    used = [class_of(w) for w in seen]
+    assert np.allclose(z[used], model.sums[used], rtol=1e-5)
+
+    bucket_of = vocabulary.bucket_of()
+    bucket = lambda w: bucket_of.get(w, 1 + maxent_lm.OWN_BUCKETS + maxent_lm._ending(w) % (maxent_lm.BUCKETS - 1 - maxent_lm.OWN_BUCKETS))
+    found = by_id(maxent_lm.score(docs, F.col("doc_id") < 6))
+    for i, text in enumerate(texts):
+        total, before = 0.0, [None, None]
+        for w in maxent_lm.tokens(text):
+            last, skip = (bucket(u) if u else 0 for u in before)
+            h = maxent_lm._hash(before[0]) if before[0] else maxent_lm.BEGIN
+            total += np.log10(by_class[last * maxent_lm.BUCKETS + skip, class_of(w)] * (seen[w] + 1) * np.exp(theta.get((w, h), 0)) / z[class_of(w), h])
+            before = [w, before[0]]
+        assert found[i]["score"] == pytest.approx(total, rel=1e-4)
 
 
 def test_language_model_of_odd_rows(spark, odd):
