@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, maxent_lm, packing, pii, prefix_trie, quality, quotes, resample, simhash_dedup, token_counts, url_filter
+from . import decontaminate, language_id, maxent_lm, packing, pii, prefix_trie, quality, quotes, resample, simhash_dedup, suffix_dedup, token_counts, url_filter
 from .common import fold_fraction, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,6 +56,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", pii.counts(F.col("_pii")).alias("n_pii"), F.expr("array_join(_pii.kind, ',')").alias("kinds"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +70,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turn_arrays(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash_dedup, op4_decontamination, op5_quotation_linking, op6_url_filter, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_pii, op12_importance_resampling, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash_dedup, op4_decontamination, op5_quotation_linking, op6_url_filter, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_pii, op11_suffix_dedup, op12_importance_resampling, op13_prefix_trie)}
 
 #: The rules once more, as SQL of its own: (name, host, path, action), longest first, and patterns over host and path.
 _NAMED = [("www.example.com/en/", "www.example.com", "/en/", "allow"), ("example.com/en/", "example.com", "/en/", "block"), ("net/es/", "net", "/es/", "block"), ("net/fr/", "net", "/fr/", "block"), ("com/", "com", "/", "allow")]
