@@ -4,18 +4,19 @@ Suffixes are put into buckets by an initial q-gram and refined by the bucket ide
 suffixes that agree in all `match` bytes; its smallest document keeps the passage. An identifier of 2q bytes is made of the two of
 q bytes that it starts with and that stands q bytes later, so each level reuses those of the level before.
 
-To sort all suffixes of a corpus would move many times its size. Two things keep that down, and neither loses a match:
+To sort all suffixes of a corpus would move many times its size. Three things keep that down, and neither loses a match:
 
 - Only some suffixes open a bucket. Of the q-grams in each window of `match` bytes the one with the smallest hash is its anchor, so
-  equal windows have equal anchors, at the same place. About one position in 14 is an anchor. A first round deals anchors by their
+  equal windows have equal anchors, at the same place. About one position in 17 is an anchor. A first round deals anchors by their
   hash (8 bytes each) and keeps those that at least two documents have.
+- Of documents with equal texts only the one with the smallest id goes on: the others go as a whole.
 - Only kept anchors ship text: the bytes of all windows whose anchor they are. The second round's tasks hold all windows of their
   anchors and refine them.
 
-A task sends a hash once for all of its documents, so a bucket has a row for each task at most, however common the q-gram is.
-Windows of an anchor that very many documents have (there are at most ANCHORS_HOT of those) are dealt one by one, by their own
-hash, after the task has refined its own and dropped all but those of its smallest document: so what stands around a common
-passage never meets in one task. Identifiers are 64-bit; windows that share them are compared byte by byte.
+A task sends a hash once for all of its documents, so a bucket has a row for each task at most, however common the q-gram is. In
+the second round it refines its own windows first and sends only those of its smallest document. Windows of an anchor that very
+many documents have (there are at most ANCHORS_HOT of those) are dealt one by one, by their own hash: so what stands around a
+common passage never meets in one task. Identifiers are 64-bit; windows that share them are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bytes of an anchor, at least half of a match and less than one.
-ANCHOR = 24
+#: Bytes of an anchor. Short ones are sparser, long ones are shared by chance less often.
+ANCHOR = 16
 #: Positions hashed at a time (their arrays stay in a core's cache), bytes of texts in a group, bytes of windows in a task of the second
 #: round, and bytes of texts for each bucket of the first.
-SLICE, GROUP_BYTES, TASK_BYTES, BUCKET_BYTES = 1 << 16, 16_000_000, 8_000_000, 32_000_000
+SLICE, GROUP_BYTES, TASK_BYTES, BUCKET_BYTES = 1 << 16, 16_000_000, 10_000_000, 48_000_000
+#: Windows that a task of the second round compares at a time before it sends them.
+PART_WINDOWS = 2_000_000
 #: Documents that make an anchor hot, at least, and so many hot ones at most: the threshold grows with the corpus.
 HOT_DOCS, ANCHORS_HOT = 20_000, 1_000_000
 _LOW = np.uint64(0xFFFFFF)
@@ -193,6 +196,11 @@ def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Documents' places in the order of ids: the first eight bytes of their keys."""
+    return np.ascontiguousarray(keys[:, :8]).view(">i8").ravel().astype(np.int64)
+
+
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
     """A binary column whose values all have this width."""
     data, offsets = _texts(column)
@@ -222,11 +230,36 @@ def _answers(keys: np.ndarray, docs: np.ndarray, values: np.ndarray) -> tuple[by
     return table.tobytes(), np.ascontiguousarray(values).tobytes()
 
 
-def _told(rows: list[tuple[bytes, bytes]]) -> tuple[pa.Array, pa.Array]:
-    """Answers of many rows, as (k, values of 8 bytes)."""
+def _told(rows: list[tuple[bytes, bytes]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Answers of many rows, as (k, values of 8 bytes, how many each)."""
     table = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 24)
     counts = np.ascontiguousarray(table[:, 16:]).view("<u8").ravel().astype(np.int64)
-    return _binary(np.ascontiguousarray(table[:, :16]).ravel(), np.full(len(table), 16)), _binary(np.frombuffer(b"".join(r[1] for r in rows), "<u8"), counts)
+    return _binary(np.ascontiguousarray(table[:, :16]).ravel(), np.full(len(table), 16)), np.frombuffer(b"".join(r[1] for r in rows), "<u8"), counts
+
+
+#: Before ids of 8 bytes; others are of 4 bytes, the bucket before them.
+_WIDE = np.array([0xFFFFFFFF], "<u4")
+
+
+def _listed(parts: list[bytes]) -> np.ndarray:
+    """Anchors' numbers in what a document was told."""
+    out = [np.zeros(0, np.uint64)]
+    for part in parts:
+        words = np.frombuffer(part, "<u4")
+        out.append(np.frombuffer(part, "<u8", offset=4) if words[0] == _WIDE[0] else words[1:].astype(np.uint64) | np.uint64(int(words[0]) << 32))
+    return np.concatenate(out)
+
+
+def _headed(heads: np.ndarray, values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary values: a head of 4 bytes and then so many of the consecutive values each."""
+    width = values.itemsize // 4
+    out = np.zeros(len(counts) + len(values) * width, "<u4")
+    at = np.cumsum(counts * width + 1) - counts * width - 1
+    out[at] = heads
+    rest = np.ones(len(out), bool)
+    rest[at] = False
+    out[rest] = values.view("<u4")
+    return _binary(out, counts * width + 1)
 
 
 def _numbers(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -240,12 +273,12 @@ _REGION = np.dtype([("doc", "<u2"), ("length", "<u2"), ("start", "<u4")])
 
 
 def shared_anchors(docs: DataFrame, match: int, buckets: int, hot: int) -> DataFrame:
-    """(k, ids, hot) for docs (k, id, text): numbers (8 bytes each) of each document's anchors that another one has, and, without
-    a k, of those that more than `hot` have. A document may have several rows."""
+    """(k, ids, hot) for docs (k, text): numbers of each document's anchors that another one has (see _listed), and, without
+    a k, of those that more than `hot` have (8 bytes each). A document may have several rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, ends in _grouped(batch, 2):
+            for rows, data, ends in _grouped(batch, 1):
                 first, _, hashes = anchors(data, ends, match)
                 if not len(first):
                     continue
@@ -283,8 +316,8 @@ def shared_anchors(docs: DataFrame, match: int, buckets: int, hot: int) -> DataF
                 keys.append(np.frombuffer(docs_, np.uint8).reshape(-1, 16))
         out = []
         if told:
-            k, ids = _told(told)
-            out.append(pa.table({"k": k, "ids": ids, "hot": pa.array(np.zeros(len(k), bool))}))
+            k, ids, n = _told(told)
+            out.append(pa.table({"k": k, "ids": _headed(_WIDE, ids, n), "hot": pa.array(np.zeros(len(k), bool))}))
         if bodies:
             sizes = np.cumsum([0, *[len(x) for x in keys[:-1]]])
             all_, keys = np.concatenate(bodies), np.concatenate(keys)
@@ -297,8 +330,8 @@ def shared_anchors(docs: DataFrame, match: int, buckets: int, hot: int) -> DataF
             # A row that speaks for several documents has told them.
             ask = np.repeat(counts > 1, counts) & (many == 1)
             if ask.any():
-                ids, held, n = _by_doc(doc[ask], g[ask].astype(np.uint64) | high)
-                out.append(pa.table({"k": _binary(keys[held].ravel(), np.full(len(held), 16)), "ids": _binary(ids, n), "hot": pa.array(np.zeros(len(held), bool))}))
+                ids, held, n = _by_doc(doc[ask], g[ask])
+                out.append(pa.table({"k": _binary(keys[held].ravel(), np.full(len(held), 16)), "ids": _headed(np.array([bucket], "<u4"), ids, n), "hot": pa.array(np.zeros(len(held), bool))}))
             common = g[heads[total > hot]].astype(np.uint64) | high
             if len(common):
                 out.append(pa.table({"k": pa.array([None], pa.binary()), "ids": _binary(common, np.array([len(common)])), "hot": pa.array([True])}))
@@ -332,31 +365,36 @@ def repeated(docs: DataFrame, known: DataFrame, match: int, buckets: int, anchor
                 if not len(first):
                     continue
                 keys, begins = _fixed(rows.column(0), 16), np.concatenate([[0], ends[:-1]])
-                places = rows.column(1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-                table = np.concatenate([keys, np.ascontiguousarray(places, "<i8").view(np.uint8).reshape(-1, 8)], axis=1)
+                places = _places(keys)
                 doc, ids = np.searchsorted(ends, first, "right"), _numbers(hashes, anchor_buckets)
                 cuts = np.searchsorted(doc, np.arange(len(ends) + 1))
                 wanted = np.zeros(len(ids), bool)
                 for d, listed in enumerate(rows.column(3).to_pylist()):
                     a, b = cuts[d], cuts[d + 1]
-                    wanted[a:b] = np.isin(ids[a:b], np.frombuffer(b"".join(listed), "<u8"))
+                    wanted[a:b] = np.isin(ids[a:b], _listed(listed))
+                first, last, doc, ids = first[wanted], last[wanted], doc[wanted], ids[wanted]
                 hit = hot[np.minimum(np.searchsorted(hot, ids), len(hot) - 1)] == ids if len(hot) else np.zeros(len(ids), bool)
-                out, cold = [], np.flatnonzero(wanted & ~hit)
-                # Windows of common anchors are compared here first; the rest of each goes by its own hash.
-                one = np.flatnonzero(wanted & hit)
-                if len(one):
-                    windows = _ranges(first[one], last[one] - first[one] + 1)
-                    whose = np.searchsorted(ends, windows, "right")
-                    least = refine(data, windows, places[whose], match)
-                    gone = least < places[whose]
-                    if gone.any():
-                        spans, of = _spans(windows[gone], whose[gone], match)
-                        out.append((at, True, *_answers(keys, of, _pairs(spans - begins[of][:, None]))))
-                    windows, whose = windows[~gone], whose[~gone]
-                    bucket = (_mixed(identifiers_at(data, windows, match)) % np.uint64(buckets)).astype(np.int64)
-                    out += _regions(data, table, begins, windows, np.full(len(windows), match), whose, bucket)
-                bucket = (_mixed(ids[cold]) % np.uint64(buckets)).astype(np.int64)
-                out += _regions(data, table, begins, first[cold], last[cold] - first[cold] + match, doc[cold], bucket)
+                # Whole documents at a time; a document that is a part by itself has nothing to be compared with here.
+                upto = np.cumsum(np.bincount(doc, last - first + 1, len(ends)))
+                part = (np.concatenate([[0], upto[:-1]]) // PART_WINDOWS)[doc]
+                out: list[tuple] = []
+                for a, b in pairwise([*_runs(part), len(part)] if len(part) else []):
+                    anchor = np.repeat(np.arange(a, b), last[a:b] - first[a:b] + 1)
+                    windows = _ranges(first[a:b], last[a:b] - first[a:b] + 1)
+                    if doc[a] != doc[b - 1]:
+                        gone = refine(data, windows, places[doc[anchor]], match) < places[doc[anchor]]
+                        if gone.any():
+                            spans, of = _spans(windows[gone], doc[anchor[gone]], match)
+                            out.append((at, True, *_answers(keys, of, _pairs(spans - begins[of][:, None]))))
+                            windows, anchor = windows[~gone], anchor[~gone]
+                    lone = hit[anchor]
+                    bucket = (_mixed(identifiers_at(data, windows[lone], match)) % np.uint64(buckets)).astype(np.int64)
+                    out += _regions(data, keys, begins, windows[lone], np.full(int(lone.sum()), match), doc[anchor[lone]], bucket)
+                    windows, anchor = windows[~lone], anchor[~lone]
+                    if len(windows):
+                        heads = np.flatnonzero(np.append(True, (windows[1:] != windows[:-1] + 1) | (anchor[1:] != anchor[:-1])))
+                        bucket = (_mixed(ids[anchor[heads]]) % np.uint64(buckets)).astype(np.int64)
+                        out += _regions(data, keys, begins, windows[heads], np.diff(np.append(heads, len(windows))) + match - 1, doc[anchor[heads]], bucket)
                 at += 1
                 yield _packed(out)
 
@@ -366,41 +404,43 @@ def repeated(docs: DataFrame, known: DataFrame, match: int, buckets: int, anchor
             if answer:
                 told.append((docs_, body))
             else:
-                n, size = np.frombuffer(body[:16], "<u8").tolist()
-                regions.append(np.frombuffer(body[16 : 16 + 8 * n], _REGION))
-                texts.append(np.frombuffer(pa.decompress(body[16 + 8 * n :], size, codec="zstd"), np.uint8))
-                tables.append(np.frombuffer(docs_, np.uint8).reshape(-1, 24))
+                n, listed, size = np.frombuffer(body[:12], "<u4").tolist()
+                raw = np.frombuffer(pa.decompress(body[12:], 16 * n + 8 * listed + size, codec="zstd"), np.uint8)
+                tables.append(np.ascontiguousarray(raw[: 16 * n].reshape(16, n).T))
+                regions.append(np.ascontiguousarray(raw[16 * n : 16 * n + 8 * listed]).view(_REGION))
+                texts.append(raw[16 * n + 8 * listed :])
         if texts:
             data, all_, table = np.concatenate(texts), np.concatenate(regions), np.concatenate(tables)
             doc = all_["doc"].astype(np.int64) + np.repeat(np.cumsum([0, *[len(t) for t in tables[:-1]]]), [len(r) for r in regions])
             lengths = all_["length"].astype(np.int64)
             begins, n = np.cumsum(lengths) - lengths, lengths - match + 1
             windows, region = _ranges(begins, n), np.repeat(np.arange(len(n)), n)
-            places = np.ascontiguousarray(table[:, 16:]).view("<i8").ravel()[doc]
-            gone = refine(data, windows, places[region], match) < places[region]
+            places = _places(table)[doc][region]
+            gone = refine(data, windows, places, match) < places
             if gone.any():
                 spans, of = _spans(windows[gone], region[gone], match)
-                told.append(_answers(table[:, :16], doc[of], _pairs(spans - (begins[of] - all_["start"][of].astype(np.int64))[:, None])))
-        k, spans = _told(told)
-        return pa.table({"k": k, "spans": spans})
+                told.append(_answers(table, doc[of], _pairs(spans - (begins[of] - all_["start"][of].astype(np.int64))[:, None])))
+        k, spans, n = _told(told)
+        return pa.table({"k": k, "spans": _binary(spans, n)})
 
+    # The columns that the last join takes too, so that Spark shuffles the texts once for both.
     rows = docs.join(known, "k").select("k", "id", "text", "ids")
     return rows.mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(meet, "k binary, spans binary")
 
 
-def _regions(data: np.ndarray, table: np.ndarray, begins: np.ndarray, first: np.ndarray, lengths: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> list[tuple]:
-    """Rows with the texts of regions, one for each bucket: counts, then regions, then the texts, compressed."""
+def _regions(data: np.ndarray, keys: np.ndarray, begins: np.ndarray, first: np.ndarray, lengths: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+    """Rows with the texts of regions, one for each bucket: counts, then (compressed) documents' keys byte by byte, regions and texts."""
     sort = np.lexsort((doc, bucket))
     first, lengths, doc, bucket = first[sort], lengths[sort], doc[sort], bucket[sort]
-    out, cuts = [], [*_runs(bucket), len(bucket)] if len(bucket) else []
-    for a, b in pairwise(cuts):
+    out = []
+    for a, b in pairwise([*_runs(bucket), len(bucket)] if len(bucket) else []):
         held = _runs(doc[a:b])
         listed = np.zeros(b - a, _REGION)
         listed["doc"] = np.repeat(np.arange(len(held)), np.diff(np.append(held, b - a)))
         listed["length"], listed["start"] = lengths[a:b], first[a:b] - begins[doc[a:b]]
         text = data[_ranges(first[a:b], lengths[a:b])]
-        head = np.array([b - a, len(text)], "<u8").tobytes()
-        out.append((int(bucket[a]), False, table[doc[a:b][held]].tobytes(), head + listed.tobytes() + pa.compress(text.tobytes(), codec="zstd", asbytes=True)))
+        body = keys[doc[a:b][held]].T.tobytes() + listed.tobytes() + text.tobytes()
+        out.append((int(bucket[a]), False, b"", np.array([len(held), b - a, len(text)], "<u4").tobytes() + pa.compress(body, codec="zstd", asbytes=True)))
     return out
 
 
@@ -415,24 +455,31 @@ def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", tex
     if not 8 <= match <= 30_000:
         raise ValueError("match is to be of 8 to 30000 bytes")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    # Rows with one id and one text are one to all that follows.
-    key = F.unhex(F.substring(F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("text")).cast("binary"), 256), 1, 32))
-    keyed = keyed.select(key.alias("k"), "id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("place", F.coalesce("id", F.lit(2**63 - 1)))
+    # Rows with one id and one text are one to all that follows: the key is the place of the id and a hash of the text.
+    key = F.coalesce(F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("place", F.xxhash64("text"))]), F.lit(b""))  # never null, so that no join filters for it
+    rows = rows.withColumn("k", key)
+    keyed = rows.select("k", "id", F.col("text").cast("binary").alias("text"))
+    slim = rows.select("k", "place", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("same"), F.octet_length("text").alias("n"))
+    copies = cut(slim.join(slim.groupBy("same").agg(F.min("place").alias("least")), "same").where("place > least").groupBy("k").agg(F.first("n").alias("n")))
+
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(32, size // BUCKET_BYTES)
-    found = cut(shared_anchors(keyed, match, buckets, max(HOT_DOCS, size // ANCHORS_HOT)))
+    buckets = max(16, size // BUCKET_BYTES)
+    found = cut(shared_anchors(keyed.select("k", "text"), match, buckets, max(HOT_DOCS, size // ANCHORS_HOT)))
     hot = np.unique(np.frombuffer(b"".join(r["ids"] for r in found.where("hot").select("ids").collect()), "<u8"))
-    shared = (found.where("not hot").agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 8
-    known = found.where("not hot").groupBy("k").agg(F.collect_list("ids").alias("ids"))
-    spans = repeated(keyed, known, match, max(32, shared * (3 * match // 2) // TASK_BYTES), buckets, hot).groupBy("k").agg(F.collect_list("spans").alias("spans"))
+    told = found.where("not hot").select("k", "ids")
+    shared = (told.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
+    known = told.join(copies, "k", "left_anti").groupBy("k").agg(F.collect_list("ids").alias("ids"))
+    spans = repeated(keyed, known, match, max(32, shared * (3 * match // 2) // TASK_BYTES), buckets, hot)
+    # An empty span stands for the whole text.
+    spans = spans.unionByName(copies.where(F.col("n") >= match).select("k", F.lit(b"").alias("spans"))).groupBy("k").agg(F.collect_list("spans").alias("spans"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, ends in _grouped(batch, 1):
                 listed, kept, n = [], [], np.diff(np.concatenate([[0], ends]))
                 for begin, end, parts in zip((ends - n).tolist(), ends.tolist(), rows.column(2).to_pylist(), strict=True):
-                    runs = merged(np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2).astype(np.int64)) if parts else []
+                    runs = [] if not parts else np.array([[0, end - begin]]) if b"" in parts else merged(np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2).astype(np.int64))
                     stays = np.concatenate([[0], np.ravel(runs), [end - begin]]).astype(np.int64).reshape(-1, 2) + begin
                     listed.append([{"begin": int(a), "end": int(b)} for a, b in runs])
                     kept.append(b"".join(data[a:b].tobytes() for a, b in stays))

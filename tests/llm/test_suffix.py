@@ -90,7 +90,7 @@ def test_equal_windows_have_equal_anchors():
     assert np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]).tolist() == starts.tolist()
     by = dict(zip(starts.tolist(), np.repeat(hashes, last - first + 1).tolist(), strict=True))
     assert all(by[1000 + k] == by[150_000 + k] for k in range(151))
-    assert len(first) < len(starts) / 11
+    assert len(first) < len(starts) / 14
 
 
 def test_identifiers_that_meet_by_chance_are_told_apart(monkeypatch):
@@ -110,3 +110,10 @@ def test_the_table(spark, data):
     found = __spark_entry__.queries()["op11_suffix_dedup"](spark, data)
     assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(map(tuple, found.collect())) == brute(docs)
+
+
+def test_parts_of_few_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_WINDOWS", 500)
+    rows = passages(21)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, k string").repartition(2)
+    assert removed(frame) == brute([r[:2] for r in rows])
