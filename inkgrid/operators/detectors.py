@@ -120,7 +120,8 @@ def _watershed_boxes(image: np.ndarray, least_w: float, least_h: float, fill: fl
 
 def watershed_panels(rasters: DataFrame, least_w: int, least_h: int) -> DataFrame:
     """(page_id, x, y, w, h, conf) of the regions of a page's watershed."""
-    return per_page(rasters, lambda image: list(map(list, zip(*_watershed_boxes(image, least_w, least_h), strict=True))) or [[]] * 5, BOX + ", conf double")
+    found = regions.region_boxes(regions.panel_regions(rasters), least_w, least_h)
+    return found.select("page_id", "x", "y", "w", "h", (100 * F.col("confidence")).alias("conf"))
 
 
 def hierarchical(rasters: DataFrame, least_w: int, least_h: int) -> DataFrame:

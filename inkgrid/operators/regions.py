@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from inkgrid.operators import stencils
+from inkgrid.operators import graphs, stencils
 from inkgrid.operators.batches import per_page
+from inkgrid.operators.rounds import cut
 
 FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
 
@@ -67,13 +69,12 @@ def _pixelwise(values: np.ndarray) -> list[np.ndarray]:
 
 
 def components(masks: DataFrame, above: float = 0.0) -> DataFrame:
-    """(page_id, label, x, y, w, h, area, pixels) of each component; area is the bounding box's."""
-
-    def of(image: np.ndarray) -> list:
-        k, x, y, w, h, n = _parts(label(image > above))
-        return [k, x, y, w, h, w * h, n]
-
-    return per_page(masks, of, "label long, x long, y long, w long, h long, area long, pixels long")
+    """(page_id, label, x, y, w, h, area, pixels) of each 4-connected component; area is the bounding box's, and the label the
+    index of its first pixel. Runs of pixels are connected over the cluster, so that a page may be larger than a task."""
+    found = graphs.labelled(graphs.runs(graphs.pixels(masks, "width").where(F.col("g") > above), "width"), "width")
+    w, h = F.max("x1") - F.min("x0") + 1, F.max("y") - F.min("y") + 1
+    boxes = found.groupBy("page_id", "width", "root").agg(F.min("x0").alias("x"), F.min("y").alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"), F.sum(F.expr("x1 - x0 + 1")).alias("pixels"))
+    return boxes.select("page_id", graphs.index("root").alias("label"), "x", "y", "w", "h", "area", "pixels")
 
 
 def content_components(masks: DataFrame, least_w: int, least_h: int, above: float = 0.0) -> DataFrame:
@@ -120,16 +121,29 @@ def _square_extremes(image: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]
     return stencils._extreme(s, r, np.maximum, -np.inf)[0], stencils._extreme(s, r, np.minimum, np.inf)[0]
 
 
+def _grown(seeded: DataFrame) -> DataFrame:
+    """(page_id, x, y, label) of rasters whose g holds (gradient, seed): what each connected part of seeds reaches over the lowest
+    gradients, labelled by the part's first pixel's index and one; 0 on pages without a seed.
+
+    The watershed is the minimum spanning forest rooted in the seeds, with the larger gradient of two neighbours as weight: each
+    pixel joins the seed from which the highest step of the way is lowest. Equal ones are told apart by the pixels' order.
+    """
+    px = cut(graphs.pixels(seeded, "width").select("page_id", "width", "x", "y", F.col("g.gradient").alias("w"), (F.col("g.seed") > 0).alias("seed")))
+    parts = graphs.labelled(graphs.runs(px.where("seed").select("page_id", "x", "y")))
+    seeds = parts.select("page_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("root").alias("seed")).select("page_id", graphs.at("x", "y").alias("at"), "seed")
+    known = graphs.forest(graphs.grid_edges(px, "w"), seeds)
+    found = px.select("page_id", "width", "x", "y", graphs.at("x", "y").alias("at")).join(known, ["page_id", "at"], "left")
+    return found.select("page_id", "x", "y", F.coalesce(graphs.index("seed") + 1, F.lit(0)).alias("label"))
+
+
 def watershed(rasters: DataFrame, radius: int = 1) -> DataFrame:
     """(page_id, x, y, label): regions grown on the morphological gradient from its minima (squares of radius)."""
 
-    def of(image: np.ndarray) -> list:
-        hi, lo = _square_extremes(image, radius)
-        gradient = hi - lo
-        minima = gradient <= _square_extremes(gradient, radius)[1]
-        return _pixelwise(flood(gradient, label(minima) + 1))
+    def of(s: np.ndarray) -> dict[str, np.ndarray]:
+        gradient = stencils._extreme(s, radius, np.maximum, -np.inf) - stencils._extreme(s, radius, np.minimum, np.inf)
+        return {"gradient": gradient, "seed": (gradient <= stencils._extreme(gradient, radius, np.minimum, np.inf)).astype(float)}
 
-    return per_page(rasters, of, "x long, y long, label long")
+    return _grown(stencils.map_images(rasters, of, "struct<gradient:double,seed:double>"))
 
 
 def otsu_level(values: np.ndarray) -> int:
@@ -152,8 +166,16 @@ def segment(image: np.ndarray, sigma: float = 1.5, radius: int = 2, reach: int =
 
 
 def panel_regions(rasters: DataFrame, sigma: float = 1.5, radius: int = 2, reach: int = 5) -> DataFrame:
-    """(page_id, x, y, label) of the watershed that panels are read from."""
-    return per_page(rasters, lambda image: _pixelwise(segment(image, sigma, radius, reach)), "x long, y long, label long")
+    """(page_id, x, y, label) of the watershed that panels are read from: from low minima of the blurred image's gradient, those
+    under half of Otsu's level."""
+
+    def of(s: np.ndarray) -> dict[str, np.ndarray]:
+        soft = stencils.blurred(s, sigma)
+        gradient = stencils._extreme(soft, radius, np.maximum, -np.inf) - stencils._extreme(soft, radius, np.minimum, np.inf)
+        half = np.array([0.5 * otsu_level(g) for g in gradient])[:, None, None]
+        return {"gradient": gradient, "seed": stencils.minima(gradient, half, reach).astype(float)}
+
+    return _grown(stencils.map_images(rasters, of, "struct<gradient:double,seed:double>"))
 
 
 def region_boxes(labels: DataFrame, least_w: int = 1, least_h: int = 1, fill: float = 0.5) -> DataFrame:
@@ -255,18 +277,36 @@ def stable(image: np.ndarray, least: int, most: int, delta: int, top: int) -> np
     return rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 7]))][:top]
 
 
+def component_tree(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dark components of every brightness level that a page has: runs with their component's root, and components
+    (page_id, width, level, root, x, y, w, h, n). All levels are one graph whose parts the level keeps apart."""
+    px = graphs.pixels(rasters, "width").withColumn("v", F.floor("g"))
+    levels = px.groupBy("page_id").agg(F.array_sort(F.collect_set("v")).alias("levels"))  # 256 at most for images of bytes
+    upto = px.join(levels, "page_id").select("page_id", "width", "x", "y", F.explode(F.expr("filter(levels, k -> k >= v)")).alias("level"))
+    found = cut(graphs.labelled(graphs.runs(upto, "width", "level"), "width", "level"))
+    sizes = found.groupBy("page_id", "width", "level", "root").agg(
+        F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum(F.expr("x1 - x0 + 1")).alias("n")
+    )
+    return found, sizes
+
+
 def stable_regions(rasters: DataFrame, least: int, most: int, delta: int = 5, top: int = 100) -> DataFrame:
     """(page_id, level, label, x, y, w, h, n, growth): dark components over all levels that change least.
 
-    Every value of the image is a level. growth compares a component with the one that holds it delta levels up; the top
-    steadiest of a page stay.
+    growth is the share by which the component around it is larger delta levels on; a page's smallest growths are kept, ties by
+    level and label. A component is found again by its first pixel, which lies in a run of the larger one.
     """
-
-    def of(image: np.ndarray) -> list:
-        rows = stable(image, least, most, delta, top)
-        return [*rows[:, :7].astype(np.int64).T, rows[:, 7]]
-
-    return per_page(rasters, of, "level long, label long, x long, y long, w long, h long, n long, growth double")
+    found, sizes = component_tree(rasters)
+    sizes = cut(sizes)
+    levels = sizes.select("page_id", "level").distinct()
+    wider = levels.alias("a").join(levels.alias("b"), "page_id").where(f"b.level <= a.level + {delta}").groupBy("page_id", F.col("a.level").alias("level")).agg(F.max("b.level").alias("wider"))
+    own = sizes.where(F.col("n").between(least, most)).join(wider, ["page_id", "level"]).withColumn("ry", F.shiftright("root", 32)).withColumn("rx", F.col("root").bitwiseAND(F.lit((1 << 32) - 1)))
+    there = found.select("page_id", F.col("level").alias("wider"), F.col("y").alias("ry"), "x0", "x1", F.col("root").alias("outer"))
+    around = own.join(there, ["page_id", "wider", "ry"]).where("x0 <= rx AND rx <= x1")
+    outer = sizes.select("page_id", F.col("level").alias("wider"), F.col("root").alias("outer"), F.col("n").alias("outer_n"))
+    rows = around.join(outer, ["page_id", "wider", "outer"]).select("page_id", F.col("level").cast("double").alias("level"), graphs.index("root").alias("label"), "x", "y", "w", "h", "n", ((F.col("outer_n") - F.col("n")) / F.col("n")).alias("growth"))
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("growth", "level", "label"))
+    return rows.withColumn("_k", place).where(F.col("_k") <= top).drop("_k")
 
 
 def consensus(points: np.ndarray, seed: int, within: float, share: float, top: int, trials: int) -> list[tuple[float, float, int]]:

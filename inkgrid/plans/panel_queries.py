@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkgrid.functions import boxes
 from inkgrid.functions.boxes import intersection_sql, iou_sql
 from inkgrid.operators import panels as P
-from inkgrid.operators import pages, scoring, sequences
+from inkgrid.operators import evaluation, pages, scoring, sequences
 from inkgrid.sources import fixtures as X
 from inkgrid.sources import images
 
@@ -82,6 +82,12 @@ def _eval(spark: SparkSession, d: str) -> DataFrame:
     return cv.join(hit, ["page_id", "seq"], "left").groupBy("page_id").agg(F.count("*").alias("labels"), F.count("iou").alias("found"), F.round(F.coalesce(F.avg("iou"), F.lit(0.0)), 6).alias("mean_iou"))
 
 
+def _precision(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision of the second detector's panels at each overlap from 0.5 to 0.95, the first one's taken as labels."""
+    found = evaluation.average_precision(*_both(spark, d))
+    return found.select(F.round("overlap", 2).alias("overlap"), "labels", "predictions", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ap")])
+
+
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     return _cv(spark, d).select("page_id", "seq", scoring.panel_type(W, H).alias("kind"), scoring.panel_type_ml(W, H, F.col("conf") / 100.0).alias("kind_ml"))
 
@@ -199,6 +205,7 @@ QUERIES = {
     "snk_summary": _summary,
     "split_pages": _split,
     "eval_match": _eval,
+    "average_precision": _precision,
     "band_grid": _grid,
     "merge_close": lambda s, d: sequences.merge_close(_cv(s, d).select("page_id", F.col("x").alias("at")), 40),
 }
@@ -222,6 +229,16 @@ def _fold(order: str, first: str, step: str, out: str) -> str:
 
 _BOX = "'seq': p.seq, 'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h, 'conf': p.conf"
 _IOU = iou_sql("k", "p")
+#: A page's predictions in order, at each overlap, as a recursive query; then running counts over the confidences.
+_AP = """, pr AS (SELECT m.page_id, m.seq, m.conf, c.seq AS label, greatest(0, least(c.x + c.w, m.x + m.w) - greatest(c.x, m.x)) * greatest(0, least(c.y + c.h, m.y + m.h) - greatest(c.y, m.y)) AS common, c.w * c.h + m.w * m.h AS total FROM panels_ml m LEFT JOIN panels_cv c ON c.page_id = m.page_id),
+    near AS (SELECT page_id, seq, conf, list({'iou': common::DOUBLE / (total - common), 'label': label} ORDER BY common::DOUBLE / (total - common) DESC, label) FILTER (common::DOUBLE / (total - common) >= 0.5) AS near FROM pr GROUP BY page_id, seq, conf),
+    rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY conf DESC, seq) AS k FROM near), ov AS (SELECT unnest(range(10, 20)) / 20.0::DOUBLE AS overlap),
+    f AS (SELECT DISTINCT page_id, overlap, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS label, NULL::BIGINT AS conf FROM rk CROSS JOIN ov
+        UNION ALL SELECT page_id, overlap, k, CASE WHEN label IS NULL THEN used ELSE list_append(used, label) END, label, conf FROM (SELECT f.page_id, f.overlap, r.k, f.used, r.conf, list_filter(r.near, lambda c: c.iou >= f.overlap AND NOT list_contains(f.used, c.label))[1].label AS label FROM f JOIN rk r ON r.page_id = f.page_id AND r.k = f.k + 1)),
+    g AS (SELECT overlap, conf, count(label) AS hits, count(*) AS n FROM f WHERE k > 0 GROUP BY overlap, conf),
+    s AS (SELECT *, sum(hits) OVER w AS found, sum(n) OVER w AS taken FROM g WINDOW w AS (PARTITION BY overlap ORDER BY conf DESC)),
+    e AS (SELECT *, max(found / taken::DOUBLE) OVER (PARTITION BY overlap ORDER BY conf) AS best FROM s), a AS (SELECT count(*) AS labels FROM panels_cv)
+    SELECT round(overlap, 2) AS overlap, any_value(labels) AS labels, max(taken)::BIGINT AS predictions, round(max(found) / max(taken)::DOUBLE, 6) AS precision, round(max(found) / any_value(labels)::DOUBLE, 6) AS recall, round(sum(hits / labels::DOUBLE * best), 6) AS ap FROM e CROSS JOIN a GROUP BY overlap"""
 _PAIR = "FROM panels_cv a JOIN panels_cv b ON a.page_id = b.page_id AND a.seq < b.seq"
 _CONTAINS = f"{intersection_sql('k', 'p')} > 0.7::DOUBLE * (p.w * p.h)"
 _CLAIM = f"list_extract(list_transform(list_filter(f.kept, lambda k: k.parent IS NULL AND {_CONTAINS}), lambda k: k.seq), 1)"
@@ -319,6 +336,7 @@ ORACLE = {
     "yolo_normalize": X.with_fixtures(f"SELECT page_id, seq, printf('0 %.6f %.6f %.6f %.6f', (x + w / 2.0::DOUBLE) / {W}, (y + h / 2.0::DOUBLE) / {H}, w / {float(W)}::DOUBLE, h / {float(H)}::DOUBLE) AS line FROM panels_cv", "panels_cv"),
     "snk_json": X.with_fixtures("""SELECT page_id, '{"page_id":' || page_id || ',"count":' || count(*) || ',"panels":[' || string_agg('{"seq":' || seq || ',"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || ',"conf":' || conf || '}', ',' ORDER BY seq) || ']}' AS json FROM panels_cv GROUP BY page_id""", "panels_cv"),
     "snk_summary": X.with_fixtures("SELECT count(DISTINCT c.page_id) AS pages, (SELECT count(DISTINCT page_id) FROM panels_ml) AS pages_ok, (SELECT count(*) FROM panels_ml) AS panels, (SELECT count(*) FROM panels_ml) / count(DISTINCT c.page_id)::DOUBLE AS mean_panels FROM panels_cv c", "panels_cv", "panels_ml"),
+    "average_precision": X.with_fixtures(_AP, "panels_cv", "panels_ml", recursive=True),
     "eval_match": X.with_fixtures(f", m AS (SELECT a.page_id, a.seq, max({iou_sql('a', 'b')}) AS iou FROM panels_cv a JOIN panels_ml b ON a.page_id = b.page_id WHERE {iou_sql('a', 'b')} > 0.5 GROUP BY a.page_id, a.seq) SELECT c.page_id, count(*) AS labels, count(iou) AS found, round(coalesce(avg(iou), 0::DOUBLE), 6) AS mean_iou FROM panels_cv c LEFT JOIN m ON m.page_id = c.page_id AND m.seq = c.seq GROUP BY c.page_id", "panels_cv", "panels_ml"),
     "band_grid": X.with_fixtures(f", r AS ({_BANDS.format(c='y', n=H)}), c AS ({_BANDS.format(c='x', n=W)}) SELECT r.page_id, c.s AS x, r.s AS y, c.e - c.s AS w, r.e - r.s AS h FROM r JOIN c ON r.page_id = c.page_id WHERE c.e - c.s >= 80 AND r.e - r.s >= 100", "panels_cv"),
     "merge_close": X.with_fixtures(""", s AS (SELECT page_id, x, row_number() OVER (PARTITION BY page_id ORDER BY x) AS rk FROM (SELECT DISTINCT page_id, x FROM panels_cv)),

@@ -146,10 +146,10 @@ QUERIES = {
     "distance_transform": lambda s, d: _flat(S.distance_transform(_mask(s, d)), "d"),
     "region_adjacency": _adjacent,
     "watershed_label": lambda s, d: R.watershed(X.raster8(s, d)),
-    "panels_watershed": lambda s, d: R.region_boxes(R.watershed(X.raster8(s, d)), 3, 3),
+    "panels_watershed": lambda s, d: R.region_boxes(R.watershed(X.raster8(s, d)), 3, 3).withColumn("confidence", F.round("confidence", 9)),
     "slic": lambda s, d: R.superpixels(X.raster8(s, d), 4),
     "panels_superpixel": _superpixel_panels,
-    "mser": lambda s, d: R.stable_regions(X.raster8(s, d), 3, 40, delta=16),
+    "mser": lambda s, d: R.stable_regions(X.raster8(s, d), 3, 40, delta=16).withColumn("growth", F.round("growth", 9)),
     "ransac_lines": lambda s, d: R.lines(_edges(s, d).where("magnitude > 200").select("page_id", "x", "y")),
     "snake_refine": lambda s, d: R.refine_boundaries(X.raster8(s, d), X.boxes8(X.raster8(s, d))),
 }
@@ -193,8 +193,30 @@ _COMPONENTS = f""", {_MASK}, s AS (SELECT page_id, x, y, y * 8 + x AS i FROM m W
     reach AS (SELECT page_id, i, i AS j FROM s UNION SELECT r.page_id, r.i, e.j FROM reach r JOIN e ON e.page_id = r.page_id AND e.i = r.j),
     l AS (SELECT page_id, i, min(j) AS label FROM reach GROUP BY page_id, i),
     comp AS (SELECT page_id, label, min(i % 8) AS x, min(i // 8) AS y, max(i % 8) - min(i % 8) + 1 AS w, max(i // 8) - min(i // 8) + 1 AS h, (max(i % 8) - min(i % 8) + 1) * (max(i // 8) - min(i // 8) + 1) AS area, count(*) AS pixels FROM l GROUP BY page_id, label)"""
+#: Regions of the watershed on 8 x 8: seeds are connected parts of minima, then neighbours are taken in the order of the larger gradient and
+#: joined unless both have a seed; a page's labels are one list, with seeds from 1 on and other trees below 0.
+_WATERSHED = f""", gr AS MATERIALIZED (SELECT p.page_id, p.x, p.y, max(q.g) - min(q.g) AS g {_NEAR} GROUP BY p.page_id, p.x, p.y),
+    sd AS MATERIALIZED (SELECT p.page_id, p.x, p.y, p.y * 8 + p.x AS i FROM gr p JOIN gr q ON q.page_id = p.page_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.page_id, p.x, p.y, p.g HAVING p.g <= min(q.g)),
+    sr AS (SELECT page_id, i, i AS j FROM sd UNION SELECT r.page_id, r.i, t.i FROM sr r JOIN sd s ON s.page_id = r.page_id AND s.i = r.j JOIN sd t ON t.page_id = s.page_id AND abs(t.x - s.x) + abs(t.y - s.y) = 1),
+    sl AS MATERIALIZED (SELECT page_id, i, min(j) + 1 AS l FROM sr GROUP BY page_id, i),
+    st AS (SELECT g.page_id, list(coalesce(sl.l, -1 - (g.y * 8 + g.x)) ORDER BY g.y * 8 + g.x) AS l FROM gr g LEFT JOIN sl ON sl.page_id = g.page_id AND sl.i = g.y * 8 + g.x GROUP BY g.page_id),
+    eg AS MATERIALIZED (SELECT page_id, p, q, row_number() OVER (PARTITION BY page_id ORDER BY w, p, q) AS k FROM (SELECT a.page_id, a.y * 8 + a.x AS p, b.y * 8 + b.x AS q, greatest(a.g, b.g) AS w FROM gr a JOIN gr b ON b.page_id = a.page_id AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1))),
+    fl AS (SELECT page_id, 0::BIGINT AS k, l FROM st UNION ALL SELECT f.page_id, f.k + 1, CASE WHEN f.l[e.p + 1] = f.l[e.q + 1] OR f.l[e.p + 1] > 0 AND f.l[e.q + 1] > 0 THEN f.l
+        WHEN f.l[e.p + 1] > 0 THEN list_transform(f.l, lambda v: CASE WHEN v = f.l[e.q + 1] THEN f.l[e.p + 1] ELSE v END) ELSE list_transform(f.l, lambda v: CASE WHEN v = f.l[e.p + 1] THEN f.l[e.q + 1] ELSE v END) END FROM fl f JOIN eg e ON e.page_id = f.page_id AND e.k = f.k + 1),
+    ws AS MATERIALIZED (SELECT page_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, greatest(l[i], 0) AS label FROM (SELECT page_id, l, unnest(range(1, 65)) AS i FROM fl WHERE k = 112))"""
+#: Dark components of every level by the smallest index that spreads, and how much larger the one around each is 16 levels on.
+_MSER = """, lv AS MATERIALIZED (SELECT DISTINCT page_id, g AS level FROM px8), dk AS MATERIALIZED (SELECT p.page_id, level, x, y, y * 8 + x AS i FROM px8 p JOIN lv ON lv.page_id = p.page_id AND p.g <= lv.level),
+    lab AS MATERIALIZED (WITH RECURSIVE k(page_id, level, i, x, y, l) USING KEY (page_id, level, i) AS (SELECT page_id, level, i, x, y, i AS l FROM dk UNION SELECT r.page_id, r.level, r.i, r.x, r.y, min(n.l)
+        FROM (SELECT page_id, level, x + dx AS x, y + dy AS y, l FROM k CROSS JOIN (SELECT unnest([1, -1, 0, 0]) AS dx, unnest([0, 0, 1, -1]) AS dy)) n JOIN recurring.k r ON r.page_id = n.page_id AND r.level = n.level AND r.x = n.x AND r.y = n.y WHERE n.l < r.l GROUP BY r.page_id, r.level, r.i, r.x, r.y) SELECT * FROM k),
+    cs AS MATERIALIZED (SELECT page_id, level, l AS label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n FROM lab GROUP BY page_id, level, l),
+    wd AS (SELECT a.page_id, a.level, max(b.level) AS wider FROM lv a JOIN lv b ON b.page_id = a.page_id AND b.level <= a.level + 16 GROUP BY a.page_id, a.level)
+    SELECT c.page_id, c.level, c.label, c.x, c.y, c.w, c.h, c.n, (o.n - c.n)::DOUBLE / c.n AS growth FROM cs c JOIN wd ON wd.page_id = c.page_id AND wd.level = c.level JOIN lab a ON a.page_id = c.page_id AND a.level = wd.wider AND a.i = c.label JOIN cs o ON o.page_id = c.page_id AND o.level = wd.wider AND o.label = a.l
+    WHERE c.n BETWEEN 3 AND 40 QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY (o.n - c.n)::DOUBLE / c.n, c.level, c.label) <= 100"""
 
 ORACLE = {
+    "watershed_label": X.with_fixtures(f"{_WATERSHED} SELECT page_id, x, y, label FROM ws", "px8", recursive=True),
+    "panels_watershed": X.with_fixtures(f"{_WATERSHED} SELECT page_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, round(0.7::DOUBLE * (count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1))::DOUBLE), 9) AS confidence FROM ws WHERE label > 0 GROUP BY page_id, label HAVING max(x) - min(x) >= 2 AND max(y) - min(y) >= 2 AND count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1))::DOUBLE > 0.5", "px8", recursive=True),
+    "mser": X.with_fixtures(_MSER.replace("(o.n - c.n)::DOUBLE / c.n AS growth", "round((o.n - c.n)::DOUBLE / c.n, 9) AS growth"), "px8"),
     "px_colours": X.with_fixtures(f", c AS (SELECT page_id, {_BRIGHT} AS bright, r + g + b AS total, {_YCC} FROM docpx) SELECT page_id, cast(sum(cast(round(yy * 1000) AS BIGINT)) AS BIGINT) AS gray, cast(sum(total) AS BIGINT) AS bright, count(*) FILTER (yy > 60 AND cb > 85 AND cb < 135 AND cr > 135 AND cr < 180) AS skin, count(*) FILTER (bright > 80) AS over, count(*) FILTER (bright > 20 AND bright < 240) AS content_20, count(*) FILTER (bright > 10 AND bright < 245) AS content_10, count(*) FILTER (bright > 15 AND bright < 240) AS content_15 FROM c GROUP BY page_id", "docpx"),
     "px_lab": X.with_fixtures(f", u AS (SELECT page_id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM docpx), t AS (SELECT page_id, {_F(_XYZ[0])} AS x, {_F(_XYZ[1])} AS y, {_F(_XYZ[2])} AS z FROM u) SELECT page_id, " + ", ".join(f"round(sum(cast(round({e}, 4) AS DECIMAL(20, 4))), 2)::DOUBLE AS {n}" for n, e in (("l", "116 * y - 16"), ("a", "500 * (x - y)"), ("b", "200 * (y - z)"))) + " FROM t GROUP BY page_id", "docpx"),
     "px_threshold": X.with_fixtures(f", {_MASK} SELECT page_id, x, y, v FROM m", "px8"),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.operators import detectors, pages, regions, strips
+from inkgrid.operators import contours, detectors, pages, regions, strips
 from inkgrid.operators import stencils as S
 from inkgrid.sources import fixtures as X
 from inkgrid.sources import images
@@ -83,6 +83,8 @@ QUERIES = {
     "snap_edges": _snap,
     "snap_graphcut": _snap_first,
     "snk_export_blob": _exported,
+    "contour_panels": lambda s, d: contours.contour_panels(_scene(s, d)),
+    "panels_watershed_page": lambda s, d: regions.region_boxes(regions.panel_regions(_scene(s, d)), LEAST_W, LEAST_H),
     "panels_borderless": lambda s, d: detectors.borderless(_scene(s, d), 16, 16, block=16, calm=150.0),
     "panels_hierarchical": lambda s, d: detectors.hierarchical(_scene(s, d), LEAST_W, LEAST_H),
     "panels_diagonal": lambda s, d: detectors.diagonal_panels(_scene(s, d)),
@@ -151,7 +153,25 @@ _ATTEND = f""", strips AS (SELECT page_id, seq * 4 AS k, x, y - 10 AS y, w, 10 A
     e AS ({_strong("strips")}), g AS (SELECT page_id, k // 4 AS seq, max(CASE WHEN k % 4 = 0 AND s > 50 THEN 2 ELSE 0 END) AS t, max(CASE WHEN k % 4 = 1 AND s > 50 THEN 2 ELSE 0 END) AS b, max(CASE WHEN k % 4 = 2 AND s > 50 THEN 2 ELSE 0 END) AS l, max(CASE WHEN k % 4 = 3 AND s > 50 THEN 2 ELSE 0 END) AS r FROM e GROUP BY ALL)
     SELECT c.page_id, c.seq, greatest(0, c.x - l) AS x, greatest(0, c.y - t) AS y, least(64 - (c.x - l), c.w + r) AS w, least(64 - (c.y - t), c.h + b) AS h FROM cv64 c JOIN g USING (page_id, seq)"""
 
+#: Gradients with repeated borders, thinned across their direction; then pixels reachable from strong ones and from outside, and areas
+#: counted square by square.
+_CONTOURS = """, c1 AS (SELECT *, coalesce(lead(g) OVER w, g) - coalesce(lag(g) OVER w, g) AS d, coalesce(lag(g) OVER w, g) + 2 * g + coalesce(lead(g) OVER w, g) AS m3 FROM px64 WINDOW w AS (PARTITION BY page_id, y ORDER BY x)),
+    c2 AS (SELECT page_id, x, y, coalesce(lag(d) OVER w, d) + 2 * d + coalesce(lead(d) OVER w, d) AS gx, coalesce(lead(m3) OVER w, m3) - coalesce(lag(m3) OVER w, m3) AS gy FROM c1 WINDOW w AS (PARTITION BY page_id, x ORDER BY y)),
+    c3 AS (SELECT *, abs(gx) + abs(gy) AS m, coalesce(lag(abs(gx) + abs(gy)) OVER w, 0) AS l, coalesce(lead(abs(gx) + abs(gy)) OVER w, 0) AS r FROM c2 WINDOW w AS (PARTITION BY page_id, y ORDER BY x)),
+    c4 AS (SELECT *, coalesce(lag(m) OVER w, 0) AS u, coalesce(lead(m) OVER w, 0) AS d, coalesce(lag(l) OVER w, 0) AS ul, coalesce(lag(r) OVER w, 0) AS ur, coalesce(lead(l) OVER w, 0) AS dl, coalesce(lead(r) OVER w, 0) AS dr FROM c3 WINDOW w AS (PARTITION BY page_id, x ORDER BY y)),
+    thin AS MATERIALIZED (SELECT page_id, x, y, m FROM c4 WHERE m > 50 AND CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN m > l AND m >= r WHEN abs(gy) * 32768 > abs(gx) * 79109 THEN m > u AND m >= d WHEN (gx < 0) <> (gy < 0) THEN m > ur AND m > dl ELSE m > ul AND m > dr END),
+    o8 AS MATERIALIZED (SELECT dx, dy FROM (SELECT unnest(range(-1, 2)) AS dx) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy) WHERE dx <> 0 OR dy <> 0),
+    edge AS MATERIALIZED (WITH RECURSIVE e AS (SELECT page_id, x, y FROM thin WHERE m > 150 UNION SELECT t.page_id, t.x, t.y FROM (SELECT page_id, x + dx AS x, y + dy AS y FROM e CROSS JOIN o8) n JOIN thin t ON t.page_id = n.page_id AND t.x = n.x AND t.y = n.y) SELECT * FROM e),
+    back AS MATERIALIZED (SELECT page_id, x, y FROM px64 ANTI JOIN edge USING (page_id, x, y)),
+    beyond AS MATERIALIZED (WITH RECURSIVE b AS (SELECT page_id, x, y FROM back WHERE x IN (0, 63) OR y IN (0, 63) UNION SELECT t.page_id, t.x, t.y FROM (SELECT page_id, x + dx AS x, y + dy AS y FROM b CROSS JOIN o8 WHERE dx * dy = 0) n JOIN back t ON t.page_id = n.page_id AND t.x = n.x AND t.y = n.y) SELECT * FROM b),
+    inside AS MATERIALIZED (SELECT page_id, x, y, y * 64 + x AS i FROM px64 ANTI JOIN beyond USING (page_id, x, y)),
+    lab AS MATERIALIZED (WITH RECURSIVE k(page_id, i, x, y, l) USING KEY (page_id, i) AS (SELECT page_id, i, x, y, i AS l FROM inside UNION SELECT r.page_id, r.i, r.x, r.y, min(n.l) FROM (SELECT page_id, x + dx AS x, y + dy AS y, l FROM k CROSS JOIN o8) n
+        JOIN recurring.k r ON r.page_id = n.page_id AND r.x = n.x AND r.y = n.y WHERE n.l < r.l GROUP BY r.page_id, r.i, r.x, r.y) SELECT page_id, x, y, l FROM k),
+    cells AS (SELECT page_id, l, count(*) FILTER (n = 4) + 0.5::DOUBLE * count(*) FILTER (n = 3) AS area FROM (SELECT page_id, l, x + dx AS cx, y + dy AS cy, count(*) AS n FROM lab CROSS JOIN (SELECT dx, dy FROM (SELECT unnest([0, 1]) AS dx) CROSS JOIN (SELECT unnest([0, 1]) AS dy)) GROUP BY ALL) GROUP BY ALL)
+    SELECT page_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, any_value(area) AS area FROM lab JOIN cells USING (page_id, l) GROUP BY page_id, l HAVING any_value(area) > 40.96::DOUBLE"""
+
 ORACLE = {
+    "contour_panels": X.with_fixtures(_CONTOURS, "px64").replace("px64 AS (", "px64 AS MATERIALIZED (", 1),
     "fuse_cv_ml": X.with_fixtures(_FUSE, "px64", "cv64", "ml64").replace("px64 AS (", "px64 AS MATERIALIZED (", 1),
     "border_tightness": X.with_fixtures(f"SELECT page_id, seq, round(tightness, 9) AS tightness FROM ({_tight('cv64')})", "px64", "cv64"),
     "strip_content": X.with_fixtures(_strip("cv64"), "px64", "cv64"),
