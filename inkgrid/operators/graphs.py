@@ -116,9 +116,10 @@ def roots(edges: DataFrame, *by: str) -> DataFrame:
 
 def labelled(found: DataFrame, *by: str, diagonal: bool = False) -> DataFrame:
     """Runs with `root`, the first pixel of their component; only runs of equal `by` are connected."""
+    found = cut(found)
     met = touching(found, *by, diagonal=diagonal).select("page_id", *by, F.col("a.at").alias("u"), F.col("b.at").alias("v"))
     known = roots(met, "page_id", *by).select("page_id", *by, F.col("u").alias("at"), F.col("to").alias("root"))
-    return found.join(known, ["page_id", *by, "at"], "left").withColumn("root", F.coalesce("root", "at"))
+    return cut(found.join(known, ["page_id", *by, "at"], "left").withColumn("root", F.coalesce("root", "at")))
 
 
 def grid_edges(found: DataFrame, weight: str) -> DataFrame:

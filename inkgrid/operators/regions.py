@@ -283,7 +283,7 @@ def component_tree(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
     px = graphs.pixels(rasters, "width").withColumn("v", F.floor("g"))
     levels = px.groupBy("page_id").agg(F.array_sort(F.collect_set("v")).alias("levels"))  # 256 at most for images of bytes
     upto = px.join(levels, "page_id").select("page_id", "width", "x", "y", F.explode(F.expr("filter(levels, k -> k >= v)")).alias("level"))
-    found = cut(graphs.labelled(graphs.runs(upto, "width", "level"), "width", "level"))
+    found = graphs.labelled(graphs.runs(upto, "width", "level"), "width", "level")
     sizes = found.groupBy("page_id", "width", "level", "root").agg(
         F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum(F.expr("x1 - x0 + 1")).alias("n")
     )
