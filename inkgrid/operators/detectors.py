@@ -119,11 +119,16 @@ def _watershed_boxes(image: np.ndarray, least_w: float, least_h: float, fill: fl
 
 
 def watershed_panels(rasters: DataFrame, least_w: int, least_h: int) -> DataFrame:
-    """(page_id, x, y, w, h, conf) of the regions of a page's watershed."""
+    """(page_id, x, y, w, h, conf) of the regions of a page's watershed, grown over the cluster: for pages of any size."""
     found = regions.region_boxes(regions.panel_regions(rasters), least_w, least_h)
     return found.select("page_id", "x", "y", "w", "h", (100 * F.col("confidence")).alias("conf"))
 
 
+def page_watershed(rasters: DataFrame, least_w: int, least_h: int) -> DataFrame:
+    """The same for pages that fit a task, each flooded where it is: no rounds, and ties by order of arrival."""
+    return per_page(rasters, lambda image: list(map(list, zip(*_watershed_boxes(image, least_w, least_h), strict=True))) or [[]] * 5, BOX + ", conf double")
+
+
 def hierarchical(rasters: DataFrame, least_w: int, least_h: int) -> DataFrame:
     """(page_id, x, y, w, h, conf, inset): large watershed panels, or in place of one the panels found inside, if more than one."""
 
@@ -283,7 +288,7 @@ def detect(rasters: DataFrame, o: Options = Options()) -> DataFrame:
     """
     found = {"grid": gutter_grid(rasters, o)}
     if not o.fast:
-        found["watershed"] = watershed_panels(rasters, o.least_w, o.least_h)
+        found["watershed"] = page_watershed(rasters, o.least_w, o.least_h)
         found["diagonal"] = diagonal_panels(rasters)
         found["borderless"] = borderless(rasters, o.least_w, o.least_h, o.block)
         found["hierarchical"] = hierarchical(rasters, o.least_w, o.least_h)

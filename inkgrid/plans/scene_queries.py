@@ -84,7 +84,6 @@ QUERIES = {
     "snap_graphcut": _snap_first,
     "snk_export_blob": _exported,
     "contour_panels": lambda s, d: contours.contour_panels(_scene(s, d)),
-    "panels_watershed_page": lambda s, d: regions.region_boxes(regions.panel_regions(_scene(s, d)), LEAST_W, LEAST_H),
     "panels_borderless": lambda s, d: detectors.borderless(_scene(s, d), 16, 16, block=16, calm=150.0),
     "panels_hierarchical": lambda s, d: detectors.hierarchical(_scene(s, d), LEAST_W, LEAST_H),
     "panels_diagonal": lambda s, d: detectors.diagonal_panels(_scene(s, d)),

@@ -203,3 +203,22 @@ def test_average_precision(spark):
     for overlap, r in found.items():
         assert np.allclose((r["ap"], r["precision"], r["recall"]), brute_ap(labels, predictions, overlap))
     assert found[0.5]["ap"] > found[0.9]["ap"]
+
+
+def test_panel_regions_have_the_flood_s_seeds(spark):
+    """The surveyed form (blur, squares of 2, low minima within 5): seeds of a flood over one image, each pixel at its least highest step."""
+    y, x = np.mgrid[0:40, 0:48]
+    page = np.where((x % 24 < 4) | (y % 20 < 4), 250.0, 40.0 + (x * 5 + y * 3) % 30)
+    rows = regions.panel_regions(raster(spark, page.tolist(), np.full((12, 12), 9.0).tolist())).collect()
+    found = np.zeros(page.shape, int)
+    for r in rows:
+        if r["page_id"] == 0:
+            found[r["y"], r["x"]] = r["label"]
+    flooded = regions.segment(page)
+    hi, lo = regions._square_extremes(regions.stencils.blurred(page[None], 1.5)[0], 2)
+    g = hi - lo
+    seeds = regions.label(regions.stencils.minima(g[None], 0.5 * regions.otsu_level(g), 5)[0]) + 1
+    assert set(np.unique(found)) == set(np.unique(flooded)) and seeds.any()
+    assert np.allclose(bottleneck(g, found, seeds), bottleneck(g, None, seeds))
+    boxes = regions.region_boxes(regions.panel_regions(raster(spark, page.tolist())), 8, 8).collect()
+    assert all(b["x"] >= 0 and b["x"] + b["w"] <= 48 and b["confidence"] <= 0.7 for b in boxes)
