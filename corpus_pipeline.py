@@ -23,6 +23,11 @@ DEDUP_WIDTH = 5
 DEDUP_SIMILARITY = 0.8
 
 
+def _quoted(docs: DataFrame) -> list[str]:
+    """The columns of docs, whatever is in their names."""
+    return ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail the counts or lose too much go as a whole, null and empty texts among them.
     Each row is judged by itself: null and repeated ids and repeated rows stay as they are."""
@@ -38,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed.select(F.col(row).alias("id"), "text")
     placed = similar_dedup.groups(rows, DEDUP_WIDTH, DEDUP_SIMILARITY).select(F.col("id").alias(row), "root").join(keyed.select(row, "doc_id"), row)
     first = placed.groupBy("root").agg(F.coalesce(F.min_by(row, "doc_id"), F.min(row)).alias(row))
-    return keyed.join(first.select(row), row, "left_semi").select(docs.columns)
+    return keyed.join(first.select(row), row, "left_semi").select(_quoted(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Personal data become pseudonyms of the same format; n_chars follows. Every row stays; a null text stays null."""
     listed = unused(docs, "_pii")
     found = pii.pseudonymise(docs, pii.session_key(spark), found_col=listed)
-    return found.withColumn("n_chars", F.when(F.size(listed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return found.withColumn("n_chars", F.when(F.size(listed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(_quoted(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
