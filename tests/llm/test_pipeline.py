@@ -39,3 +39,9 @@ def test_stages_equal_brute_force(spark, data, tmp_path):
 def test_run_gives_the_last_stage(spark, data):
     df = corpus_pipeline.run(spark, data)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(df.columns) and df.count() > 0
+
+
+def test_stages_keep_columns_with_dots(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40).withColumnRenamed("source", "a.b").withColumnRenamed("lang", "c.d.e")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, data).columns == docs.columns
