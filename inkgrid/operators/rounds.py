@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+@cache
+def _own(_application: str) -> str:
+    """One local folder for each session that may do without a shared one."""
+    return tempfile.mkdtemp(prefix="spark-rounds-")
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder below the one in spark.checkpoint.dir. Only a local session may do without that setting."""
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir")
     if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-rounds-")
-    return f"{shared}/rounds-{uuid.uuid4().hex}"
+    return f"{shared or _own(context.applicationId)}/rounds-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
