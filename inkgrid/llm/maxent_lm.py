@@ -139,8 +139,8 @@ class _Suffixes(dict):
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w binary, c long, pairs array of (h, n)): how often each token occurs in docs, in all and behind each hash of the word
-    before it; counted in each task first. A word has at most HASHES pairs."""
+    """(w binary, c long, pairs array of n * HASHES + h): how often each token occurs in docs, in all and behind each hash h of
+    the word before it; counted in each task first. A word has at most HASHES pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes = _Suffixes()
@@ -161,7 +161,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     # One exchange by word serves both groupings.
     pairs = docs.select(text_col).mapInArrow(run, "w binary, h int, n long").repartition("w").groupBy("w", "h").agg(F.sum("n").alias("n"))
-    return pairs.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list(F.struct("h", "n")).alias("pairs"))
+    return pairs.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list(F.col("n") * HASHES + F.col("h")).alias("pairs"))
 
 
 def _step() -> Column:
@@ -242,25 +242,35 @@ def _log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 def train(context_counts: DataFrame) -> np.ndarray:
     """Weights (FEATURES, CLASSES) by ROUNDS distributed gradient updates over the count table."""
     spark = context_counts.sparkSession
-    table = cut(context_counts.repartition(GRADIENT_TASKS, "context"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros((CONTEXTS, CLASSES))
+        for batch in batches:
+            context, k, n = (c.to_numpy() for c in batch.columns)
+            np.add.at(dense, (context, k), n)
+        at = np.flatnonzero(dense.any(axis=1))
+        if len(at):
+            yield pa.record_batch([pa.array([at.tobytes()], pa.binary()), pa.array([dense[at].tobytes()], pa.binary())], names=["contexts", "counts"])
+
+    # One row for each task, of fixed size at most, which every update reads.
+    table = cut(context_counts.repartition(GRADIENT_TASKS, "context").mapInArrow(pack, "contexts binary, counts binary"))
     weights = np.zeros((FEATURES, CLASSES))
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for x, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    counts.setdefault(x, np.zeros(CLASSES))[k] += n
-            if not counts:
-                return
-            contexts, n = np.array(list(counts)), np.array(list(counts.values()))
-            p = np.exp(_log_softmax(now.value, contexts))
-            total = n.sum(axis=1, keepdims=True)
             gradient, curve = np.zeros((2, FEATURES, CLASSES))
-            for f in _features(contexts).T:
-                np.add.at(gradient, f, n - total * p)
-                np.add.at(curve, f, total * p * (1 - p))
+            for batch in batches:
+                for packed, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    contexts, n = np.frombuffer(packed, dtype=np.int64), np.frombuffer(counts).reshape(-1, CLASSES)
+                    p = np.exp(_log_softmax(now.value, contexts))
+                    total = n.sum(axis=1, keepdims=True)
+                    missed, spread = n - total * p, total * p * (1 - p)
+                    for f in _features(contexts).T:
+                        order = np.argsort(f, kind="stable")
+                        found, starts = np.unique(f[order], return_index=True)
+                        gradient[found] += np.add.reduceat(missed[order], starts)
+                        curve[found] += np.add.reduceat(spread[order], starts)
             yield pa.record_batch([pa.array([np.stack([gradient, curve]).tobytes()], pa.binary())], names=["sums"])
 
         # However many partitions the table has, GRADIENT_TASKS tasks at most sum them up and return an array of fixed size each.
@@ -300,7 +310,7 @@ class WordModel:
 def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of (class, c, pairs): how many pairs each word has, and of each pair its class, hash, count and the word's prior."""
     lengths = pc.list_value_length(batch.column("pairs")).to_numpy(zero_copy_only=False)
-    h, n = (x.to_numpy(zero_copy_only=False) for x in batch.column("pairs").flatten().flatten())
+    n, h = np.divmod(batch.column("pairs").flatten().to_numpy(zero_copy_only=False), HASHES)
     return lengths, np.repeat(batch.column("class").to_numpy(), lengths), h, n, np.repeat(batch.column("c").to_numpy() + 1.0, lengths)
 
 
@@ -355,8 +365,8 @@ def weigh_words(counts: DataFrame, vocabulary: Vocabulary, model: WordModel) ->
 
 
 def head_weights(words: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """(words in the head, HASHES) weights of the head's pairs, 0 for those that don't occur."""
-    head = words.where(_in_head(vocabulary.least)).select("w", "hs", "ts").toArrow()
+    """(words in the head, HASHES) weights of the pairs of words, those of the head, and 0 for pairs that don't occur."""
+    head = words.select("w", "hs", "ts").toArrow()
     places = {w: i for i, w in enumerate(vocabulary.counts)}
     at = np.array([places[w] for w in head["w"].to_pylist()], dtype=np.int64)
     lengths = pc.list_value_length(head["hs"]).to_numpy()
@@ -379,10 +389,12 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     vocabulary = read_vocabulary(counts)
     weights = train(count_contexts(taught, vocabulary))
     model = train_words(counts, vocabulary)
-    words = weigh_words(counts, vocabulary, model)
+    in_head = _in_head(vocabulary.least)
+    head = weigh_words(counts.where(in_head), vocabulary, model)
+    rare_words = weigh_words(counts.where(~in_head), vocabulary, model)
     # log10 of P(class | context), and of the sum that normalises the words of a class.
     by_context = _log_softmax(weights, np.arange(CONTEXTS)) / math.log(10)
-    known = spark.sparkContext.broadcast((vocabulary, by_context.ravel(), np.log10(model.sums), head_weights(words, vocabulary) / np.float32(math.log(10))))
+    known = spark.sparkContext.broadcast((vocabulary, by_context.ravel(), np.log10(model.sums), head_weights(head, vocabulary) / np.float32(math.log(10))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, by_context, log_sums, in_head = known.value
@@ -419,7 +431,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "id", "learns", "text")
     parts = keyed.mapInArrow(run, f"row long, id {kind}, learns boolean, w binary, h int, n long, n_known long, a double, m double")
-    met = parts.join(words, "w", "left")
+    met = parts.join(rare_words, "w", "left")
     own = F.col("m").isNotNull()
     weight = F.coalesce(F.get("ts", (F.array_position("hs", F.col("h")) - 1).cast("int")).cast("double"), F.lit(0.0)) / math.log(10)
     sums = met.groupBy("row").agg(
