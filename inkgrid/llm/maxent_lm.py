@@ -421,9 +421,9 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
                 # The row's own sums travel under a key that is no word and that no other row has.
                 for x, new in zip(out, (row, own_id, learns, END + str(row).encode(), None, len(words), len(words) - len(at), a, m), strict=True):
                     x.append(new)
-                for (w, h), n in rare.items():
-                    for x, new in zip(out, (row, None, None, w, h, n, None, None, None), strict=True):
-                        x.append(new)
+                none = [None] * len(rare)
+                for x, new in zip(out, ([row] * len(rare), none, none, [w for w, _ in rare], [h for _, h in rare], rare.values(), none, none, none), strict=True):
+                    x.extend(new)
                 if len(out[0]) > 100_000:
                     yield flush()
             yield flush()
