@@ -216,13 +216,14 @@ def _overlap(a: str, b: str) -> str:
     return f"CASE WHEN {common} / {small}::DOUBLE > 0.7 THEN 'contained' WHEN {iou_sql(a, b)} > 0.5 AND {small} / {large}::DOUBLE > 0.7 THEN 'duplicate' WHEN {iou_sql(a, b)} > 0.1 THEN 'partial' ELSE 'none' END"
 
 
-def _fold(order: str, first: str, step: str, out: str) -> str:
-    """A page's panels one after another, in order, as a recursive query; p is the panel, f.kept what there is."""
+def _fold(order: str, first: str, step: str, out: str, needs: str = "panels_cv", more: str = "", source: str = "panels_cv") -> str:
+    """A page's panels one after another, in order, as a recursive query; p is the panel, f.kept what there is. The panels are
+    those of source, a fixture or one of the expressions of more."""
     return X.with_fixtures(
-        f""", r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS rk FROM panels_cv),
+        f"""{more}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS rk FROM {source}),
         f AS (SELECT p.page_id, 1::BIGINT AS done, [{first}] AS kept FROM r p WHERE rk = 1 UNION ALL SELECT f.page_id, f.done + 1, {step} FROM f JOIN r p ON p.page_id = f.page_id AND p.rk = f.done + 1),
         z AS (SELECT page_id, unnest(arg_max(kept, done)) AS q FROM f GROUP BY page_id) SELECT {out} FROM z""",
-        "panels_cv",
+        needs,
         recursive=True,
     )
 
@@ -343,3 +344,28 @@ ORACLE = {
         f AS (SELECT page_id, 1::BIGINT AS k, [x] AS kept FROM s WHERE rk = 1 UNION ALL SELECT f.page_id, f.k + 1, CASE WHEN s.x - kept[len(kept)] <= 40 THEN list_append(kept[:len(kept) - 1], cast(floor((kept[len(kept)] + s.x) / 2.0::DOUBLE + 0.5) AS BIGINT)) ELSE list_append(kept, s.x) END FROM f JOIN s ON s.page_id = f.page_id AND s.rk = f.k + 1)
         SELECT page_id, unnest(arg_max(kept, k)) AS at FROM f GROUP BY page_id""", "panels_cv", recursive=True),
 }
+
+#: CRC-32 of an id's decimal digits, as eight shifts for each of its bytes.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(page_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda r, i: xor(r >> 1, (r & 1) * 3988292384))), 4294967295)"
+_BEST = f"""(SELECT *, greatest(score, (i * 37 % 100) / 100.0::DOUBLE, (page_id * 13 % 100) / 100.0::DOUBLE) AS best FROM anchors)"""
+_DECODED = f""", b AS (SELECT page_id, i AS seq, greatest(0.0::DOUBLE, (cx - w / 2) / {SCALE!r}::DOUBLE) AS x, greatest(0.0::DOUBLE, (cy - h / 2) / {SCALE!r}::DOUBLE) AS y, w / {SCALE!r}::DOUBLE AS w, h / {SCALE!r}::DOUBLE AS h, best AS conf FROM {_BEST} WHERE best >= 0.5),
+    cut AS (SELECT page_id, seq, x, y, least(w, {W} - x) AS w, least(h, {H} - y) AS h, conf FROM b WHERE least(w, {W} - x) >= 50 AND least(h, {H} - y) >= 50)"""
+_RATED = f"(SELECT page_id, seq, round(least(1.0::DOUBLE, 2.0::DOUBLE * w * h / {W * H}::DOUBLE + t / 20.0::DOUBLE), 6) AS importance FROM panels_cv)"
+_SEEN = f"""SELECT page_id, seq, '1 ' || view AS origin, x, y, w, h FROM ({ORACLE["tta"]}) UNION ALL SELECT page_id, seq, '2 ' || scale::VARCHAR, x, y, w, h FROM ({ORACLE["multi_scale"]})"""
+ORACLE |= {
+    "split_pages": X.with_fixtures(f"SELECT page_id, CASE WHEN {_CRC} % 5 < 1 THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT page_id FROM panels_cv)", "panels_cv"),
+    "yolo_decode_classes": _fold("conf DESC, seq", f"{{{_BOX}}}", f"CASE WHEN len(list_filter(f.kept, lambda k: {_IOU} > 0.4)) > 0 THEN f.kept ELSE list_append(f.kept, {{{_BOX}}}) END", "page_id, q.seq AS seq, round(q.conf, 6) AS conf", "anchors", _DECODED, "cut"),
+    "reading_order_smart": X.with_fixtures(
+        f"""{_SIG} SELECT o.page_id, o.seq, o.position FROM ({_order(True)}) o JOIN sig ON sig.page_id = o.page_id WHERE layout = 'vertical'
+        UNION ALL SELECT o.page_id, o.seq, o.position FROM ({_order(False)}) o JOIN sig ON sig.page_id = o.page_id WHERE layout = 'grid'
+        UNION ALL SELECT r.page_id, r.seq, row_number() OVER (PARTITION BY r.page_id ORDER BY importance DESC, r.seq) FROM {_RATED} r JOIN sig ON sig.page_id = r.page_id WHERE layout NOT IN ('vertical', 'grid')""",
+        "panels_cv",
+    ),
+    "advanced": X.with_fixtures(
+        f""", s AS ({_SEEN}), n AS (SELECT s.page_id, row_number() OVER (PARTITION BY s.page_id ORDER BY s.seq, origin) AS seq, s.x, s.y, s.w, s.h, c.conf FROM s JOIN panels_cv c ON c.page_id = s.page_id AND c.seq = s.seq),
+        d AS (SELECT b.page_id, b.seq, sum({iou_sql("a", "b")}) AS decay FROM n a JOIN n b ON a.page_id = b.page_id AND (a.conf > b.conf OR a.conf = b.conf AND a.seq < b.seq) AND {iou_sql("a", "b")} > 0.5 GROUP BY b.page_id, b.seq),
+        e AS (SELECT n.page_id, n.seq, n.conf / 100.0::DOUBLE * exp(-coalesce(decay, 0) / 0.5::DOUBLE) AS score FROM n LEFT JOIN d ON d.page_id = n.page_id AND d.seq = n.seq)
+        SELECT page_id, seq, round(score, 6) AS score FROM e WHERE score > 0.3""",
+        "panels_cv",
+    ),
+}
