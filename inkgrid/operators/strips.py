@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.operators import panels
+from inkgrid.operators import panels, stencils
 from inkgrid.operators.batches import _images
 
 #: What of(image, boxes) gets and gives: boxes has a row (x, y, w, h) for each panel, in order of seq; one list a column.
@@ -190,6 +190,55 @@ def grow_calm(magnitudes: DataFrame, boxes: DataFrame, strong: float = 50, most:
     return on_boxes(magnitudes, boxes, lambda m, bs: list(zip(*[one(m, *b) for b in bs], strict=True)), "x long, y long, w long, h long")
 
 
+#: Gradients of text and of motion, and how many of a 5 x 5 square's pixels, itself included, text needs more than.
+TEXT_EDGE, MOTION_EDGE, TEXT_CLUSTER = 80.0, 50.0, 10
+
+
+def _edges(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitudes and directions, 0 at the border."""
+    found = stencils.gradient(image[None])
+    return found["magnitude"][0], found["direction"][0]
+
+
+def _around(on: np.ndarray, reach: int) -> np.ndarray:
+    """How many set pixels the square around each pixel has, within the image."""
+    h, w = on.shape
+    sums = np.zeros((h + 1, w + 1), dtype=np.int64)
+    sums[1:, 1:] = on.cumsum(0).cumsum(1)
+    top, bottom = np.clip(np.arange(h) - reach, 0, h), np.clip(np.arange(h) + reach + 1, 0, h)
+    left, right = np.clip(np.arange(w) - reach, 0, w), np.clip(np.arange(w) + reach + 1, 0, w)
+    return sums[bottom][:, right] - sums[top][:, right] - sums[bottom][:, left] + sums[top][:, left]
+
+
+def panel_measures(rasters: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, seq, text, motion, bright, edge, half_bright) of every panel, from its pixels.
+
+    text: share of strong edges among others, motion: share of diagonal edges, bright: mean, all on the panel cut from its page.
+    edge and half_bright read every second pixel of both directions on the whole page: four times the share of edges, and the mean.
+    A panel off its page has 0 everywhere. A page's pixels are read once for all of its panels.
+    """
+
+    def of(image: np.ndarray, bs: np.ndarray) -> list:
+        whole, _ = _edges(image)
+        out = []
+        for x, y, w, h in bs.tolist():
+            part = _cut(image, x, y, w, h)
+            if not part.size:
+                out.append((0.0,) * 5)
+                continue
+            size, angle = _edges(part)
+            turned = np.abs(np.degrees(angle))
+            strong = size > TEXT_EDGE
+            text = strong & (_around(strong, 2) > TEXT_CLUSTER)
+            motion = (size > MOTION_EDGE) & (((turned > 30) & (turned < 60)) | ((turned > 120) & (turned < 150)))
+            half = _cut(image, x, y, w, h, 2, 2)
+            share = (_cut(whole, x, y, w, h, 2, 2) > MOTION_EDGE).mean() if half.size else 0.0
+            out.append((text.mean(), motion.mean(), part.mean(), 4 * share, half.mean() if half.size else 0.0))
+        return [list(map(float, c)) for c in zip(*out, strict=True)]
+
+    return on_boxes(rasters, boxes, of, "text double, motion double, bright double, edge double, half_bright double")
+
+
 def fuse(rasters: DataFrame, cv: DataFrame, ml: DataFrame, least_w: int, least_h: int) -> DataFrame:
     """Fuse two detectors on their pages' images: (page_id, source, seq, x, y, w, h, conf).
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.operators import contours, detectors, pages, regions, strips
+from inkgrid.operators import contours, detectors, pages, regions, scoring, strips
 from inkgrid.operators import stencils as S
 from inkgrid.sources import fixtures as X
 from inkgrid.sources import images
@@ -73,6 +73,24 @@ def _exported(s: SparkSession, d: str) -> DataFrame:
     return images.export_panels(r, _cv(r)).select("page_id", "seq", F.crc32("png").alias("crc"), F.length("png").alias("bytes"))
 
 
+def _measured(s: SparkSession, d: str) -> DataFrame:
+    """Panels with what their pixels show; scenes are gray, so that no pixel is skin."""
+    r = _scene(s, d)
+    return _cv(r).join(strips.panel_measures(r, _cv(r)), ["page_id", "seq"]).withColumn("face", F.lit(0.0))
+
+
+def _content(s: SparkSession, d: str) -> DataFrame:
+    found = _measured(s, d).withColumn("c", scoring.panel_content(F.lit(64), F.lit(64)))
+    lines = F.floor(100 * F.col("motion") + 0.5).alias("motion_lines")
+    return found.select("page_id", "seq", "c.kind", "c.confidence", F.round("text", 9).alias("text_density"), lines, F.round("bright", 6).alias("brightness"))
+
+
+def _insight(s: SparkSession, d: str) -> DataFrame:
+    found = _measured(s, d).withColumn("bright", F.col("half_bright"))
+    kind = scoring.insight_kind(F.col("edge"), F.col("bright"), 64, 64)
+    return found.select("page_id", "seq", kind.alias("kind"), F.round(scoring.panel_insight(F.col("edge"), F.lit(64), F.lit(64)), 9).alias("importance"))
+
+
 QUERIES = {
     "fuse_cv_ml": _fuse,
     "border_tightness": _tightness,
@@ -82,6 +100,8 @@ QUERIES = {
     "attention_refine": _attend,
     "snap_edges": _snap,
     "snap_graphcut": _snap_first,
+    "panel_content_measured": _content,
+    "panel_insight_measured": _insight,
     "snk_export_blob": _exported,
     "contour_panels": lambda s, d: contours.contour_panels(_scene(s, d)),
     "panels_borderless": lambda s, d: detectors.borderless(_scene(s, d), 16, 16, block=16, calm=150.0),
@@ -169,7 +189,28 @@ _CONTOURS = """, c1 AS (SELECT *, coalesce(lead(g) OVER w, g) - coalesce(lag(g)
     cells AS (SELECT page_id, l, count(*) FILTER (n = 4) + 0.5::DOUBLE * count(*) FILTER (n = 3) AS area FROM (SELECT page_id, l, x + dx AS cx, y + dy AS cy, count(*) AS n FROM lab CROSS JOIN (SELECT dx, dy FROM (SELECT unnest([0, 1]) AS dx) CROSS JOIN (SELECT unnest([0, 1]) AS dy)) GROUP BY ALL) GROUP BY ALL)
     SELECT page_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, any_value(area) AS area FROM lab JOIN cells USING (page_id, l) GROUP BY page_id, l HAVING any_value(area) > 40.96::DOUBLE"""
 
+
+
+def _sobel_sql(of: str, key: str) -> str:
+    """Expressions that end in so (key, x, y, g, m, a): magnitudes, 0 at the border, and directions in degrees, of a table of pixels."""
+    return f""", s1 AS (SELECT *, lead(g) OVER r - lag(g) OVER r AS dx, lag(g) OVER r + 2 * g + lead(g) OVER r AS sx FROM {of} WINDOW r AS (PARTITION BY {key}, y ORDER BY x)),
+    s2 AS (SELECT *, lag(dx) OVER c + 2 * dx + lead(dx) OVER c AS gx, lead(sx) OVER c - lag(sx) OVER c AS gy FROM s1 WINDOW c AS (PARTITION BY {key}, x ORDER BY y)),
+    so AS MATERIALIZED (SELECT {key}, x, y, g, coalesce(sqrt(gx * gx + gy * gy), 0) AS m, coalesce(abs(degrees(atan2(gy, gx))), 0) AS a FROM s2)"""
+
+
+_CONTENT = f""", pp AS (SELECT b.page_id, b.seq, p.x, p.y, p.g FROM cv64 b JOIN px64 p ON p.page_id = b.page_id AND p.x >= b.x AND p.x < b.x + b.w AND p.y >= b.y AND p.y < b.y + b.h){_sobel_sql("pp", "page_id, seq")},
+    t1 AS (SELECT *, sum((m > 80)::INT) OVER (PARTITION BY page_id, seq, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM so),
+    t2 AS (SELECT *, sum(n) OVER (PARTITION BY page_id, seq, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM t1),
+    e AS (SELECT page_id, seq, avg((m > 80 AND around > 10)::INT) AS text, avg((m > 50 AND (a > 30 AND a < 60 OR a > 120 AND a < 150))::INT) AS motion, avg(g) AS bright FROM t2 GROUP BY page_id, seq),
+    k AS (SELECT e.*, CASE WHEN text > 0.15 THEN 'dialogue' WHEN motion > 0.2 THEN 'action' WHEN bright > 180 AND text < 0.05 THEN 'establishing' WHEN w > 0.8 * 64 AND h < 0.2 * 64 THEN 'transition' ELSE 'mixed' END AS kind FROM e JOIN cv64 b ON b.page_id = e.page_id AND b.seq = e.seq)
+    SELECT page_id, seq, kind, CASE kind WHEN 'dialogue' THEN 0.8::DOUBLE WHEN 'action' THEN 0.75::DOUBLE WHEN 'establishing' THEN 0.65::DOUBLE WHEN 'transition' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+    round(text, 9) AS text_density, cast(floor(100 * motion + 0.5) AS BIGINT) AS motion_lines, round(bright, 6) AS brightness FROM k"""
+_INSIGHT = f"""{_sobel_sql("px64", "page_id")}, e AS (SELECT b.page_id, b.seq, b.w, b.h, 4 * avg((m > 50)::INT) AS edge, avg(g) AS bright FROM cv64 b JOIN so ON so.page_id = b.page_id AND so.x >= b.x AND so.x < b.x + b.w AND so.y >= b.y AND so.y < b.y + b.h AND (so.x - b.x) % 2 = 0 AND (so.y - b.y) % 2 = 0 GROUP BY b.page_id, b.seq, b.w, b.h)
+    SELECT page_id, seq, CASE WHEN edge > 0.3 AND w > h THEN 'action' WHEN edge > 0.2 AND h > 1.5 * w THEN 'close-up' WHEN bright > 180 AND w > 0.8 * 64 THEN 'establishing' WHEN w > 0.9 * 64 AND h < 0.2 * 64 THEN 'transition' WHEN edge > 0.15 THEN 'dialogue' ELSE 'mixed' END AS kind,
+    round(least(1.0::DOUBLE, 2.0::DOUBLE * w * h / 4096 + edge), 9) AS importance FROM e"""
 ORACLE = {
+    "panel_content_measured": X.with_fixtures(_CONTENT, "px64", "cv64"),
+    "panel_insight_measured": X.with_fixtures(_INSIGHT, "px64", "cv64"),
     "contour_panels": X.with_fixtures(_CONTOURS, "px64").replace("px64 AS (", "px64 AS MATERIALIZED (", 1),
     "fuse_cv_ml": X.with_fixtures(_FUSE, "px64", "cv64", "ml64").replace("px64 AS (", "px64 AS MATERIALIZED (", 1),
     "border_tightness": X.with_fixtures(f"SELECT page_id, seq, round(tightness, 9) AS tightness FROM ({_tight('cv64')})", "px64", "cv64"),

@@ -1,10 +1,12 @@
 """Hand-made images and panels: border rules, worked layouts, numpy references."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkgrid.operators import aggregates, panels, regions, scoring, sequences, stencils
+from inkgrid.operators import aggregates, panels, regions, scoring, sequences, stencils, strips
 from inkgrid.sources import fixtures, images
 
 
@@ -163,3 +165,45 @@ def test_exported_panels_and_dataset_description(spark):
     at = data.index(b"IDAT")
     assert zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]]) == bytes([0, 50, 100, 0, 200, 250])
     assert "nc: 1" in images.dataset_yaml("/data") and "path: /data" in images.dataset_yaml("/data")
+
+
+def test_panel_measures_equal_loops_over_pixels(spark):
+    """Text, motion and brightness on a panel's own pixels, edges on the page's; panels across and off the page, and of one pixel."""
+    import math
+
+    w, h = 23, 19
+    rng = random.Random(5)
+    g = [float(rng.choice([0, 40, 200, 255]) if x < 14 else 10 * (x + y) % 256) for y in range(h) for x in range(w)]
+    boxes = [(0, 0, 0, w, h), (1, 3, 2, 9, 8), (2, 15, 4, 30, 30), (3, -4, -3, 12, 12), (4, 5, 5, 1, 1), (5, 50, 2, 5, 5), (6, 12, 3, 2, 14)]
+    rasters = spark.createDataFrame([(1, w, h, g), (2, w, h, None)], "page_id long, width int, height int, g array<double>")
+    rows = spark.createDataFrame([(p, *b) for p in (1, 2, 3) for b in boxes], "page_id long, seq int, x long, y long, w long, h long")
+    found = {r["seq"]: r for r in strips.panel_measures(rasters, rows).collect()}
+    assert set(found) == {b[0] for b in boxes}
+
+    def edges(px):
+        out = {}
+        for (x, y) in px:
+            near = [[px.get((x + i, y + j)) for i in (-1, 0, 1)] for j in (-1, 0, 1)]
+            if any(v is None for row in near for v in row):
+                out[x, y] = (0.0, 0.0)
+                continue
+            gx = sum(k * (row[2] - row[0]) for k, row in zip((1, 2, 1), near, strict=True))
+            gy = sum(k * (near[2][i] - near[0][i]) for i, k in enumerate((1, 2, 1)))
+            out[x, y] = (math.hypot(gx, gy), abs(math.degrees(math.atan2(gy, gx))))
+        return out
+
+    page = {(x, y): g[y * w + x] for y in range(h) for x in range(w)}
+    whole = edges(page)
+    for seq, x, y, bw, bh in boxes:
+        own = {(i, j): v for (i, j), v in page.items() if x <= i < x + bw and y <= j < y + bh}
+        r = found[seq]
+        if not own:
+            assert [r[c] for c in ("text", "motion", "bright", "edge", "half_bright")] == [0.0] * 5
+            continue
+        at = edges(own)
+        text = [m > 80 and sum(at.get((i + a, j + b), (0,))[0] > 80 for a in range(-2, 3) for b in range(-2, 3)) > 10 for (i, j), (m, _) in at.items()]
+        motion = [m > 50 and (30 < a < 60 or 120 < a < 150) for m, a in at.values()]
+        half = [p for p in own if (p[0] - x) % 2 == 0 and (p[1] - y) % 2 == 0]
+        assert r["text"] == pytest.approx(sum(text) / len(own)) and r["motion"] == pytest.approx(sum(motion) / len(own)) and r["bright"] == pytest.approx(sum(own.values()) / len(own))
+        assert r["edge"] == pytest.approx(4 * sum(whole[p][0] > 50 for p in half) / len(half)) and r["half_bright"] == pytest.approx(sum(own[p] for p in half) / len(half))
+    assert found[0]["text"] > 0 and found[0]["motion"] > 0
