@@ -15,7 +15,11 @@ entries meet it first, and most are linked by that. What is left of a list is de
   they add. Two of them are similar only if their differences overlap by g(x) + g(y), with g = s / (1 + s) * size + lacking -
   size of the pivot / 2. So the pairs to look at are those that share an element among the rarest of their differences
   (the prefix filter of set joins), with enough elements left behind it to reach the overlap.
-* Entries far from their pivot are few and unlike it; they meet their lists' entries, and retained pairs are verified.
+* Entries far from their pivot are unlike it, and there may be many (pages of one template with half of their words in common). In
+  lists of up to MEET entries they meet the others one by one, which is linear in the entries. The members of longer lists go
+  through a prefix filter over their whole shingle sets: texts of n shingles are similar only if they share one of the n - sn + 1
+  that are rarest among these texts, with enough of them left behind it; a template's own shingles are not among those.
+* Lists whose entries are all connected by then ask for nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ POSITIONS = 64
 BAND = 4
 #: Shared bytes from which pairs are verified: four deviations below what a similarity of 0.8 gives (51 of 64).
 MIN_BYTES = 38
+#: Entries of a list that meet one by one; beyond, the prefix filter over whole shingle sets decides (either way is exact).
+MEET = 32
 #: Overlaps are compared with so much to spare, for sums of fractions.
 SLACK = 1e-6
 #: Shingle hashes are permuted in blocks of so many.
@@ -118,6 +124,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _hashes(text: str | None, width: int) -> np.ndarray:
+    """Distinct 64-bit numbers of a text's shingles, ascending."""
+    from xxhash import xxh64_intdigest
+
+    own = shingles(text, width)
+    return np.unique(np.fromiter(map(xxh64_intdigest, own, repeat(7)), dtype=np.uint64, count=len(own)).view(np.int64))
+
+
 def _differences(members: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(v, u, e, size, least, g) of members (v, u, apart): each element e of the difference between the shingles of u and
     those of its pivot v, how many there are, how many of them a partner shares at least, and g.
@@ -127,12 +141,6 @@ def _differences(members: DataFrame, docs: DataFrame, width: int, similarity: fl
     """
     share = similarity / (1 + similarity)
 
-    def hashes(text: str | None) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        own = shingles(text, width)
-        return np.unique(np.fromiter(map(xxh64_intdigest, own, repeat(7)), dtype=np.uint64, count=len(own)).view(np.int64))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, u, apart, pivot, text = (c.to_pylist() for c in batch.columns)
@@ -140,8 +148,8 @@ def _differences(members: DataFrame, docs: DataFrame, width: int, similarity: fl
             last, mine = None, np.array([], dtype=np.int64)
             for i, j, alone, a, b in zip(v, u, apart, pivot, text, strict=True):
                 if i != last:
-                    last, mine = i, hashes(a)
-                own = hashes(b)
+                    last, mine = i, _hashes(a, width)
+                own = _hashes(b, width)
                 lacks = np.setdiff1d(mine, own, assume_unique=True)
                 adds = np.setdiff1d(own, mine, assume_unique=True)
                 g = share * len(own) + len(lacks) - len(mine) / 2
@@ -173,6 +181,44 @@ def _overlapping(members: DataFrame, docs: DataFrame, width: int, similarity: fl
     return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
+def _elements(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(u, e, size): every shingle e of the texts of members (u), and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                own = _hashes(text.as_py(), width)
+                yield pa.record_batch([pa.array(np.full(len(own), i.as_py())), pa.array(own), pa.array(np.full(len(own), len(own)))], names=["u", "e", "size"])
+
+    texts = docs.select(F.col("id").alias("u"), "text")
+    return texts.join(members.select("u"), "u", "left_semi").mapInArrow(run, "u long, e long, size long")
+
+
+def _rarest(members: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(e, u, left, size, far, root) of members (u, far, root): the shingles of u's prefix that members of different roots
+    share, and how many of u's shingles are as frequent or more so, e included."""
+    elements = cut(_elements(members, docs, width))
+    often = elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
+    # What no other member has comes first, uncounted; the rest by frequency, in one order for all members.
+    own = W.partitionBy("u")
+    ranked = elements.join(often, "e").withColumn("rank", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "e")))
+    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(similarity * F.col("size") - SLACK) + 1)
+    posted = cut(prefix.join(members, "u").select("e", "u", (F.col("size") - F.col("rank") + 1).alias("left"), "size", "far", "root"))
+    mixed = posted.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("far").alias("asks")).where("low < high AND asks")
+    return posted.join(mixed.select("e"), "e")
+
+
+def _far_pairs(members: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of members (u, far, root), one of them far, that may be similar and aren't connected, by the prefix filter."""
+    posted = _rarest(members, docs, width, similarity)
+    share = similarity / (1 + similarity)
+    a = posted.where("far").select("e", F.col("u").alias("a"), F.col("left").alias("left_a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+    b = posted.select("e", F.col("u").alias("b"), F.col("left").alias("left_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), "far")
+    reach = F.least("left_a", "left_b") >= share * (F.col("size_a") + F.col("size_b")) - SLACK
+    met = a.join(b, "e").where((F.col("root_a") != F.col("root_b")) & (~F.col("far") | (F.col("a") < F.col("b"))) & reach)
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def _edges(docs: DataFrame, reps: DataFrame, known: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (u, v) between similar rows of docs (id, text) with distinct ids, among those of reps (id); with the known
     links (u, v), as many as connect what is similar."""
@@ -199,11 +245,16 @@ def _edges(docs: DataFrame, reps: DataFrame, known: DataFrame, width: int, simil
     more = _verify(_overlapping(members, docs, width, similarity), docs, width, similarity)
     far = entries.where("id <> pivot").join(near.select(F.col("u").alias("id"), F.col("v").alias("pivot")), ["id", "pivot"], "left_anti").select("key", "id")
     here = entries.select("key", "id").join(far.select("key").distinct(), "key", "left_semi").join(far.withColumn("far", F.lit(True)), ["key", "id"], "left")
-    placed = cut(rooted(here, "id", "root").join(prints.select("id", F.struct(*_PARTS).alias("p")), "id"))
-    ask = placed.where("far").select("key", F.col("id").alias("u"), F.col("p").alias("pu"), F.col("root").alias("ru"))
-    others = placed.select("key", F.col("id").alias("v"), F.col("p").alias("pv"), F.col("root").alias("rv"), "far")
-    met = ask.join(others, "key").where((F.col("ru") != F.col("rv")) & (F.col("far").isNull() | (F.col("u") > F.col("v"))) & (_shared("pu", "pv") >= MIN_BYTES))
-    return edges.union(more).union(_verify(met.select("u", "v").distinct(), docs, width, similarity))
+    placed = cut(rooted(here, "id", "root").withColumn("far", F.coalesce("far", F.lit(False))))
+    unsettled = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    placed = cut(placed.join(unsettled, "key"))
+    short = placed.where(F.col("n") <= MEET).join(prints.select("id", F.struct(*_PARTS).alias("p")), "id")
+    ask = short.where("far").select("key", F.col("id").alias("u"), F.col("p").alias("pu"), F.col("root").alias("ru"))
+    others = short.select("key", F.col("id").alias("v"), F.col("p").alias("pv"), F.col("root").alias("rv"), "far")
+    met = ask.join(others, "key").where((F.col("ru") != F.col("rv")) & (~F.col("far") | (F.col("u") > F.col("v"))) & (_shared("pu", "pv") >= MIN_BYTES))
+    crowd = cut(placed.where(F.col("n") > MEET).groupBy(F.col("id").alias("u")).agg(F.max("far").alias("far"), F.min("root").alias("root")))
+    rest = _far_pairs(crowd, docs, width, similarity).join(a, "u").join(b, "v").where(_shared("pu", "pv") >= MIN_BYTES)
+    return edges.union(more).union(_verify(met.select("u", "v").union(rest.select("u", "v")).distinct(), docs, width, similarity))
 
 
 def groups(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -111,6 +111,40 @@ def test_large_groups_around_and_just_below_the_similarity(spark):
     assert len({c for i, c in expected.items() if i >= 600}) > 20 and len({c for i, c in expected.items() if i < 300}) > 20
 
 
+def _pages_of_a_template(draw, n):
+    """Pages of 100 common and 100 own words, a similarity of a third; every twentieth has a near copy."""
+    common = [f"c{k}" for k in range(100)]
+    texts = {k: " ".join(common + [f"o{draw.randrange(10**9)}" for _ in range(100)]) for k in range(n)}
+    return texts | {10_000 + k: " ".join(_edited(draw, texts[k].split(), 3)) for k in range(0, n, 20)}
+
+
+def test_pages_of_a_template_do_not_meet_one_by_one(spark):
+    """Shared shingles of the prefixes, and with them the rows that the join of far entries makes, grow with the pages, not with their square."""
+    draw, met = random.Random(2), []
+    for n in (200, 400):
+        texts = _pages_of_a_template(draw, n)
+        docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+        members = docs.selectExpr("id AS u", "true AS far", "id AS root")
+        often = similar_dedup._rarest(members, docs, 5, 0.8).groupBy("e").count().collect()
+        met.append(sum(r["count"] ** 2 for r in often))
+        pairs = {(r["u"], r["v"]) for r in similar_dedup._far_pairs(members, docs, 5, 0.8).collect()}
+        assert {(10_000 + k, k) for k in range(0, n, 20)} <= pairs and len(pairs) < n
+    assert met[1] < 3 * met[0]
+
+
+def test_long_lists_of_far_entries(spark, monkeypatch):
+    """The prefix filter, with lists counted as long from three entries, against all pairs."""
+    monkeypatch.setattr(similar_dedup, "MEET", 2)
+    draw = random.Random(6)
+    texts = _pages_of_a_template(draw, 160)
+    base = [f"g{k}" for k in range(120)]
+    texts |= {20_000 + k: " ".join(_edited(draw, base, draw.choice([1, 3, 5, 30]))) for k in range(60)}
+    found = similar_dedup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA)).collect()
+    expected = brute_groups(texts)
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert all(expected[10_000 + k] == k for k in range(0, 160, 20))
+
+
 def test_similar_pairs_are_all_found(spark, data):
     """Recall on real texts against brute force over all pairs: every pair of similarity 0.8 ends in one group."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
