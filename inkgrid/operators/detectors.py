@@ -96,6 +96,18 @@ def gutter_grid(rasters: DataFrame, o: Options) -> DataFrame:
     return sequences.band_grid(*spans, o.least_w, o.least_h).withColumn("conf", F.lit(70.0))
 
 
+def row_bands(rasters: DataFrame, bright: float = 200.0, least_h: int = 8) -> DataFrame:
+    """(page_id, x, y, w, h, conf) of the runs of at least least_h rows whose mean is below bright, as wide as the page; the darker
+    the surer. Pages without pixels have none."""
+    sums = F.expr("transform(sequence(0, height - 1), r -> aggregate(slice(g, r * width + 1, width), 0D, (a, v) -> a + v))")
+    rows = rasters.where("width > 0 AND height > 0 AND g IS NOT NULL").select("page_id", "width", F.posexplode(sums).alias("y", "total"))
+    full = rows.where(F.col("total") < bright * F.col("width"))
+    run = F.col("y") - F.row_number().over(W.partitionBy("page_id").orderBy("y"))
+    found = full.withColumn("run", run).groupBy("page_id", "run", "width").agg(F.min("y").alias("y"), F.count("*").alias("h"), F.sum("total").alias("total")).where(F.col("h") >= least_h)
+    sure = 100.0 * (1.0 - F.col("total") / (255.0 * F.col("h") * F.col("width")))
+    return found.select("page_id", F.lit(0).cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("width").cast("long").alias("w"), "h", sure.alias("conf"))
+
+
 def borderless(rasters: DataFrame, least_w: int, least_h: int, block: int = 50, calm: float = 30.0, content: float = 0.3) -> DataFrame:
     """Panels without borders: blocks with content and weak edges, grown on all sides until an edge is strong."""
 

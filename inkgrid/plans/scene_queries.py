@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.operators import contours, detectors, pages, regions, scoring, strips
+from inkgrid.operators import contours, detectors, pages, regions, scoring, strips, views
 from inkgrid.operators import stencils as S
 from inkgrid.sources import fixtures as X
 from inkgrid.sources import images
@@ -91,7 +91,14 @@ def _insight(s: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "seq", kind.alias("kind"), F.round(scoring.panel_insight(F.col("edge"), F.lit(64), F.lit(64)), 9).alias("importance"))
 
 
+def _scored(found: DataFrame) -> DataFrame:
+    return found.select("page_id", "seq", "view", "x", "y", "w", "h", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
+    "tta_detected": lambda s, d: _scored(views.detect_on(_scene(s, d), detectors.row_bands)),
+    "multi_scale_detected": lambda s, d: _scored(views.detect_on(_scene(s, d), detectors.row_bands, views.SCALED)),
+    "advanced_detected": lambda s, d: _scored(views.advanced(_scene(s, d), {"bands": detectors.row_bands})),
     "fuse_cv_ml": _fuse,
     "border_tightness": _tightness,
     "strip_content": _strips,
@@ -208,7 +215,38 @@ _CONTENT = f""", pp AS (SELECT b.page_id, b.seq, p.x, p.y, p.g FROM cv64 b JOIN
 _INSIGHT = f"""{_sobel_sql("px64", "page_id")}, e AS (SELECT b.page_id, b.seq, b.w, b.h, 4 * avg((m > 50)::INT) AS edge, avg(g) AS bright FROM cv64 b JOIN so ON so.page_id = b.page_id AND so.x >= b.x AND so.x < b.x + b.w AND so.y >= b.y AND so.y < b.y + b.h AND (so.x - b.x) % 2 = 0 AND (so.y - b.y) % 2 = 0 GROUP BY b.page_id, b.seq, b.w, b.h)
     SELECT page_id, seq, CASE WHEN edge > 0.3 AND w > h THEN 'action' WHEN edge > 0.2 AND h > 1.5 * w THEN 'close-up' WHEN bright > 180 AND w > 0.8 * 64 THEN 'establishing' WHEN w > 0.9 * 64 AND h < 0.2 * 64 THEN 'transition' WHEN edge > 0.15 THEN 'dialogue' ELSE 'mixed' END AS kind,
     round(least(1.0::DOUBLE, 2.0::DOUBLE * w * h / 4096 + edge), 9) AS importance FROM e"""
+_AUGMENTED = "('flip_h', true, false, 1.0::DOUBLE, 64), ('flip_v', false, true, 1.0::DOUBLE, 64), ('scale_0.9', false, false, 0.9::DOUBLE, 64), ('scale_1.1', false, false, 1.1::DOUBLE, 64)"
+_SCALED = "('scale_0.5', false, false, 0.5::DOUBLE, 32), ('scale_1.0', false, false, 1.0::DOUBLE, 64), ('scale_1.5', false, false, 1.5::DOUBLE, 96)"
+
+
+def _viewed(shown: str) -> str:
+    """Expressions that end in nb (page_id, seq, view, x, y, w, h, conf): bands of dark rows on views (name, mirrored, upside down, scale, size), back on pages."""
+    return f""", vw(view, mx, my, s, n) AS (VALUES {shown}), tg AS MATERIALIZED (SELECT *, unnest(range(n)) AS t FROM vw),
+    xs AS (SELECT view, CASE WHEN mx THEN 63 - t ELSE floor((t + 0.5::DOUBLE) / s) END AS src FROM tg), ys AS (SELECT view, t, n, CASE WHEN my THEN 63 - t ELSE floor((t + 0.5::DOUBLE) / s) END AS src FROM tg),
+    line AS MATERIALIZED (SELECT p.page_id, xs.view, p.y, sum(p.g) AS total FROM px64 p JOIN xs ON xs.src = p.x GROUP BY ALL),
+    vr AS (SELECT pg.page_id, ys.view, ys.t AS y, ys.n, coalesce(line.total, 0) AS total FROM (SELECT DISTINCT page_id FROM px64) pg CROSS JOIN ys LEFT JOIN line ON line.page_id = pg.page_id AND line.view = ys.view AND line.y = ys.src),
+    isl AS (SELECT *, y - row_number() OVER (PARTITION BY page_id, view ORDER BY y) AS k FROM vr WHERE total < 200 * n),
+    bd AS (SELECT page_id, view, min(y) AS y, count(*) AS h, any_value(n) AS w, 100 * (1 - sum(total) / (255.0::DOUBLE * count(*) * any_value(n))) AS conf FROM isl GROUP BY page_id, view, k HAVING count(*) >= 8),
+    bk AS (SELECT bd.page_id, bd.view, floor(CASE WHEN my THEN 64 - y - h ELSE y END / s + 0.5)::BIGINT AS y, floor(h / s + 0.5)::BIGINT AS h, floor(w / s + 0.5)::BIGINT AS w, conf FROM bd JOIN vw USING (view)),
+    nb AS MATERIALIZED (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY view, greatest(0, y), conf) AS seq, view, 0::BIGINT AS x, greatest(0, y) AS y, least(64, w) AS w, least(64, y + h) - greatest(0, y) AS h, conf FROM bk WHERE least(64, y + h) > greatest(0, y))"""
+
+
+def _softly(of: str) -> str:
+    """Soft suppression of a table (page_id, seq, view, x, y, w, h, conf)."""
+    both = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+    return f""", io AS (SELECT b.page_id, b.seq, ({both})::DOUBLE / (a.w * a.h + b.w * b.h - {both}) AS iou FROM {of} a JOIN {of} b ON a.page_id = b.page_id AND (a.conf > b.conf OR a.conf = b.conf AND a.seq < b.seq)),
+    dc AS (SELECT page_id, seq, sum(iou) AS decay FROM io WHERE iou > 0.5 GROUP BY page_id, seq), sc AS (SELECT n.*, conf / 100.0::DOUBLE * exp(-coalesce(decay, 0) / 0.5::DOUBLE) AS score FROM {of} n LEFT JOIN dc ON dc.page_id = n.page_id AND dc.seq = n.seq)
+    SELECT page_id, seq, view, x, y, w, h, round(score, 6) AS score FROM sc WHERE score > 0.3"""
+
+
+#: Each side moves out by two pixels where the strip of ten outside it is strong.
+_MOVED = f""", st AS (SELECT page_id, seq * 4 AS k, x, y - 10 AS y, w, 10 AS h FROM nb UNION ALL SELECT page_id, seq * 4 + 1, x, y + h, w, 10 FROM nb UNION ALL SELECT page_id, seq * 4 + 2, x - 10, y, 10, h FROM nb UNION ALL SELECT page_id, seq * 4 + 3, x + w, y, 10, h FROM nb),
+    eg AS ({_strong("st")}), gr AS (SELECT page_id, k // 4 AS seq, max(CASE WHEN k % 4 = 0 AND s > 50 THEN 2 ELSE 0 END) AS t, max(CASE WHEN k % 4 = 1 AND s > 50 THEN 2 ELSE 0 END) AS b, max(CASE WHEN k % 4 = 2 AND s > 50 THEN 2 ELSE 0 END) AS l, max(CASE WHEN k % 4 = 3 AND s > 50 THEN 2 ELSE 0 END) AS r FROM eg GROUP BY ALL),
+    mo AS MATERIALIZED (SELECT nb.page_id, nb.seq, view, greatest(0, x - l) AS x, greatest(0, y - t) AS y, least(64 - (x - l), w + r) AS w, least(64 - (y - t), h + b) AS h, conf FROM nb JOIN gr USING (page_id, seq))"""
 ORACLE = {
+    "tta_detected": X.with_fixtures(_viewed(_AUGMENTED) + _softly("nb"), "px64"),
+    "multi_scale_detected": X.with_fixtures(_viewed(_SCALED) + _softly("nb"), "px64"),
+    "advanced_detected": X.with_fixtures(_viewed(_AUGMENTED + ", " + _SCALED) + _MOVED + _softly("mo"), "px64"),
     "panel_content_measured": X.with_fixtures(_CONTENT, "px64", "cv64"),
     "panel_insight_measured": X.with_fixtures(_INSIGHT, "px64", "cv64"),
     "contour_panels": X.with_fixtures(_CONTOURS, "px64").replace("px64 AS (", "px64 AS MATERIALIZED (", 1),
