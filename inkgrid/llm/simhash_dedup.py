@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .components import components
@@ -208,9 +209,12 @@ def _index(entries: DataFrame, masks: list[tuple[int | None, int, int]]) -> Data
 def link(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Return (fp, component_id) for every fingerprint of prints (id_col, fp).
 
-    The representative of equal fingerprints is their smallest id; null ids are left out.
+    The representative of equal fingerprints is their smallest id; null ids are left out. Ids that are no integers are
+    linked by numbers of their own, one for each fingerprint, and the smallest id of a component is looked up after.
     """
-    entries = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep")))
+    numbers = isinstance(prints.schema[id_col].dataType, T.IntegralType)
+    entries = prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least"))
+    entries = cut(entries.withColumn("rep", F.col("least") if numbers else F.monotonically_increasing_id()))
     first = cut(_links(_index(entries, [(None, k, _mask(t)) for k, t in enumerate(TRIPLES)]), LIST_LIMIT))
     edges = first.where("u is not null").select("u", "v")
     long_lists = first.where("u is null").select(F.col("v").alias("rep"), "fp", "list")
@@ -218,13 +222,18 @@ def link(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
         again = _index(long_lists, [(t, k, _mask(TRIPLES[t] + p)) for k, (t, p) in enumerate(_FIVES)])
         edges = edges.union(_links(again, None).select("u", "v"))
     roots = components(edges)
-    return entries.join(roots, F.col("rep") == F.col("vertex"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    rooted = entries.join(roots, F.col("rep") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "rep").alias("component_id"))
+    if numbers:
+        return rooted.drop("least")
+    named = rooted.groupBy("component_id").agg(F.min("least").alias("name"))
+    return rooted.join(named, "component_id").select("fp", F.col("name").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return id_col, fingerprint (16 hex digits) and component_id for every row of docs.
 
-    component_id is the smallest id that is reachable over links of at most 3 differing bits, the row's own included.
+    Ids may be of any type that has an order. component_id is the smallest id that is reachable over links of at most 3
+    differing bits, the row's own included.
     Null, empty and blank texts have fingerprint zero and are linked like any other. Rows with equal ids are one
     vertex if their fingerprints are equal, and otherwise each row follows its own fingerprint. A null id is no
     vertex: its row has a null component_id. Other columns are not read; an empty table gives an empty result.

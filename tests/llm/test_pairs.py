@@ -248,3 +248,10 @@ def test_parent_is_quoted_at_the_lowest_level_and_however_wrapped(spark):
     assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in found} == {
         (1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): 1, (2, 0): None, (2, 1): None, (2, 2): 0, (2, 3): 0, (3, 0): None, (3, 1): None, (3, 2): 1,
     }
+
+
+def test_ids_of_any_ordered_type(spark):
+    texts = {"b": "one two three four", "a": "one two three four", "c": "five six seven eight nine", "é": None, "d": "", "": "five six seven eight nine"}
+    rows = [*texts.items(), (None, "one two three four")]
+    found = simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {"a": "a", "b": "a", "c": "", "": "", "d": "d", "é": "d", None: None}
