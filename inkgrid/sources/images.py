@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inkgrid.operators.rounds import running
+
 #: Image file suffixes.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 LARGEST_SIDE = 2000
@@ -110,11 +112,12 @@ def dataset_yaml(folder: str, names: tuple[str, ...] = ("panel",)) -> str:
 def split_every(pages: DataFrame, every: int = 5, bucket: int = 1024) -> DataFrame:
     """(page_id, split): every so many pages in order of their integer ids are val, from the first on.
 
-    Pages are numbered within buckets of ids, and only the buckets' sizes are summed up in one order.
+    Pages are numbered within buckets of ids; the buckets' sizes are summed up in order over range partitions, so that no task
+    holds them all.
     """
     ids = pages.select("page_id").distinct().withColumn("bucket", F.floor(F.col("page_id") / bucket))
     sizes = ids.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("bucket", F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = running(sizes, [F.col("bucket")], {"upto": "n"}).select("bucket", (F.col("upto") - F.col("n")).alias("before"))
     place = F.row_number().over(W.partitionBy("bucket").orderBy("page_id")) - 1
     return ids.withColumn("i", place).join(before, "bucket").select("page_id", F.when((F.col("i") + F.col("before")) % every == 0, "val").otherwise("train").alias("split"))
 
