@@ -10,6 +10,10 @@ shuffled: the plan is scan -> map.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -49,6 +53,29 @@ def splits_at_space(tok) -> bool:
     return ids(" a  b\n") == ids("a") + ids("b") and not ids(" \n\t")
 
 
+#: Printable characters of ASCII, Latin-1 and Latin Extended-A, but those whose lower case is more than one. NFC leaves texts of
+#: these as they are, and their categories are the same in all versions of Unicode.
+_LATIN = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x180)]) if len(c.lower()) == 1]
+_all_latin = re.compile(f"[{re.escape(''.join(_LATIN))} ]*").fullmatch
+
+
+def latin_pretokens(tok) -> re.Pattern | None:
+    """What this tokenizer cuts lower-cased texts of _LATIN and blanks into, or a blank; None if it isn't known to make them
+    lower case, take the matches of a pattern, and turn these into bytes."""
+    rules = json.loads(tok.to_str())
+    normal, cuts = ((rules[of] or {}).get(f"{of.replace('_', '')}s", []) for of in ("normalizer", "pre_tokenizer"))
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if normal != [{"type": "NFC"}, blanks, {"type": "Lowercase"}] or len(cuts) != 2:
+        return None
+    split, level = cuts
+    if split | {"pattern": 0} != {"type": "Split", "pattern": 0, "behavior": "Removed", "invert": True} or level | {"trim_offsets": 0} != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": 0, "use_regex": False}:
+        return None
+    pattern = split["pattern"].get("Regex", r"\p")
+    for kind in "LN":
+        pattern = pattern.replace(f"\\p{{{kind}}}", "".join(c for c in _LATIN if unicodedata.category(c)[0] == kind))
+    return None if re.search(r"\\[^s]", pattern) else re.compile(f"{pattern}| ")
+
+
 class PieceCache:
     """Worker-side caches with bounded memory: from a white-space separated piece to its ids (or only their number), and,
     for pieces at first sight, from the tokenizer's own pre-tokens to theirs."""
@@ -60,6 +87,8 @@ class PieceCache:
         self.by_piece: dict = dict(self.seed)
         self.by_pretoken: dict[str, bytes] = {}
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.latin = latin_pretokens(self.tok)
+        self.bytes_of = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN} if self.latin else {}
 
     def whole(self, text: str):
         """A whole text by the library."""
@@ -68,11 +97,13 @@ class PieceCache:
     def fill(self, texts: list[list[str]]) -> dict:
         """Encode the pieces of split texts that the cache lacks; short ones are kept, long ones returned.
 
-        A full cache starts anew before, so that all pieces of these texts are there afterwards.
+        A full cache starts anew before, with what it has of these texts, so that frequent pieces stay and all pieces of
+        these texts are there afterwards.
         """
+        wanted = set().union(*texts)
         if len(self.by_piece) > CACHE_ENTRIES + len(self.seed):
-            self.by_piece = dict(self.seed)
-        missing, extra = list(set().union(*texts).difference(self.by_piece)), {}
+            self.by_piece = self.seed | {p: self.by_piece[p] for p in wanted.intersection(self.by_piece)}
+        missing, extra = list(wanted.difference(self.by_piece)), {}
         for start in range(0, len(missing), 4096):
             part = missing[start : start + 4096]
             for piece, ids in zip(part, self._encode(part), strict=True):
@@ -80,28 +111,35 @@ class PieceCache:
         return extra
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space, through the tokenizer's own normaliser, pre-tokeniser and model in turn.
-
-        Pieces that hold a special string, and those that normalising breaks up, go to the library whole.
-        """
+        """Ids of pieces without white space: those of _LATIN through the tokenizer's own model, by pre-tokens; others, and
+        those that hold a special string, by the library whole."""
         joined = " ".join(pieces)
-        normal = self.tok.normalizer.normalize_str(joined) if self.tok.normalizer else joined
-        ends = np.cumsum([len(n) + 1 for n in normal.split(" ")])
-        if self.tok.pre_tokenizer is None or len(ends) != len(pieces) or any(a in joined for a in self.added):
+        if self.latin is None or any(a in joined for a in self.added):
             return encode_pieces(self.tok, pieces)
+        if not _all_latin(joined):
+            found: list = [p if _all_latin(p) else None for p in pieces]
+            odd = iter(encode_pieces(self.tok, [p for p, f in zip(pieces, found, strict=True) if f is None]))
+            plain = iter(self._encode([f for f in found if f is not None]))
+            return [next(odd if f is None else plain) for f in found]
+        if not pieces:
+            return []
         if len(self.by_pretoken) > CACHE_ENTRIES:
             self.by_pretoken.clear()
         known, tokenize = self.by_pretoken, self.tok.model.tokenize
-        parts: list[list[bytes]] = [[] for _ in pieces]
-        found = self.tok.pre_tokenizer.pre_tokenize_str(normal)
-        for (pretoken, _), at in zip(found, np.searchsorted(ends, [s for _, (s, _) in found], side="right").tolist(), strict=True):
-            ids = known.get(pretoken)
-            if ids is None:
-                ids = np.asarray([t.id for t in tokenize(pretoken)], dtype="<u4").tobytes()
-                if len(pretoken) <= CACHE_CHARS:
-                    known[pretoken] = ids
-            parts[at].append(ids)
-        return [b"".join(p) for p in parts]
+        parts = self.latin.findall(joined.lower())
+        fresh = {" ": b" "}  # a blank ends a piece
+        for p in set(parts).difference(known, fresh):
+            ids = [t.id for t in tokenize(p if p.isascii() else p.translate(self.bytes_of))]
+            (known if len(p) <= CACHE_CHARS else fresh)[p] = struct.pack(f"<{len(ids)}I", *ids)
+        out, start = [], 0
+        ends = [k for k, p in enumerate(parts) if p == " "]
+        for end in [*ends, len(parts)]:
+            if end - start == 1 and parts[start] in known:
+                out.append(known[parts[start]])
+            else:
+                out.append(b"".join([known[p] if p in known else fresh[p] for p in parts[start:end]]))
+            start = end + 1
+        return out
 
 
 def text_groups(texts: list[str | None]) -> Iterator[list[str]]:

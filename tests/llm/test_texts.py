@@ -375,3 +375,23 @@ def test_the_key_is_in_no_plan(spark):
     codegen = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
     for shown in (q.toString(), q.executedPlan().toString(), q.optimizedPlan().toString(), q.explainString(codegen)):
         assert "KEYTHATNOBODYSEES" not in shown
+
+
+def test_new_pieces_of_latin_letters_do_not_need_the_librarys_slow_way(monkeypatch):
+    """Most pieces of a corpus are seen once or twice; those of Latin letters go straight to the tokenizer's model."""
+    own = token_counts.PieceCache(PATH, False)
+    r = random.Random(3)
+    pieces = sorted({"".join(r.choice(token_counts._LATIN) for _ in range(r.randint(1, 9))) for _ in range(4000)} | {"We'LL", "ÉTÉ's", "12½", "it's,###", "ĿſŸ"})
+    wanted = [np.asarray(encoded(p), "<u4").tobytes() for p in pieces]
+    monkeypatch.setattr(own, "tok", type("Only", (), {"model": own.tok.model})())
+    assert own._encode(pieces) == wanted
+    assert own._encode([]) == []
+
+
+def test_a_full_cache_keeps_frequent_pieces(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 3)
+    own = token_counts.PieceCache(PATH, False)
+    own.fill([["a", "b", "c", "d", "e"]])
+    monkeypatch.setattr(own, "_encode", lambda pieces: [b"new"] * len(pieces))
+    own.fill([["a", "f"]])
+    assert own.by_piece["a"] != b"new" and own.by_piece.keys() == {"a", "f"}
