@@ -63,6 +63,9 @@ HASHES = 32
 BEGIN = 0
 WORD_ROUNDS = 4
 WORD_RIDGE = 5.0
+#: From so many endings on, classes and buckets repeat; what a place in the head adds to a word's code.
+ENDINGS = math.lcm(ENDING_CLASSES, BUCKETS - 1 - OWN_BUCKETS)
+PLACE = CLASSES * BUCKETS * HASHES
 #: Distinct words that a counting task holds before it passes them on, and that a scoring task remembers.
 HELD_WORDS = 500_000
 
@@ -108,14 +111,20 @@ class _Codes(dict):
     def __init__(self, vocabulary: Vocabulary):
         self.classes, self.buckets = vocabulary.class_of(), vocabulary.bucket_of()
         self.places = {w: i for i, w in enumerate(vocabulary.counts, 1)}
+        # Most words are seen once or twice in a task; what their endings give is worked out beforehand.
+        self.endings = [self._code(OWN_CLASSES + e % ENDING_CLASSES, 1 + OWN_BUCKETS + e % (BUCKETS - 1 - OWN_BUCKETS)) for e in range(ENDINGS)]
+
+    @staticmethod
+    def _code(c: int, b: int) -> int:
+        return (c * BUCKETS + b) * HASHES
 
     def __missing__(self, word: bytes) -> int:
-        e = _ending(word)
-        c = self.classes.get(word, OWN_CLASSES + e % ENDING_CLASSES)
-        b = self.buckets.get(word, 1 + OWN_BUCKETS + e % (BUCKETS - 1 - OWN_BUCKETS))
+        code = self.endings[_ending(word) % ENDINGS]
+        if word in self.classes:
+            code = self._code(self.classes[word], self.buckets.get(word, code // HASHES % BUCKETS))
         if len(self) > HELD_WORDS:
             self.clear()
-        self[word] = code = ((self.places.get(word, 0) * CLASSES + c) * BUCKETS + b) * HASHES + _hash(word)
+        self[word] = code = self.places.get(word, 0) * PLACE + code + _hash(word)
         return code
 
     def split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,13 +137,16 @@ class _Codes(dict):
         return places - 1, classes, buckets[1:-1] * BUCKETS + buckets[:-2], np.concatenate([[BEGIN], hashes[:-1]])
 
 
+_BYTES = [bytes([h]) for h in range(HASHES)]
+
+
 class _Suffixes(dict):
     """word -> its hash as one byte; bounded."""
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > HELD_WORDS:
             self.clear()
-        self[word] = suffix = bytes([_hash(word)])
+        self[word] = suffix = _BYTES[_hash(word)]
         return suffix
 
 
@@ -401,12 +413,14 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
         coded = _Codes(vocabulary)
         plus_one = np.log10(np.fromiter(vocabulary.counts.values(), dtype=np.float64, count=len(vocabulary.counts)) + 1)
         for batch in batches:
-            kinds = (pa.int64(), batch.schema.field("id").type, pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            out: list[list] = [[] for _ in kinds]
-
-            def flush(out: list[list] = out, kinds: tuple = kinds) -> pa.RecordBatch:
-                made = pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "id", "learns", "w", "h", "n", "n_known", "a", "m"])
-                for x in out:
+            kinds = {"row": pa.int64(), "id": batch.schema.field("id").type, "learns": pa.bool_(), "w": pa.binary(), "h": pa.int32(), "n": pa.int64(), "n_known": pa.int64(), "a": pa.float64(), "m": pa.float64()}
+            sums: dict[str, list] = {c: [] for c in kinds if c != "h"}
+            asked: dict[str, list] = {c: [] for c in ("row", "w", "h", "n")}
+
+            def flush(found: dict[str, list], kinds: dict = kinds) -> pa.RecordBatch:
+                size = len(found["row"])
+                made = pa.record_batch([pa.array(found[c], k) if c in found else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
+                for x in found.values():
                     x.clear()
                 return made
 
@@ -416,17 +430,18 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
                 found = places >= 0
                 m = float((by_context[contexts * CLASSES + classes] - log_sums[classes, before]).sum() + in_head[places[found], before[found]].sum(dtype=np.float64))
                 at = np.flatnonzero(~found)
-                rare = Counter(zip([words[i] for i in at], before[at].tolist(), strict=True))
+                rare = Counter(zip([words[i] for i in at.tolist()], before[at].tolist(), strict=True))
                 a = float(plus_one[places[found]].sum())
                 # The row's own sums travel under a key that is no word and that no other row has.
-                for x, new in zip(out, (row, own_id, learns, END + str(row).encode(), None, len(words), len(words) - len(at), a, m), strict=True):
+                for x, new in zip(sums.values(), (row, own_id, learns, END + str(row).encode(), len(words), len(words) - len(at), a, m), strict=True):
                     x.append(new)
-                none = [None] * len(rare)
-                for x, new in zip(out, ([row] * len(rare), none, none, [w for w, _ in rare], [h for _, h in rare], rare.values(), none, none, none), strict=True):
-                    x.extend(new)
-                if len(out[0]) > 100_000:
-                    yield flush()
-            yield flush()
+                if rare:
+                    for x, new in zip(asked.values(), ([row] * len(rare), *zip(*rare, strict=True), rare.values()), strict=True):
+                        x.extend(new)
+                if len(asked["row"]) > 100_000:
+                    yield flush(asked)
+            yield flush(sums)
+            yield flush(asked)
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "id", "learns", "text")
