@@ -18,6 +18,8 @@ from inkgrid.llm.common import cut, ensure_checkpoints, table, unused
 #: Parameters of the stages.
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
+#: Pieces of text whose tokens a worker remembers: it is kept for the stages of the next job, whose memory that takes.
+CACHE_ENTRIES = 100_000
 #: Words of a shingle and similarity of two documents' shingles for the near-duplicate stage.
 DEDUP_WIDTH = 5
 DEDUP_SIMILARITY = 0.8
@@ -61,7 +63,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left, tokenised and packed, with the token ids of every piece. Every row is a document, whatever
     its id; a null text is the separator alone."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), CAPACITY, with_ids=True)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), CAPACITY, with_ids=True, cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [

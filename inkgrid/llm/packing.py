@@ -65,20 +65,20 @@ class SumOfSquares:
             self.open[gap].append(sequence)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int | None = None) -> DataFrame:
     """Tokenise and cut: (id_col, piece, start, length, ids_crc32), and ids (array of int) if asked for.
 
     A document is its tokens and one separator, id 0; only longer ones are cut, and only their last piece is shorter
-    than capacity. A null text counts as empty, so it is the separator alone.
+    than capacity. A null text counts as empty, so it is the separator alone. cache_entries bounds what a worker remembers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_cache(path, False)
+        own = worker_cache(path, False, entries=cache_entries)
         by_space = splits_at_space(own.tok)
         width = 4 * capacity
         for batch in batches:
             at = 0
-            for group in text_groups(batch.column(1).to_pylist()):
+            for group in text_groups(t.as_py() for t in batch.column(1)):
                 split = [text.split() if by_space else [] for text in group]
                 extra = own.fill(split)
                 rows: list[tuple] = []
@@ -126,14 +126,14 @@ def place(found: DataFrame, shards: int, capacity: int = 2048) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields] + ["sequence_id long", "offset long"]))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int | None = None) -> DataFrame:
     """Tokenise, cut and place: (id_col, piece, start, length, ids_crc32, sequence_id, offset), and ids if asked for.
 
     Every row of docs is a document, with repeated and null ids too. Other columns are not read; an empty table gives
     an empty result. Token ids are written once and joined to their places; placing itself only sees rows of numbers.
     """
     shards = max(1, -(-docs.count() // SHARD_DOCS))
-    found = pieces(docs, path, capacity, id_col, text_col, with_ids)
+    found = pieces(docs, path, capacity, id_col, text_col, with_ids, cache_entries)
     if not with_ids:
         return place(found, shards, capacity)
     row = unused(found, "_row")

@@ -108,7 +108,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, left, right = (c.to_pylist() for c in batch.columns)
+            u, v = (c.to_pylist() for c in batch.columns[:2])
+            left, right = ((t.as_py() for t in c) for c in batch.columns[2:])  # one text at a time, not a batch's
             kept, last, mine = [], None, set()
             for k, (i, a, b) in enumerate(zip(v, left, right, strict=True)):
                 if i != last:
@@ -143,7 +144,8 @@ def _differences(members: DataFrame, docs: DataFrame, width: int, similarity: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, u, apart, pivot, text = (c.to_pylist() for c in batch.columns)
+            v, u, apart = (c.to_pylist() for c in batch.columns[:3])
+            pivot, text = ((t.as_py() for t in c) for c in batch.columns[3:])
             out: list[list] = [[], [], [], [], [], []]
             last, mine = None, np.array([], dtype=np.int64)
             for i, j, alone, a, b in zip(v, u, apart, pivot, text, strict=True):

@@ -14,7 +14,7 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -80,7 +80,8 @@ class PieceCache:
     """Worker-side caches with bounded memory: from a white-space separated piece to its ids (or only their number), and,
     for pieces at first sight, from the tokenizer's own pre-tokens to theirs."""
 
-    def __init__(self, path: str, lengths_only: bool, seed: dict | None = None):
+    def __init__(self, path: str, lengths_only: bool, seed: dict | None = None, entries: int | None = None):
+        self.entries = CACHE_ENTRIES if entries is None else entries
         self.tok = tokenizer(path)
         self.value = (lambda b: len(b) // 4) if lengths_only else bytes
         self.seed = seed or {}
@@ -101,7 +102,7 @@ class PieceCache:
         these texts are there afterwards.
         """
         wanted = set().union(*texts)
-        if len(self.by_piece) > CACHE_ENTRIES + len(self.seed):
+        if len(self.by_piece) > self.entries + len(self.seed):
             self.by_piece = self.seed | {p: self.by_piece[p] for p in wanted.intersection(self.by_piece)}
         missing, extra = list(wanted.difference(self.by_piece)), {}
         for start in range(0, len(missing), 4096):
@@ -123,7 +124,7 @@ class PieceCache:
             return [next(odd if f is None else plain) for f in found]
         if not pieces:
             return []
-        if len(self.by_pretoken) > CACHE_ENTRIES:
+        if len(self.by_pretoken) > self.entries:
             self.by_pretoken.clear()
         known, tokenize = self.by_pretoken, self.tok.model.tokenize
         parts = self.latin.findall(joined.lower())
@@ -142,7 +143,7 @@ class PieceCache:
         return out
 
 
-def text_groups(texts: list[str | None]) -> Iterator[list[str]]:
+def text_groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """The texts in order, in groups of bounded size; null is the empty text."""
     group: list[str] = []
     size = 0
@@ -156,14 +157,16 @@ def text_groups(texts: list[str | None]) -> Iterator[list[str]]:
         yield group
 
 
-_caches: dict[tuple[str, bool], PieceCache] = {}
+_caches: dict[tuple[str, bool, int | None], PieceCache] = {}
 
 
-def worker_cache(path: str, lengths_only: bool, seed: dict | None = None) -> PieceCache:
-    """One cache for each worker process; Spark reuses workers, so it stays warm over tasks."""
-    if (path, lengths_only) not in _caches:
-        _caches[path, lengths_only] = PieceCache(path, lengths_only, seed)
-    return _caches[path, lengths_only]
+def worker_cache(path: str, lengths_only: bool, seed: dict | None = None, entries: int | None = None) -> PieceCache:
+    """One cache for each worker process; Spark reuses workers, so it stays warm over tasks. It also stays while the worker
+    does other work: jobs that go on with other stages ask for few entries (CACHE_ENTRIES if none are given)."""
+    key = (path, lengths_only, entries)
+    if key not in _caches:
+        _caches[key] = PieceCache(path, lengths_only, seed, entries)
+    return _caches[key]
 
 
 def frequent_lengths(path: str) -> dict[str, int]:

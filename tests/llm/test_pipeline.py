@@ -1,7 +1,9 @@
 """The pipeline's stages against brute-force versions of each, on their own inputs."""
 
+import public_tokenizers
+
 import corpus_pipeline
-from inkgrid.llm import quality
+from inkgrid.llm import quality, token_counts
 from tests.llm.test_pairs import brute_leaks
 from tests.llm.test_similar import brute_groups
 from tests.llm.test_texts import check_packing
@@ -45,3 +47,15 @@ def test_stages_keep_columns_with_dots(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(40).withColumnRenamed("source", "a.b").withColumnRenamed("lang", "c.d.e")
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, data).columns == docs.columns
+
+
+def test_packing_leaves_little_in_the_workers(monkeypatch):
+    """Workers stay for the stages of the next job: what the pipeline's packing remembers is bounded by its own number."""
+    asked = []
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda *a, **k: asked.append(k))
+    corpus_pipeline.best_fit_packing(None, None, "")
+    assert asked[0]["cache_entries"] <= 100_000
+    own = token_counts.PieceCache(public_tokenizers.path(corpus_pipeline.TOKENIZER), False, entries=1000)
+    for k in range(40):
+        own.fill([[f"w{i:05d}" for i in range(k * 200, k * 200 + 200)]])
+        assert len(own.by_piece) <= 1200 and len(own.by_pretoken) <= 1200
