@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
-from .components import components
+from .components import components, forest
 
 BITS = 64
 RADIUS = 3
@@ -86,7 +86,7 @@ def _list_edges(fps: np.ndarray, reps: np.ndarray) -> tuple[list[int], list[int]
         linked = retained[np.bitwise_count(apart[retained]) <= RADIUS] + i + 1
         left += [int(reps[i])] * len(linked)
         right += reps[linked].tolist()
-    return _forest(left, right)
+    return forest(left, right)
 
 
 def _neighbour_edges(fps: np.ndarray, reps: np.ndarray, free: tuple[int, ...]) -> tuple[list[int], list[int]]:
@@ -104,29 +104,10 @@ def _neighbour_edges(fps: np.ndarray, reps: np.ndarray, free: tuple[int, ...]) -
             if len(hit):
                 left += reps[hit].tolist()
                 right += reps[at[hit]].tolist()
-        left, right = _forest(left, right)
+        left, right = forest(left, right)
     return left, right
 
 
-def _forest(left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
-    """The same connections as one edge from every vertex to the smallest that it reaches."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while root.setdefault(top, top) != top:
-            top = root[top]
-        while root[x] != top:
-            root[x], x = top, root[x]
-        return top
-
-    for a, b in zip(left, right, strict=True):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    found = [(x, find(x)) for x in root]
-    return [x for x, top in found if x != top], [top for x, top in found if x != top]
-
-
 def _links(index: DataFrame, limit: int | None) -> DataFrame:
     """Edges (u, v, fp null) of the posting lists of index (list, key, fp, rep), and (null, rep, fp, ...) of lists beyond limit.
 

@@ -80,6 +80,43 @@ def test_components_of_chains_and_stars(spark):
     assert found == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {300: 299}
 
 
+def test_components_of_more_edges_than_a_task_joins_up(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", 8)
+    draw = random.Random(5)
+    chain = draw.sample(range(400), 200)  # whose vertices follow one another in no order
+    edges = [*zip(chain, chain[1:], strict=False), *((1000, 1001 + i) for i in range(150)), *((2000 + draw.randrange(60), 2000 + draw.randrange(60)) for _ in range(40)), (1, None), (None, None)]
+    known = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
+    root = {x: x for e in known for x in e}
+    for _ in root:
+        for a, b in known:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    found = [(r["vertex"], r["root"]) for r in components.components(rows).collect()]
+    assert sorted(found) == sorted((x, r) for x, r in root.items() if x != r)
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """A small graph in many partitions is no round of many tasks, each of which leaves files and events."""
+    many, context = 40, spark.sparkContext
+    held = {"spark.sql.shuffle.partitions": str(many), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    edges = spark.range(0, 600, 1, many).selectExpr("id AS u", "id - id % 20 + (id + 1) % 20 AS v")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few-edges", "")
+        found = components.components(edges)
+        seen = context.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup("few-edges") for s in seen.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := seen.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["vertex"], r["root"]) for r in found.collect()} == {(i, i - i % 20) for i in range(600) if i % 20}
+    assert many <= tasks <= 8 * many
+
+
 def brute_leaks(texts, items, least=0.8):
     """Pairs whose best item-sized window, of all windows, is similar enough."""
     import re
