@@ -1,7 +1,8 @@
 """Panels from contours: edges by Canny's rules, what they enclose, and the boxes of what is large enough.
 
-Gradients and thinning are stencils on pages. All else is tables: an edge stays if a strong one is reachable over weak ones, the
-outside is the background that reaches the page's border, and an outer contour is a component of everything else.
+Gradients and thinning are stencils on pages. An edge stays if a strong one is reachable over weak ones, the outside is the
+background that reaches the page's border, and an outer contour is a component of everything else: within a stack of pages for those
+that a task holds, and over tables of runs for larger ones.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.operators import graphs
-from inkgrid.operators.batches import map_images
+from inkgrid.operators import graphs, stacks
+from inkgrid.operators.batches import STACK_PIXELS, map_images, per_stack
 from inkgrid.operators.stencils import _moved
 
 #: The tangent of 22.5 degrees in units of 2 ** -15, as the thinning of edges by direction rounds it.
@@ -71,8 +72,42 @@ def outer_contours(found: DataFrame, pages: DataFrame) -> DataFrame:
     return boxes.join(areas, ["page_id", "root"], "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
 
 
-def contour_panels(rasters: DataFrame, low: float = 50.0, high: float = 150.0, share: float = 0.01) -> DataFrame:
-    """(page_id, x, y, w, h, area) of outer contours whose area is more than that share of their page."""
-    pages = rasters.select("page_id", "width", "height")
-    found = outer_contours(edges(rasters, low, high), pages).join(pages, "page_id")
-    return found.where(F.col("area") > share * F.col("width") * F.col("height")).select("page_id", "x", "y", "w", "h", "area")
+def stacked_contours(s: np.ndarray, low: float, high: float) -> tuple[np.ndarray, ...]:
+    """(page, x, y, w, h, area) of the outer contours of a stack of pages: the same as outer_contours() of their edges()."""
+    found = marks(s, low, high)
+    h, w = s.shape[1:]
+    marked = stacks.runs(found > 0)
+    root = stacks.connected(len(marked.starts), *marked.touching(diagonal=True))
+    strong = np.isin(root, root[marked.holding(found > 1)])
+    edge = marked.drawn(strong)
+    background = stacks.runs(~edge)
+    root = stacks.connected(len(background.starts), *background.touching())
+    border = (background.x0 == 0) | (background.y == 0) | (background.x1 == w - 1) | (background.y == h - 1)
+    inside = stacks.runs(edge | background.drawn(~np.isin(root, root[border])))
+    a, b = inside.touching(diagonal=True)
+    root = stacks.connected(len(inside.starts), a, b)
+    a0, a1, b0, b1 = inside.x0[a], inside.x1[a], inside.x0[b], inside.x1[b]
+    beyond = lambda p0, p1, q0, q1: ((p0 < q0) & (q0 <= p1)).astype(int) + ((q1 < p1) & (p0 <= q1))
+    squares = np.maximum(0, np.minimum(a1, b1) - np.maximum(a0, b0)) + 0.5 * (beyond(a0, a1, b0, b1) + beyond(b0, b1, a0, a1))
+    area = np.bincount(root[a], squares, len(root))
+    own = np.flatnonzero(root == np.arange(len(root)))
+    return inside.page[own], *(c[own] for c in stacks.boxes(inside, root)), area[own]
+
+
+def contour_panels(rasters: DataFrame, low: float = 50.0, high: float = 150.0, share: float = 0.01, most: int = STACK_PIXELS) -> DataFrame:
+    """(page_id, x, y, w, h, area) of outer contours whose area is more than that share of their page. most: the pixels of a page that
+    is worked off in a task, with others; the runs of larger ones are joined over tables."""
+
+    def of(s: np.ndarray) -> tuple[np.ndarray, ...]:
+        found = stacked_contours(s, low, high)
+        large = found[-1] > share * s.shape[1] * s.shape[2]
+        return tuple(c[large] for c in found)
+
+    size = F.col("width").cast("long") * F.col("height")
+    found = per_stack(rasters.where((size > 0) & (size <= most)), of, "x long, y long, w long, h long, area double")
+    rest = rasters.where(size > most)
+    if rest.isEmpty():
+        return found
+    pages = rest.select("page_id", "width", "height")
+    larger = outer_contours(edges(rest, low, high), pages).join(pages, "page_id")
+    return found.unionByName(larger.where(F.col("area") > share * F.col("width") * F.col("height")).select("page_id", "x", "y", "w", "h", "area"))
