@@ -89,3 +89,13 @@ def test_protection_of_many_textured_pages_is_done_in_seconds(spark):
     began = time.perf_counter()
     assert detectors.protection(many).count() == 400
     assert time.perf_counter() - began < 30  # a page took a quarter of a second and more
+
+
+def test_stable_regions_of_stacks_equal_those_over_tables(spark):
+    r = raster(spark, *[(p[:20, :30] // 16).tolist() for p in scenes(3)], [[5.0] * 20] * 20)
+    count, rows = jobs(spark, "stable", lambda: regions.stable_regions(r, 3, 300, 2, 20))
+    assert count <= 4  # more than 20 when each round of joining was a few
+    found = sorted(map(tuple, rows))
+    over_tables = regions.stable_regions(r, 3, 300, 2, 20, task=500)
+    assert found == sorted(map(tuple, over_tables.collect())) and len({p for p, *_ in found}) > 2
+    assert regions.stable_regions(r, 3, 300, 2, 20).dtypes == over_tables.dtypes == regions._table_regions(r, 3, 300, 2, 20).dtypes
