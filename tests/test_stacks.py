@@ -36,7 +36,7 @@ def jobs(spark, group, run):
 def test_contour_panels_of_stacks_equal_those_over_tables(spark):
     r = raster(spark, *[p.tolist() for p in scenes()])
     count, rows = jobs(spark, "contours", lambda: contours.contour_panels(r, share=0.0))
-    assert count <= 4  # more than 100 when each round of joining was a few
+    assert count <= 4  # each round of joining was a few
     found = sorted(map(tuple, rows))
     assert found == sorted(map(tuple, contours.contour_panels(r, share=0.0, most=2600).collect())) and len({p for p, *_ in found}) > 4
 
@@ -94,7 +94,7 @@ def test_protection_of_many_textured_pages_is_done_in_seconds(spark):
 def test_stable_regions_of_stacks_equal_those_over_tables(spark):
     r = raster(spark, *[(p[:20, :30] // 16).tolist() for p in scenes(3)], [[5.0] * 20] * 20)
     count, rows = jobs(spark, "stable", lambda: regions.stable_regions(r, 3, 300, 2, 20))
-    assert count <= 4  # more than 20 when each round of joining was a few
+    assert count <= 4  # each round of joining was a few
     found = sorted(map(tuple, rows))
     over_tables = regions.stable_regions(r, 3, 300, 2, 20, task=500)
     assert found == sorted(map(tuple, over_tables.collect())) and len({p for p, *_ in found}) > 2
